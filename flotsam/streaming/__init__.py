@@ -1,0 +1 @@
+"""Intentionally empty: the feature set covered here is batch only (no unbounded inputs, watermarks or state)."""
