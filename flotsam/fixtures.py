@@ -56,6 +56,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                cast((p_partkey * 61 + scene_no * 29) % 256 as double) / 255 as frac,
                (p_partkey * 11 + scene_no * 3) % 8 as flags, (p_partkey * 7 + scene_no * 5) % 6 as cls
         from (select p_partkey, cast(n as bigint) as scene_no from (select p_partkey, {seq5} as n from {part}) x) y"""),
+    "fx_cellpx": (("fx_pixel",), """
+        select scene_no, scene_no * 9 as day_no, scene_no % 4 <> 3 as reliable, p_partkey, prow, pcol,
+               concat(cast((prow - prow % 10) / 10 as bigint), ':', cast((pcol - pcol % 10) / 10 as bigint)) as cell,
+               p_partkey % 7 <> 0 as water, p_partkey % 7 <> 0 and scl in (4, 6) as valid,
+               p_partkey % 7 <> 0 and scl in (4, 6) and p >= 0.5 and flags >= 4 as det,
+               p_partkey % 7 <> 0 and b11 > 0.03 as glint, p, frac, b11, cls, flags, scl
+        from {fx_pixel}"""),
     "fx_zone": (("events",), """
         select event_id as zone_no, user_id % 5 as aoi_no, cast(ts as date) as date_utc, value as cover_m2, ts_s as t_s,
                cast((event_id * 31) % 1000 as double) / 1000 as p_max, 1 + event_id % 9 as n_pixels,

@@ -48,12 +48,14 @@ def poisson_interval(df: DataFrame, n: str, level: float = 0.95) -> DataFrame:
            "(acc, j) -> named_struct('t', acc.t * ({m} - j) / {x}, 's', acc.s + acc.t), acc -> acc.s)")
 
     def solve(m: str, lf: str, target: float, lo: str, hi: str) -> str:
-        mid = "(s.lo + s.hi) / 2"
-        return (f"aggregate(sequence(1, 64), named_struct('lo', {lo}, 'hi', {hi}), (s, i) -> "
+        mid = "((s.lo + s.hi) / 2)"
+        return (f"aggregate(sequence(1, 52), named_struct('lo', {lo}, 'hi', {hi}), (s, i) -> "
                 f"if({cdf.format(m=m, x=mid, lf=lf)} > {target!r}, named_struct('lo', {mid}, 'hi', s.hi), "
                 f"named_struct('lo', s.lo, 'hi', {mid})), s -> (s.lo + s.hi) / 2)")
 
     counts = df.select(F.col(n).cast("double").alias("_n")).where(F.col("_n").isNotNull()).distinct()
+    # few rows but costly ones: spread them, which a plain shuffle of so few bytes would not
+    counts = counts.repartition(32)
     counts = counts.withColumn("_lf", F.expr("if(_n < 2, 0D, aggregate(sequence(2, cast(_n as int)), 0D, (z, k) -> z + ln(k)))"))
     hi = solve("_n", "_lf", a, "_n", "_n + 10 * sqrt(_n + 1) + 20")
     low = solve("(_n - 1)", "(_lf - ln(_n))", 1 - a, "greatest(_n - 10 * sqrt(_n) - 20, 1e-9D)", "_n")

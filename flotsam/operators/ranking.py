@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 from flotsam.session import materialise
 
 
-def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Inclusive running sum of ``value`` in a global order (ascending by ``order``, which must be unique).
+def running_totals(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+    """Inclusive running sums in a global order (ascending by ``order``, which must be unique); output → value column.
 
-    Range partitioning puts the rows in order over the cluster; each partition then only needs the total of the
-    partitions before it, one number per partition.
+    Range partitioning puts the rows in order over the cluster; each partition then only needs the totals of the
+    partitions before it, a few numbers per partition.
     """
     part = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_pid", F.spark_partition_id())
     part = materialise(part)
-    totals = part.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    totals = part.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded by the number of partitions, not by the data
-    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in values])
     inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (part.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.sum(value).over(inside) + F.col("_off")).drop("_pid", "_off"))
+            .withColumns({o: F.sum(v).over(inside) + F.col(f"_o_{o}") for o, v in values.items()})
+            .drop("_pid", *[f"_o_{o}" for o in values]))
+
+
+def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    return running_totals(df, order, {out: value})
 
 
 def global_rank(df: DataFrame, order: list[str], out: str = "rank_no") -> DataFrame:

@@ -1,4 +1,5 @@
 """Compare registered queries with their DuckDB oracles: ``python tests/oracle_check.py [sf_dir] [name-part ...]``."""
+import logging
 import math
 import sys
 import time
@@ -66,6 +67,7 @@ def main():
     args = sys.argv[1:]
     sf = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark, con = build_session(), connect(sf)
+    logging.disable(logging.CRITICAL)
     q, o = E.queries(), E.oracle_sql()
     bad = 0
     for name, fn in q.items():
@@ -74,7 +76,7 @@ def main():
         try:
             r = compare(spark, con, sf, name, fn, o.get(name))
         except Exception as e:  # report and go on
-            r = (f"ERROR {type(e).__name__} {str(e)[:1500]}", 0, 0, 0)
+            r = (f"ERROR {type(e).__name__} {str(e)[:700]}", 0, 0, 0)
         bad += r[0] not in ("ok", "rows")
         print(f"{name:44s} {r[0]}  n={r[1]} spark={r[2]:.1f}s duck={r[3]:.1f}s", flush=True)
     print("bad", bad)
