@@ -62,7 +62,7 @@ def link_graph(events: DataFrame, link_km: float, link_days: int, refine: int =
     day_star = (ev.select("source_id", "day", "cell").distinct())
     hub = day_star.groupBy("source_id", "day").agg(F.min("cell").alias("hub"))
     same_day = (day_star.join(hub, ["source_id", "day"]).where(F.col("cell") != F.col("hub"))
-                .select(F.col("hub").alias("a"), F.col("cell").alias("b"), F.lit("same_day").alias("link")))
+                .select(F.col("hub").alias("a"), F.col("cell").alias("b"), F.lit("same_day").alias("link")).distinct())
 
     def boxes(side_div: int) -> DataFrame:
         """Bounding boxes of the points of every (cell, sub-cell)."""

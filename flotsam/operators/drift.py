@@ -39,8 +39,8 @@ def ensemble_cone(tracks: DataFrame, keys: list[str], lat0) -> DataFrame:
     """Centre and root-mean-square spread of the ensemble per hour; one aggregation, no second pass for the centre."""
     c2 = F.pow(F.cos(F.radians(lat0 if isinstance(lat0, Column) else F.lit(lat0))), 2)
     return tracks.groupBy(*keys, "hour_no").agg(
-        F.round(F.avg("lon"), 5).alias("lon"), F.round(F.avg("lat"), 5).alias("lat"),
-        F.round(F.sqrt(F.var_pop("lon") * c2 + F.var_pop("lat")) * KM_PER_DEG, 2).alias("spread_km"))
+        F.avg("lon").alias("lon"), F.avg("lat").alias("lat"),
+        (F.sqrt(F.var_pop("lon") * c2 + F.var_pop("lat")) * KM_PER_DEG).alias("spread_km"))
 
 
 def displacement(tracks: DataFrame, keys: list[str], hours: tuple[int, ...]) -> DataFrame:

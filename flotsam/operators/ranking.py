@@ -98,3 +98,23 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataF
     run = running_total(counts, [*keys, value], "_c", "_cum")
     base = run.groupBy(*keys).agg(F.min(F.col("_cum") - F.col("_c")).alias("_base"))
     return run.join(base, keys).select(*keys, value, (F.col("_cum") - F.col("_base") - (F.col("_c") - 1) / 2).alias(out))
+
+
+def ordered_lag(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Value of the previous row of the same key in (keys, order) order, however large the key.
+
+    Rows are range-partitioned; only the first row of a partition looks at the last row of the partitions before.
+    """
+    full = [*keys, *order]
+    part = materialise(df.repartitionByRange(*[F.col(c) for c in full]).withColumn("_pid", F.spark_partition_id()))
+    last = part.groupBy("_pid").agg(F.max(F.struct(*full, F.col(value).alias("_val"))).alias("_last"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
+    prev = last.select("_pid", F.last("_last", ignorenulls=True).over(before).alias("_prev"))
+    w = Window.partitionBy("_pid").orderBy(*full)
+    me = F.struct(*full, F.col(value).alias("_val"))
+    d = part.join(F.broadcast(prev), "_pid").withColumn("_l", F.coalesce(F.lag(me).over(w), F.col("_prev")))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(f"_l.{k}") == F.col(k))
+    return d.withColumn(out, F.when(same, F.col("_l._val"))).drop("_pid", "_prev", "_l")

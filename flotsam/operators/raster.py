@@ -253,3 +253,17 @@ def block_background(df: DataFrame, keys: list[str], bands: list[str], mask: Col
 def normalise(df: DataFrame, bands: list[str]) -> DataFrame:
     """Spectrum relative to the local water: ``n_<band> = band - background + reference``."""
     return df.withColumns({f"n_{b}": F.col(b) - F.col(f"bg_{b}") + WATER_REF[b] for b in bands})
+
+
+def mask_coast_km(df: DataFrame, keys: list[str], land: Column, image_no: str, *, max_px: int = 500, res_km: float = 0.01) -> DataFrame:
+    """Straight-line distance to the nearest land pixel of the same image, null beyond ``max_px``.
+
+    Row distances first, then a window of ``2·max_px + 1`` rows would be costly for large reaches; the nearest-point
+    search needs no window. Images are laid out side by side, farther apart than the reach.
+    """
+    stride = float(1 << 20)
+    df = df.withColumns({"_x": F.col(image_no) * stride + F.col("col"), "_id": F.struct(*keys, "row", "col")})
+    pts = df.where(land).select(F.col("_id").alias("_lid"), "_x", "row")
+    hit = nearest(df.select("_id", "_x", "row"), pts, qid="_id", rid="_lid", q_xy=("_x", "row"), r_xy=("_x", "row"),
+                  metric=Metric("plane"), max_dist=float(max_px))
+    return df.join(hit.select("_id", (F.col("dist") * res_km).alias("coast_km")), "_id", "left").drop("_id", "_x")

@@ -306,13 +306,13 @@ def _(fx):
 @register("agg26_cell_candidates", "fx_zone", oracle="with " + hex_sql("h", "fx_zone", "lon * 111.32 * cos(radians(43.25)) / 40", "lat * 111.32 / 40") + """,
     g as (select aoi_no, concat(q, ':', r) as cell, sum(w) as area_m2, count(*) as n, sum(lon * (w + 1e-6)) / sum(w + 1e-6) as lon, sum(lat * (w + 1e-6)) / sum(w + 1e-6) as lat
       from (select *, p_max * cover_m2 as w from h) group by 1, 2)
-    select aoi_no, cell, n, round(area_m2, 4) as area_m2, round(lon, 6) as lon, round(lat, 6) as lat from (
+    select aoi_no, cell, n, round(area_m2, 6) as area_m2, round(lon, 6) as lon, round(lat, 6) as lat from (
       select *, row_number() over (partition by aoi_no order by area_m2 desc, cell) rn from g) where rn <= 25""")
 def _(fx):
     x, y = G.planar_km(C("lon"), C("lat"), LAT0)
     q, r = G.hex_axial(x / 40, y / 40)
     z = fx.fx_zone.withColumns({"w": C("p_max") * C("cover_m2"), "cell": F.concat_ws(":", q.cast("string"), r.cast("string"))})
-    return rnd(Q.cell_candidates(z, ["aoi_no"], "cell", "w", 25), area_m2=4)
+    return rnd(Q.cell_candidates(z, ["aoi_no"], "cell", "w", 25))
 
 
 TRACK_CELL = hex_sql("h", "fx_track", "lon * 111.32 * cos(radians(43.25)) / 60", "lat * 111.32 / 60")
@@ -344,10 +344,10 @@ def _(fx):
 
 
 @register("agg29_ensemble_cone", "fx_track", oracle="""
-    select aoi_no, cast(hour_no as bigint) as hour_no, round(avg(lon), 5) as lon, round(avg(lat), 5) as lat,
-      round(sqrt(var_pop(lon) * pow(cos(radians(43.25)), 2) + var_pop(lat)) * 111.32, 2) as spread_km from fx_track group by 1, 2""")
+    select aoi_no, cast(hour_no as bigint) as hour_no, round(avg(lon), 9) as lon, round(avg(lat), 9) as lat,
+      round(sqrt(var_pop(lon) * pow(cos(radians(43.25)), 2) + var_pop(lat)) * 111.32, 6) as spread_km from fx_track group by 1, 2""")
 def _(fx):
-    return DR.ensemble_cone(fx.fx_track, ["aoi_no"], LAT0).withColumn("hour_no", C("hour_no").cast("bigint"))
+    return rnd(DR.ensemble_cone(fx.fx_track, ["aoi_no"], LAT0).withColumn("hour_no", C("hour_no").cast("bigint")), 9, spread_km=6)
 
 
 @register("agg30_displacement", "fx_track", oracle="""

@@ -70,7 +70,7 @@ SCENES = """sc as (select scene_no, cast(date_utc as date) + 9496 as s_date, t_s
 def scenes(fx):
     """Scenes moved to the month of the events."""
     return fx.fx_scene.select(
-        "scene_no", F.datediff(F.col("date_utc"), F.lit("1970-01-01").cast("date")).alias("_d"), "cloud_pct", "tile", "collection",
+        "scene_no", F.unix_date("date_utc").alias("_d"), "cloud_pct", "tile", "collection",
         (F.col("t_s") + 9496 * 86400).alias("scene_t_s"), F.col("lon0").alias("sx0"), F.col("lat0").alias("sy0"),
         (F.col("lon0") + 1).alias("sx1"), (F.col("lat0") + 9 / 10).alias("sy1")).withColumn(
             "s_day", F.col("_d") + 9496).drop("_d")
@@ -78,7 +78,7 @@ def scenes(fx):
 
 def event_boxes(fx):
     return fx.fx_event.withColumns({
-        "e_day": F.datediff(F.col("date_utc"), F.lit("1970-01-01").cast("date")),
+        "e_day": F.unix_date("date_utc"),
         "ex0": F.col("lon") - F.col("length_km") / 200, "ex1": F.col("lon") + F.col("length_km") / 200,
         "ey0": F.col("lat") - F.col("length_km") / 200, "ey1": F.col("lat") + F.col("length_km") / 200})
 
