@@ -31,6 +31,16 @@ def box_sql(name, cols, r, src="px"):
       lateral (select unnest(range(-{r}, {r + 1})) as dx) x join {src} n on n.scene_no = a.scene_no and n.prow = greatest(0, least(a.h - 1, a.prow + dy)) and n.pcol = greatest(0, least(a.w - 1, a.pcol + dx)) group by 1, 2, 3)"""
 
 
+def box_sql2(name, cols, r, src):
+    """The same sums in two passes, for wide boxes."""
+    def one(n, axis, size, frm, pick):
+        other = "pcol" if axis == "prow" else "prow"
+        aggs = ", ".join(f"sum(n.{c}) as {o}" for o, c in pick.items())
+        return f"""{n} as (select a.scene_no, a.prow, a.pcol, any_value(a.h) as h, any_value(a.w) as w, {aggs} from (select scene_no, prow, pcol, h, w, unnest(range(-{r}, {r + 1})) as dx from {frm}) a
+          join {frm} n on n.scene_no = a.scene_no and n.{other} = a.{other} and n.{axis} = greatest(0, least(a.{size} - 1, a.{axis} + dx)) group by 1, 2, 3)"""
+    return one(name + "_c", "pcol", "w", src, cols) + ", " + one(name, "prow", "h", name + "_c", {o: o for o in cols})
+
+
 @register("win1_box_mean", "fx_pixel", oracle=f"with {SIZE}, {box_sql('b5', {'s': 'b08'}, 2)}, {box_sql('b3', {'s': 'frac'}, 1)}" + """
     select scene_no, prow, pcol, round(b5.s / 25, 8) as b08_mean5, round(b3.s / 9, 8) as frac_mean3 from b5 join b3 using (scene_no, prow, pcol)""")
 def _(fx):
@@ -53,7 +63,7 @@ def _(fx):
 
 
 @register("win4_noise_flags", "fx_pixel", oracle=f"with {SIZE}, px2 as (select *, case when p > 0.3 then 1 else 0 end as on_ from px), {box_sql('b', {'m': 'b08'}, 2)}, {box_sql('nb', {'n': 'on_'}, 1, 'px2')}" + """,
-    hp as (select px.*, pow(px.b08 - b.m / 25, 2) as hp2 from px join b using (scene_no, prow, pcol)), """ + box_sql("ns", {"s": "hp2"}, 25, "hp") + """
+    hp as (select px.*, pow(px.b08 - b.m / 25, 2) as hp2 from px join b using (scene_no, prow, pcol)), """ + box_sql2("ns", {"s": "hp2"}, 25, "hp") + """
     select scene_no, prow, pcol, round(sqrt(s / 2601), 8) as noise, cast(case when b08 - 0.0121 > b02 - 0.0342 then 1 else 0 end + case when n >= 2 then 2 else 0 end
       + case when (b08 - 0.0121) / greatest(sqrt(s / 2601), 1e-4) * 3 >= 5 then 4 else 0 end as bigint) as flags from px join ns using (scene_no, prow, pcol) join nb using (scene_no, prow, pcol)""")
 def _(fx):
@@ -91,25 +101,25 @@ def background(fx):
     return RA.block_background(px, KEYS, BANDS, ok, 10, "scene_no")
 
 
-@register("win5_block_background", "fx_pixel", oracle=f"with {BG_SQL} select scene_no, prow, pcol, {_cols('round(bg_{b}, 7) as bg_{b}')} from bg")
+@register("win5_block_background", "fx_pixel", oracle=f"with {BG_SQL} select scene_no, prow, pcol, {_cols('round(bg_{b}, 11) as bg_{b}')} from bg")
 def _(fx):
-    return background(fx).select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), *[R(f"bg_{b}", 7).alias(f"bg_{b}") for b in BANDS])
+    return background(fx).select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), *[R(f"bg_{b}", 11).alias(f"bg_{b}") for b in BANDS])
 
 
-@register("win6_normalised_spectrum", "fx_pixel", oracle=f"with {BG_SQL} select scene_no, prow, pcol, {_cols('round({b}, 7) as n_{b}')} from nx")
+@register("win6_normalised_spectrum", "fx_pixel", oracle=f"with {BG_SQL} select scene_no, prow, pcol, {_cols('round({b}, 11) as n_{b}')} from nx")
 def _(fx):
     px = RA.normalise(background(fx), BANDS)
-    return px.select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), *[R(f"n_{b}", 7).alias(f"n_{b}") for b in BANDS])
+    return px.select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), *[R(f"n_{b}", 11).alias(f"n_{b}") for b in BANDS])
 
 
 @register("win7_pixel_features", "fx_pixel", oracle=f"with {BG_SQL}, ix as (select *, b08 - (b06 + (b11 - b06) * ((842.0 - 665.0) / (1610.0 - 665.0) * 10)) as fdi, (b08 - b04) / (b08 + b04 + 1e-6) as ndvi from nx), ix2 as (select *, fdi * fdi as f2 from ix), "
           + box_sql("f3", {"s": "fdi"}, 1, "ix2") + ", " + box_sql("f5", {"s": "fdi", "s2": "f2", "m8": "b08"}, 2, "ix2") + """
-    select scene_no, prow, pcol, round(fdi, 6) as fdi, round(f3.s / 9, 6) as fdi_mean3, round(sqrt(greatest(f5.s2 / 25 - pow(f5.s / 25, 2), 0)), 5) as fdi_std5, round(b08 - m8 / 25, 6) as b08_hp5
+    select scene_no, prow, pcol, round(fdi, 10) as fdi, round(f3.s / 9, 10) as fdi_mean3, round(sqrt(greatest(f5.s2 / 25 - pow(f5.s / 25, 2), 0)), 6) as fdi_std5, round(b08 - m8 / 25, 11) as b08_hp5
     from ix2 join f3 using (scene_no, prow, pcol) join f5 using (scene_no, prow, pcol)""")
 def _(fx):
     px = FT.pixel_features(background(fx), KEYS, BANDS)
-    return px.select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), R("fdi", 6).alias("fdi"), R("fdi_mean3", 6).alias("fdi_mean3"),
-                     R("fdi_std5", 5).alias("fdi_std5"), R("b08_hp5", 6).alias("b08_hp5"))
+    return px.select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), R("fdi", 10).alias("fdi"), R("fdi_mean3", 10).alias("fdi_mean3"),
+                     R("fdi_std5", 6).alias("fdi_std5"), R("b08_hp5", 11).alias("b08_hp5"))
 
 
 SHIP = "cls = 2 and flags = 7"
@@ -156,14 +166,14 @@ def _(fx):
     return zone_pixels(fx).select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), (C("label.row") * 50 + C("label.run")).alias("comp"))
 
 
-@register("win10_drop_small", "fx_pixel", oracle=f"with recursive {SIZE}, gr as (select scene_no, prow, pcol from px where p >= 0.55 and flags >= 5)," + """
+@register("win10_drop_small", "fx_pixel", oracle=f"with recursive {SIZE}, gr as (select scene_no, prow, pcol from px where p >= 0.3 and flags >= 4)," + """
     ge as (select a.scene_no as s, a.prow * 50 + a.pcol as a, b.prow * 50 + b.pcol as b from gr a join gr b on a.scene_no = b.scene_no and abs(a.prow - b.prow) <= 1 and abs(a.pcol - b.pcol) <= 1),
     cc(s, node, comp) using key (s, node) as (select scene_no, prow * 50 + pcol, prow * 50 + pcol from gr
       union select ge.s, ge.b, min(c.comp) from cc c join ge on ge.s = c.s and ge.a = c.node join recurring.cc r on r.s = ge.s and r.node = ge.b where c.comp < r.comp group by ge.s, ge.b),
     n as (select s, comp, count(*) as n from cc group by 1, 2 having count(*) >= 4)
     select cc.s as scene_no, node from cc join n on n.s = cc.s and n.comp = cc.comp""")
 def _(fx):
-    m = pixels(fx, "p", "flags").where("p >= 0.55 and flags >= 5").select("scene_no", "row", "col")
+    m = pixels(fx, "p", "flags").where("p >= 0.3 and flags >= 4").select("scene_no", "row", "col")
     return RA.drop_small(m, KEYS, 4).select("scene_no", (C("row") * 50 + C("col")).alias("node"))
 
 
@@ -214,12 +224,12 @@ def _(fx):
 
 @register("win15_noon_means_to_hours", "fx_wind", oracle="""
     with d as (select cell_no, floor(hour_no / 24) * 24 + 12 as t, avg(wind_ms) as v from fx_wind group by 1, 2), n as (select *, lead(t) over w as t1, lead(v) over w as v1 from d window w as (partition by cell_no order by t))
-    select cell_no, cast(t + k as bigint) as hour_no, round(v + (coalesce(v1, v) - v) * case when t1 is null then 0 else k / (t1 - t) end, 6) as wind_ms
+    select cell_no, cast(t + k as bigint) as hour_no, round(v + (coalesce(v1, v) - v) * case when t1 is null then 0 else k / (t1 - t) end, 10) as wind_ms
     from n, lateral (select unnest(range(cast(coalesce(t1 - t, 1) as bigint))) as k)""")
 def _(fx):
     d = fx.fx_wind.groupBy("cell_no", (F.floor(C("hour_no") / 24) * 24).alias("t")).agg(F.avg("wind_ms").alias("wind_ms"))
     h = DR.hourly_field(d, ["cell_no"], "t", ["wind_ms"], shift=12.0)
-    return h.select("cell_no", C("t").cast("bigint").alias("hour_no"), R("wind_ms", 6).alias("wind_ms"))
+    return h.select("cell_no", C("t").cast("bigint").alias("hour_no"), R("wind_ms", 10).alias("wind_ms"))
 
 
 FIELD_SQL = """cl as (select (c_custkey % 60) as gx, cast(floor(c_custkey / 60) as bigint) as gy, c_custkey as cid, case when (c_custkey * 7) % 11 < 4 then null else c_acctbal / 100 end as v from customer),
@@ -283,9 +293,9 @@ def _(fx):
 
 
 @register("dq4_detection_points", "fx_cellpx", oracle="""
-    select scene_no, round(39.55 + (pcol + 0.5) * 0.0002, 5) as lon, round(43.62 - (prow + 0.5) * 0.0001, 5) as lat, round_even(p, 2) as p, round_even(frac, 2) as frac from fx_cellpx where det""")
+    select scene_no, round(cast(39.55 as double) + (pcol + 0.5) * cast(0.0002 as double), 7) as lon, round(cast(43.62 as double) - (prow + 0.5) * cast(0.0001 as double), 7) as lat, round_even(p, 2) as p, round_even(frac, 2) as frac from fx_cellpx where det""")
 def _(fx):
-    return fx.fx_cellpx.where("det").select("scene_no", R(39.55 + (C("pcol") + 0.5) * 0.0002, 5).alias("lon"), R(43.62 - (C("prow") + 0.5) * 0.0001, 5).alias("lat"),
+    return fx.fx_cellpx.where("det").select("scene_no", R(39.55 + (C("pcol") + 0.5) * 0.0002, 7).alias("lon"), R(43.62 - (C("prow") + 0.5) * 0.0001, 7).alias("lat"),
                                             F.bround("p", 2).alias("p"), F.bround("frac", 2).alias("frac"))
 
 

@@ -105,3 +105,11 @@ def scene_wind_max(scenes: DataFrame, wind: DataFrame, on: list[str], key: Calla
 
 def pooled_fp_share(rates: DataFrame, keys: list[str], classes: tuple[int, ...]) -> DataFrame:
     return rates.where(F.col("cl").isin(*classes)).groupBy(*keys).agg((F.sum("fp_raw") / F.sum("class_px")).alias("fp_share"))
+
+
+def metric_mismatches(now: DataFrame, saved: DataFrame, keys: list[str], tolerance: dict[str, float]) -> DataFrame:
+    """Metrics that differ from the saved ones by more than their tolerance."""
+    s = saved.select(*keys, *[F.col(m).alias(f"_s_{m}") for m in tolerance])
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("now"), F.col(f"_s_{m}").alias("saved"), F.lit(t).alias("tol")) for m, t in tolerance.items()])
+    j = now.join(s, keys, "full_outer").select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+    return j.where(F.coalesce(F.abs(F.col("now") - F.col("saved")) > F.col("tol"), F.lit(True))).drop("tol")
