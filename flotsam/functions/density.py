@@ -1,6 +1,8 @@
 """Field densities, counting noise and intervals."""
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,29 +40,28 @@ def published_mismatch(n: Column, area: Column, published: Column, tol: float =
 def poisson_interval(df: DataFrame, n: str, level: float = 0.95) -> DataFrame:
     """Exact (Garwood) bounds of a Poisson mean for every distinct count, columns ``n_lo``, ``n_hi``.
 
-    Solves P(X<=N | hi) = a/2 and P(X>=N | lo) = a/2 by bisection inside the expression. Counts repeat, so the work
-    is done once per distinct count and joined back.
+    Solves P(X<=N | hi) = a/2 and P(X>=N | lo) = a/2 by Newton steps from the cube-root approximation, inside the
+    expression. Counts repeat, so the work is done once per distinct count and joined back.
     """
     a = (1 - level) / 2
-    # Poisson probability of at most `m`, summed downwards from m: each term follows from the one before
-    cdf = ("aggregate(sequence(0, cast(least({m}, 30 * sqrt({m}) + 60) as int)), "
-           "named_struct('t', exp(-{x} + {m} * ln({x}) - {lf}), 's', 0D), "
-           "(acc, j) -> named_struct('t', acc.t * ({m} - j) / {x}, 's', acc.s + acc.t), acc -> acc.s)")
+    z = NormalDist().inv_cdf(1 - a)
+    # Poisson probability of m, and of at most m: terms summed downwards, each follows from the one before
+    pmf = "exp(-x + {m} * ln(x) - {lf})"
+    cdf = ("aggregate(sequence(0, cast(least({m}, 30 * sqrt({m}) + 60) as int)), named_struct('t', " + pmf + ", 's', 0D), "
+           "(acc, j) -> named_struct('t', acc.t * ({m} - j) / x, 's', acc.s + acc.t), acc -> acc.s)")
 
-    def solve(m: str, lf: str, target: float, lo: str, hi: str) -> str:
-        mid = "((s.lo + s.hi) / 2)"
-        return (f"aggregate(sequence(1, 52), named_struct('lo', {lo}, 'hi', {hi}), (s, i) -> "
-                f"if({cdf.format(m=m, x=mid, lf=lf)} > {target!r}, named_struct('lo', {mid}, 'hi', s.hi), "
-                f"named_struct('lo', s.lo, 'hi', {mid})), s -> (s.lo + s.hi) / 2)")
+    def solve(m: str, lf: str, target: float, start: str) -> str:
+        step = f"x + ({cdf} - {target!r}) / greatest({pmf}, 1e-300D)".format(m=m, lf=lf)
+        return f"aggregate(sequence(1, 10), {start}, (x, i) -> greatest({step}, 1e-12D))"
 
     counts = df.select(F.col(n).cast("double").alias("_n")).where(F.col("_n").isNotNull()).distinct()
     # few rows but costly ones: spread them, which a plain shuffle of so few bytes would not
     counts = counts.repartition(32)
     counts = counts.withColumn("_lf", F.expr("if(_n < 2, 0D, aggregate(sequence(2, cast(_n as int)), 0D, (z, k) -> z + ln(k)))"))
-    hi = solve("_n", "_lf", a, "_n", "_n + 10 * sqrt(_n + 1) + 20")
-    low = solve("(_n - 1)", "(_lf - ln(_n))", 1 - a, "greatest(_n - 10 * sqrt(_n) - 20, 1e-9D)", "_n")
-    counts = counts.select(F.col("_n").alias(f"_{n}"), F.expr(f"if(_n = 0, 0D, {low})").alias("n_lo"),
-                           F.expr(hi).alias("n_hi"))
+    root = "pow(1 - 1 / (9 * {k}) {s} {z!r} / (3 * sqrt({k})), 3) * {k}"
+    hi = solve("_n", "_lf", a, root.format(k="(_n + 1)", s="+", z=z))
+    low = solve("(_n - 1)", "(_lf - ln(_n))", 1 - a, "greatest(" + root.format(k="_n", s="-", z=z) + ", 1e-3D)")
+    counts = counts.select(F.col("_n").alias(f"_{n}"), F.expr(f"if(_n = 0, 0D, {low})").alias("n_lo"), F.expr(hi).alias("n_hi"))
     return df.join(counts, F.col(n).cast("double") == F.col(f"_{n}"), "left").drop(f"_{n}")
 
 

@@ -277,7 +277,12 @@ def train_forest(px: DataFrame, features: list[str], label: str, weight: str, *,
     from pyspark.ml.feature import VectorAssembler
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", weightCol=weight, numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="probability")
-    return rf.fit(va.transform(px)), va
+    # the forest reads its rows once per tree level: keep them instead of choosing and weighting them again
+    rows = va.transform(px).select("features", label, weight).persist()
+    try:
+        return rf.fit(rows), va
+    finally:
+        rows.unpersist()
 
 
 def score_pixels(px: DataFrame, model, assembler, gate: Column, valid: Column, water_group: int = 4) -> DataFrame:

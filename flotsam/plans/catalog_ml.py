@@ -104,10 +104,10 @@ def _(fx):
 
 
 @register("ml9_interval_application", "fx_pred", oracle="""
-    select l_orderkey, l_linenumber, round(greatest((pred_model + 1) * exp(-0.7) - 1, 0), 6) as lo80, round((pred_model + 1) * exp(0.55) - 1, 6) as hi80, round(pred_model, 6) as pred from fx_pred""")
+    select l_orderkey, l_linenumber, round(greatest((pred_model + 1) * exp(-0.7) - 1, 0), 6) as lo80, round((pred_model + 1) * exp(0.55) - 1, 6) as hi80, round(pred_model, 9) as pred from fx_pred""")
 def _(fx):
     lo, hi = M.apply_interval(C("pred_model"), F.lit(-0.7), F.lit(0.55))
-    return fx.fx_pred.select("l_orderkey", C("l_linenumber"), R(lo, 6).alias("lo80"), R(hi, 6).alias("hi80"), R("pred_model", 6).alias("pred"))
+    return fx.fx_pred.select("l_orderkey", C("l_linenumber"), R(lo, 6).alias("lo80"), R(hi, 6).alias("hi80"), R("pred_model", 9).alias("pred"))
 
 
 MODEL_B = ML.DensityModel("B", "loglinear", ("lat", "wind24_ms"), (43.2, 4.9), (1.6, 2.9), (5.1, 0.21, -0.13), (-0.9, 0.8), (-1.6, 1.5), ("black_sea",), (1, 2, 6), {"wind24_ms": (1.0, 8.0), "lat": (41.0, 45.0)}, "conc-B-1")
@@ -126,7 +126,7 @@ def score_input(fx):
 
 
 @register("ml10_score_points", "fx_zone", "fx_event", oracle=f"with {SCORE_SQL}" + """
-    select zone_no, round(value, 5) as value, round(greatest((value + 1) * exp(-0.9) - 1, 0), 5) as lo80, round((value + 1) * exp(0.8) - 1, 5) as hi80, round(d, 5) as nearest_field_km,
+    select zone_no, round(value, 5) as value, case when inb then round(greatest((value + 1) * exp(-0.9) - 1, 0), 5) end as lo80, round((value + 1) * exp(0.8) - 1, 5) as hi80, round(d, 5) as nearest_field_km,
       case when not inb then 'unavailable' when far or mon or rng then 'research_estimate' else 'model_estimate' end as status,
       case when not inb then 'outside the basins of the profile' else concat_ws('; ', case when far then 'far from field data' end, case when mon then 'month outside training' end, case when rng then 'wind24_ms outside training range' end) end as reasons from sc""")
 def _(fx):
@@ -327,11 +327,11 @@ def _(fx):
 
 @register("exp33_calculation_steps", "fx_zone", oracle="""
     with z as (select zone_no, lat, cast((zone_no * 37) % 100 as double) / 10 as w from fx_zone), e as (select *, 5.1 + 0.21 * (lat - 43.2) / 1.6 + -0.13 * (w - 4.9) / 2.9 as eta from z)
-    select zone_no, 'z lat' as label, round((lat - 43.2) / 1.6, 5) as value from e union all select zone_no, 'z wind24_ms', round((w - 4.9) / 2.9, 5) from e union all select zone_no, 'linear predictor', round(eta, 5) from e
-    union all select zone_no, 'estimate', round(greatest(exp(eta) - 1, 0), 5) from e union all select zone_no, 'lo80', round(greatest((greatest(exp(eta) - 1, 0) + 1) * exp(-0.9) - 1, 0), 5) from e
-    union all select zone_no, 'hi80', round((greatest(exp(eta) - 1, 0) + 1) * exp(0.8) - 1, 5) from e""")
+    select zone_no, 'z lat' as label, round((lat - 43.2) / 1.6, 9) as value from e union all select zone_no, 'z wind24_ms', round((w - 4.9) / 2.9, 9) from e union all select zone_no, 'linear predictor', round(eta, 9) from e
+    union all select zone_no, 'estimate', round(greatest(exp(eta) - 1, 0), 9) from e union all select zone_no, 'lo80', round(greatest((greatest(exp(eta) - 1, 0) + 1) * exp(-0.9) - 1, 0), 9) from e
+    union all select zone_no, 'hi80', round((greatest(exp(eta) - 1, 0) + 1) * exp(0.8) - 1, 9) from e""")
 def _(fx):
     z = fx.fx_zone.select("zone_no", "lat", (((C("zone_no") * 37) % 100).cast("double") / 10).alias("wind24_ms"))
-    return z.select("zone_no", F.explode(ML.calculation_steps(MODEL_B)).alias("s")).select("zone_no", "s.label", R("s.value", 5).alias("value"))
+    return z.select("zone_no", F.explode(ML.calculation_steps(MODEL_B)).alias("s")).select("zone_no", "s.label", R("s.value", 9).alias("value"))
 
 

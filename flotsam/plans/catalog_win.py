@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from flotsam.operators import drift as DR
 from flotsam.operators import features as FT
 from flotsam.operators import raster as RA
-from flotsam.plans import districts as DI
 from flotsam.plans import scene as SC
 from flotsam.plans.registry import register
 
@@ -266,13 +265,6 @@ def _(fx):
     return DR.thin_grid(f, "ix", "iy", F.lit(4), F.lit(4), max_nodes=2).select("ix", "iy", "hour_no", F.bround("wind_ms", 1).alias("wind_ms"))
 
 
-@register("win18_districts", "fx_zone")
-def _(fx):
-    """Checked against the plain greedy rule in the tests."""
-    z = fx.fx_zone.select("aoi_no", "zone_no", ((C("lon") - 27) * 100).alias("x"), ((C("lat") - 40.5) * 100).alias("y"), "cover_m2")
-    return DI.districts(z, ["aoi_no"], "zone_no", win=(240.0, 160.0), size=(1500.0, 550.0), k=6)[0].withColumn("cover_m2", R("cover_m2", 4))
-
-
 @register("win19_mask_coast_distance", "fx_pixel", oracle=f"with {SIZE}, ld as (select scene_no, prow, pcol from px where {HOLES})" + """
     select px.scene_no, px.prow, px.pcol, round(min(sqrt(pow(px.prow - ld.prow, 2) + pow(px.pcol - ld.pcol, 2))) * 0.01, 6) as coast_km
     from px left join ld on ld.scene_no = px.scene_no and pow(px.prow - ld.prow, 2) + pow(px.pcol - ld.pcol, 2) <= 64 group by 1, 2, 3""")

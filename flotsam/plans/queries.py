@@ -113,3 +113,122 @@ def metric_mismatches(now: DataFrame, saved: DataFrame, keys: list[str], toleran
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("now"), F.col(f"_s_{m}").alias("saved"), F.lit(t).alias("tol")) for m, t in tolerance.items()])
     j = now.join(s, keys, "full_outer").select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
     return j.where(F.coalesce(F.abs(F.col("now") - F.col("saved")) > F.col("tol"), F.lit(True))).drop("tol")
+
+
+# ---- zones, field and hex queries ----------------------------------------------------------------------------------
+
+SORTS = ("cover", "date", "p")
+
+
+def _box(df: DataFrame, box) -> DataFrame:
+    if box is None:
+        return df
+    if len(box) != 4 or not (box[0] < box[2] and box[1] < box[3]):
+        raise ValueError("bbox: lon_min, lat_min, lon_max, lat_max")
+    return df.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+
+
+def zones_query(zones: DataFrame, *, aois=None, date=None, date_from=None, date_to=None, bbox=None, min_cover: float = 0.0,
+                reliable_only: bool = False, sort: str = "cover", limit: int = 100, offset: int = 0) -> DataFrame:
+    """One page of the zones that pass the filters, in a fixed order, with the number of all of them (``total``).
+
+    Filters come first and reach the scan; the total is its own small aggregation.
+    """
+    if sort not in SORTS:
+        raise ValueError(f"sort must be one of {SORTS}")
+    if not (1 <= limit <= 10000 and offset >= 0 and min_cover >= 0):
+        raise ValueError("limit 1..10000, offset and min_cover not negative")
+    z = zones
+    if aois is not None:
+        z = z.where(F.col("aoi_no").isin(*aois))
+    for op, v in (("=", date), (">=", date_from), ("<=", date_to)):
+        if v is not None:
+            day = F.lit(v).cast("date")
+            z = z.where({"=": F.col("date_utc") == day, ">=": F.col("date_utc") >= day, "<=": F.col("date_utc") <= day}[op])
+    z = _box(z, bbox)
+    if min_cover > 0:
+        z = z.where(F.coalesce("cover_m2", F.lit(0.0)) >= min_cover)
+    if reliable_only:
+        z = z.where(F.coalesce("scene_reliable", F.lit(True)))
+    first = {"cover": [], "date": [F.col("date_utc").desc()], "p": [F.coalesce("p_max", F.lit(0.0)).desc()]}[sort]
+    total = z.agg(F.count(F.lit(1))).scalar()
+    page = z.orderBy(*first, F.coalesce("cover_m2", F.lit(0.0)).desc(), F.col("zone_no")).offset(offset).limit(limit)
+    return page.withColumn("total", total)
+
+
+def field_query(events: DataFrame, *, profile: str | None = None, bbox=None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """Field measurements by profile, box and inclusive dates; an empty result is valid."""
+    e = events if profile is None else events.where(F.col("profile") == profile)
+    if date_from:
+        e = e.where(F.col("date_utc") >= F.lit(date_from).cast("date"))
+    if date_to:
+        e = e.where(F.col("date_utc") <= F.lit(date_to).cast("date"))
+    return _box(e, bbox)
+
+
+def event_details(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All that is known about every event as flat lines: registry decisions, measurements with formula, pairs."""
+    dec = rows.select("event_id", F.lit("row").alias("section"), F.concat_ws(" ", "decision", "sel_profile", "sel_role", "reason_code").alias("text"))
+    formula = F.when(F.col("n_items").isNotNull(), F.format_string("C = N / A = %d / %.2f = %.2f", F.col("n_items"), F.col("area_km2"), F.col("conc"))).otherwise(
+        F.format_string("C = %.2f published", F.col("conc")))
+    mea = rows.where("decision = 'included'").select("event_id", F.lit("measurement").alias("section"), formula.alias("text"))
+    prs = pairs.select("event_id", F.lit("pair").alias("section"), F.concat_ws(" ", F.coalesce(F.col("scene_no").cast("string"), F.lit("none")), "decision", "reason_code").alias("text"))
+    return dec.unionByName(mea).unionByName(prs)
+
+
+def zone_export(zones: DataFrame, profile: str, columns: tuple[str, ...]) -> DataFrame:
+    """Zones in the fixed export columns; values of the chosen profile come from its ``conc_<profile>_*`` columns."""
+    src = {"conc_items_km2": f"conc_{profile}_items_km2", "conc_status": f"conc_{profile}_status", "conc_status_ru": f"conc_{profile}_status_ru",
+           "conc_reasons": f"conc_{profile}_reasons", "model_version": f"conc_{profile}_model", **{f"conc_{b}": f"conc_{profile}_{b}" for b in ("lo80", "hi80", "lo95", "hi95")}}
+    z = zones.withColumn("profile", F.lit(profile))
+    return z.select(*[(F.col(src.get(c, c)) if src.get(c, c) in z.columns else F.lit(None).cast("string")).alias(c) for c in columns])
+
+
+def zoom_clusters(zones: DataFrame, keys: list[str], zoom: int, radius_px: float = 40.0) -> DataFrame:
+    """Zone points gathered by the map grid of a zoom level: number, summed cover and mean place."""
+    world = 256.0 * 2 ** zoom
+    x = (F.col("lon") + 180) / 360 * world
+    s = F.sin(F.radians("lat"))
+    y = (0.5 - F.log((1 + s) / (1 - s)) / (4 * F.pi())) * world
+    return zones.groupBy(*keys, F.floor(x / radius_px).alias("gx"), F.floor(y / radius_px).alias("gy")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("cover_m2").alias("cover_m2"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+
+
+def hex_cards(cube: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Detection and density of every cell, date and profile side by side."""
+    return cube.join(scored, keys, "left").withColumn("concentration_status", F.coalesce("status_conc", F.lit("unavailable")))
+
+
+def separation_or_summary(scenes: DataFrame, details: DataFrame, key: str) -> DataFrame:
+    """Detailed rejection counts where they exist, otherwise what the scene summary still tells."""
+    j = scenes.join(details.withColumn("_has", F.lit(True)), key, "left")
+    has = F.coalesce("_has", F.lit(False))
+    return j.select(key, has.alias("detail_available"), F.when(has, F.col("candidates")).otherwise(F.coalesce("n_raw", "n_det", F.lit(0))).alias("candidates"),
+                    F.when(has, F.col("kept")).otherwise(F.coalesce("n_det", F.lit(0))).alias("kept"),
+                    F.when(has, F.lit(0)).otherwise(F.greatest(F.coalesce("n_raw", "n_det", F.lit(0)) - F.coalesce("n_det", F.lit(0)), F.lit(0))).alias("details_unavailable"))
+
+
+def area_info(scenes: DataFrame, zones: DataFrame, avail: DataFrame, key: str) -> DataFrame:
+    """Scenes, period, cover and available profiles of every area."""
+    s = scenes.groupBy(key).agg(F.count_distinct("date_utc").alias("n_dates"), F.min("date_utc").alias("first_date"), F.max("date_utc").alias("last_date"))
+    z = zones.groupBy(key).agg(F.sum("cover_m2").alias("total_cover_m2"))
+    a = avail.where("available").groupBy(key).agg(F.concat_ws(",", F.array_sort(F.collect_set("profile"))).alias("profiles"))   # at most three profiles
+    return s.join(z, key, "left").join(a, key, "left")
+
+
+def top_zones(zones: DataFrame, keys: list[str], members: DataFrame | None = None, n: int = 12) -> DataFrame:
+    """The largest zones of a scene with their share of the total and their district."""
+    total = zones.groupBy(*keys).agg(F.sum("cover_m2").alias("_total"))
+    t = top_k(zones, keys, [F.col("cover_m2").desc(), F.col("p_max").desc(), F.col("zone_no")], n, "place", salt_on="zone_no").join(total, keys)
+    t = t.withColumn("share", F.coalesce(F.try_divide("cover_m2", "_total"), F.lit(0.0))).drop("_total")
+    return t if members is None else t.join(members, [*keys, "zone_no"], "left")
+
+
+def metric_table(parts: dict[str, DataFrame], keys: list[str], metrics: tuple[str, ...]) -> DataFrame:
+    """Metric rows of several checks in one long table: part, keys, metric, value."""
+    out = None
+    for name, df in parts.items():
+        rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        d = df.select(F.lit(name).alias("part"), *keys, F.explode(rows).alias("r")).select("part", *keys, "r.*")
+        out = d if out is None else out.unionByName(d)
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flotsam.config import DETECTOR, GROUPS, QUALITY_CODES, REJECT_ORDER, SCL_CLEAR, SCL_CLOUD_EDGE
 from flotsam.functions import spectral as S
+from flotsam.functions.geo import hex_axial, hex_centre
 from flotsam.operators import raster
 
 SHIP = GROUPS.index("ship")
@@ -101,6 +102,19 @@ def hex_cube(px: DataFrame, scene: list[str], cell: str = "cell", cfg=DETECTOR)
         "status": F.when(F.col("ndet") > 0, 1).when((vfrac < cfg.min_hex_valid) | (gfrac > 0.5) | ~F.col("reliable"), 2).otherwise(0)})
 
 
+def hex_grid(px: DataFrame, area: list[str], plane, step: int = 5, px_km2: float = PX_KM2) -> DataFrame:
+    """Cells of the water pixels: id, water area and centre (km in the plane).
+
+    A pixel takes the cell of the centre of its ``step``×``step`` block; ``plane(row, col)`` gives planar km.
+    """
+    br = F.least(F.floor(F.col("row") / step) * step + step // 2, F.col("height") - 1)
+    bc = F.least(F.floor(F.col("col") / step) * step + step // 2, F.col("width") - 1)
+    q, r = hex_axial(*plane(br, bc))
+    g = px.groupBy(*area, q.alias("q"), r.alias("r")).agg((F.count(F.lit(1)) * px_km2).alias("water_km2"))
+    cx, cy = hex_centre(F.col("q"), F.col("r"))
+    return g.select(*area, F.concat_ws(":", F.col("q").cast("string"), F.col("r").cast("string")).alias("cell"), "water_km2", cx.alias("cx"), cy.alias("cy"))
+
+
 def hex_statistics(cube: DataFrame, keys: list[str], day: str) -> DataFrame:
     """Persistence, mean and highest cover, heat and monthly trend per cell over the usable dates."""
     first = cube.groupBy(*[k for k in keys if k != "cell"]).agg(F.min(day).alias("_d0"))
@@ -144,7 +158,7 @@ def series_arrays(cube: DataFrame, area: list[str], date: str, chunk: int = 1000
     c = cube.join(cells, [*area, "cell"])
     s = F.array_sort(F.collect_list(F.struct("i", "cover", "ndet", "valid_frac", "status")))
     g = c.groupBy(*area, date, F.floor(F.col("i") / chunk).alias("block")).agg(s.alias("s"))
-    return g.select(*area, date, "block", *[F.transform("s", lambda x, n=n: x[n]).alias(n) for n in ("cover", "ndet", "valid_frac", "status")])
+    return g.select(*area, date, "block", *[F.col("s")[n].alias(n) for n in ("cover", "ndet", "valid_frac", "status")])
 
 
 # ---- zones ---------------------------------------------------------------------------------------------------------
