@@ -1,7 +1,7 @@
 """Connected components and the link graph of dependent events."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flotsam.functions.geo import EARTH_KM, haversine_km
@@ -31,8 +31,10 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         small = large.join(s, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = materialise(canonical(small))
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        e = materialise(canonical(small).observe(seen, F.count(F.lit(1)).alias("n"),
+                                                 F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        now = (seen.get["n"], seen.get["h"])
         if now == mark:
             break
         mark = now

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flotsam.functions.geo import EARTH_KM, haversine_km
 from flotsam.operators.ranking import top_k
+from flotsam.session import materialise
 
 LEAF_ROWS = 32      # a cell with more points than this is split further
 MAX_DEPTH = 9
@@ -72,7 +73,14 @@ def nearest(queries: DataFrame, refs: DataFrame, *, qid: str, rid: str, k: int =
                     *([F.col(r_t).cast("double").alias("t")] if timed else []),
                     *([F.col(exclude[1]).alias("_g")] if exclude else []), *[F.col(p).alias(f"_p_{p}") for p in payload])
     r = r.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    r = top_k(r, axes + (["_g"] if exclude else []), [F.col("_rid")], k, "_dup", salt_on="_rid").drop("_dup")
+    # equal positions: only the k smallest ids can win; the table is read several times below, so it is written once
+    same = axes + (["_g"] if exclude else [])
+    if k == 1:
+        rest = [c for c in r.columns if c not in same]
+        r = r.groupBy(*same).agg(F.min_by(F.struct(*rest), "_rid").alias("_s")).select(*same, "_s.*")
+    else:
+        r = top_k(r, same, [F.col("_rid")], k, "_dup", salt_on="_rid").drop("_dup")
+    r = materialise(r)
     q = queries.select(F.col(qid).alias("_qid"), F.col(q_xy[0]).cast("double").alias("qx"),
                        F.col(q_xy[1]).cast("double").alias("qy"),
                        *([F.col(q_t).cast("double").alias("qt")] if timed else []),
@@ -104,7 +112,7 @@ def nearest(queries: DataFrame, refs: DataFrame, *, qid: str, rid: str, k: int =
                     *[f(f"{a}{i}").alias(f"{a}{i}") for a in axes for i, f in ((0, F.min), (1, F.max))]))
     else:
         leaf = r.groupBy(*[f"c{a}" for a in axes]).agg(*stat)
-    leaf = leaf.persist()
+    leaf = materialise(leaf)
 
     cand = q.select("*", *[F.lit(0).cast("bigint").alias(f"c{a}") for a in axes],
                     F.lit(float("inf") if max_dist is None else float(max_dist)).alias("cap"))
