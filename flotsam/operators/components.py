@@ -127,11 +127,18 @@ def link_graph(events: DataFrame, link_km: float, link_days: int, refine: int =
         sure = state.where("sure").select("cell", "cell2")
         solved = sure if solved is None else solved.unionByName(sure)
         open_pairs = state.where("not sure").select("cell", "cell2")
-    # what is left lies within a sub-cell's width of the limit: decide on the points
-    pts = ev.select("cell", "lon", "lat").distinct()
-    a = pts.select("cell", F.col("lon").alias("ax"), F.col("lat").alias("ay"))
-    c = pts.select(F.col("cell").alias("cell2"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
-    exact = (open_pairs.join(a, "cell").join(c, "cell2")
+    # what is left lies within a sub-cell's width of the limit: decide on the points of the sub-cells in question
+    div = 4 ** refine
+    b = boxes(div)
+    p = b.select("cell", F.col("sub").alias("psub"), *[F.col(c).alias("p" + c) for c in ("x0", "x1", "y0", "y1")])
+    q = b.select(F.col("cell").alias("cell2"), F.col("sub").alias("qsub"), *[F.col(c).alias("q" + c) for c in ("x0", "x1", "y0", "y1")])
+    doubt = (open_pairs.join(p, "cell").join(q, "cell2").where(box_bounds("p", "q")[0] < link_km * (1 + 1e-9))
+             .select("cell", "psub", "cell2", "qsub"))
+    gy, gx = sphere_cell(F.col("lon"), F.col("lat"), side / div)
+    pts = ev.select("cell", F.struct(gy.alias("sy"), gx.alias("sx")).alias("sub"), "lon", "lat").distinct()
+    a = pts.select("cell", F.col("sub").alias("psub"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
+    c = pts.select(F.col("cell").alias("cell2"), F.col("sub").alias("qsub"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
+    exact = (doubt.join(a, ["cell", "psub"]).join(c, ["cell2", "qsub"])
              .where(haversine_km(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) < link_km)
              .select("cell", "cell2").distinct())
     near = solved.unionByName(exact).select(F.col("cell").alias("a"), F.col("cell2").alias("b"), F.lit("near").alias("link"))

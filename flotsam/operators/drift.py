@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flotsam.functions.geo import KM_PER_DEG, compass, planar_km
 from flotsam.operators.neighbours import Metric, nearest
 from flotsam.operators.ranking import exact_quantiles, top_k
+from flotsam.session import materialise
 
 
 def seed_table(points: DataFrame, keys: list[str], p: str, frac: str, id_col: str, *, max_seeds: int = 300, n_ens: int = 4) -> DataFrame:
@@ -79,6 +80,7 @@ def nearest_in_plane(obs: DataFrame, pts: DataFrame, lat0: float, oid: str, pid:
 
 def drift_check(dist: DataFrame, keys: list[str]) -> DataFrame:
     """Median distance and share within 1 km, forecast against standing still (columns d_forecast, d_stay)."""
+    dist = materialise(dist)        # read several times below
     q = exact_quantiles(dist, keys, "d_forecast", {"median_km_forecast": 0.5}).join(
         exact_quantiles(dist, keys, "d_stay", {"median_km_stay": 0.5}), keys)
     g = dist.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), F.avg((F.col("d_forecast") <= 1).cast("double")).alias("within_1km_forecast"),
@@ -103,18 +105,25 @@ def hourly_field(field: DataFrame, keys: list[str], time: str, values: list[str]
         (F.col(v) + (F.coalesce(f"_n_{v}", v) - F.col(v)) * frac).alias(v) for v in values])
 
 
-def at_times(field: DataFrame, targets: DataFrame, keys: list[str], time: str, value: str, out: str) -> DataFrame:
-    """Linear interpolation at target times, clamped at both ends; both sides meet in one ordered pass per cell."""
-    u = field.select(*keys, F.col(time).alias("_t"), F.col(value).alias("_v"), F.lit(0).alias("_q"), F.lit(None).cast("bigint").alias("_id")).unionByName(
-        targets.select(*keys, F.col(time).alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_q"), F.col("target_id").alias("_id")))
-    known = F.when(F.col("_q") == 0, F.struct("_t", "_v"))
-    back = Window.partitionBy(*keys).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    fore = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_q").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("_a", F.last(known, ignorenulls=True).over(back)).withColumn("_b", F.last(known, ignorenulls=True).over(fore))
-    span = F.col("_b._t") - F.col("_a._t")
-    v = F.when(F.col("_a").isNull(), F.col("_b._v")).when(F.col("_b").isNull() | (span <= 0), F.col("_a._v")).otherwise(
-        F.col("_a._v") + (F.col("_b._v") - F.col("_a._v")) * (F.col("_t") - F.col("_a._t")) / F.when(span > 0, span))
-    return u.where("_q = 1").select(*keys, F.col("_id").alias("target_id"), F.col("_t").alias(time), v.alias(out))
+def at_times(field: DataFrame, targets: DataFrame, keys: list[str], time: str, value: str, out: str, slot: float = 1.0) -> DataFrame:
+    """Linear interpolation at target times, clamped at both ends.
+
+    Every pair of neighbouring field times is spread over the time slots it spans, once per grid cell; targets then
+    join on (cell, slot), so that a cell with very many targets is no single task. Targets before the first or
+    after the last time take the end values.
+    """
+    f = field.select(*keys, F.col(time).cast("double").alias("_t"), F.col(value).alias("_v"))
+    w = Window.partitionBy(*keys).orderBy("_t")         # the times of one grid cell
+    f = f.withColumns({"_t1": F.lead("_t").over(w), "_v1": F.lead("_v").over(w)})
+    seg = f.where("_t1 is not null").withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_t") / slot), F.floor(F.col("_t1") / slot))))
+    ends = f.groupBy(*keys).agg(F.min(F.struct("_t", "_v")).alias("_first"), F.max(F.struct("_t", "_v")).alias("_last"))
+    t = targets.withColumns({"_x": F.col(time).cast("double"), "_slot": F.floor(F.col(time) / slot)}).join(ends, keys, "left")
+    inner = t.where((F.col("_x") >= F.col("_first._t")) & (F.col("_x") < F.col("_last._t")))
+    outer = t.where(F.col("_first").isNull() | (F.col("_x") < F.col("_first._t")) | (F.col("_x") >= F.col("_last._t")))
+    inner = inner.join(seg, [*keys, "_slot"]).where((F.col("_t") <= F.col("_x")) & (F.col("_x") < F.col("_t1")))
+    v = F.col("_v") + (F.col("_v1") - F.col("_v")) * (F.col("_x") - F.col("_t")) / (F.col("_t1") - F.col("_t"))
+    edge = F.when(F.col("_x") < F.col("_first._t"), F.col("_first._v")).otherwise(F.col("_last._v"))
+    return inner.select(*targets.columns, v.alias(out)).unionByName(outer.select(*targets.columns, edge.alias(out)))
 
 
 def thin_grid(field: DataFrame, ix: str, iy: str, nx: Column, ny: Column, max_nodes: int = 32) -> DataFrame:

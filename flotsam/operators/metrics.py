@@ -153,7 +153,9 @@ def group_bootstrap(groups: DataFrame, keys: list[str], sums: list[str], stats:
     per (replicate, group) before they meet the sums.
     """
     size = groups.select(*keys, "n_groups").distinct()
-    picks = (size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    # the table of sizes is tiny: spread the replicates before they grow to one row per draw
+    spread = int(size.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    picks = (size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(spread, "rep")
              .withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n_groups") - 1).cast("int")))))
     picks = picks.withColumn("group_no", draw(seed, F.col("rep"), F.col("slot"), F.col("n_groups")))
     picks = picks.groupBy(*keys, "rep", "group_no").agg(F.count(F.lit(1)).alias("_m"))
@@ -186,7 +188,7 @@ def conformal(df: DataFrame, keys: list[str], y: str, p: str, level: float) -> D
     d = df.withColumn("_res", F.log(F.col(y) + EPS) - F.log(F.col(p) + EPS))
     lo = F.floor((n - 1) * F.greatest(F.lit(a / 2) * (n + 1) / n - 1 / n, F.lit(0.0)))
     hi = F.ceil((n - 1) * F.least(F.lit(1 - a / 2) * (n + 1) / n, F.lit(1.0)))
-    return order_statistics(d, keys, "_res", {"q_lo": lo, "q_hi": hi})
+    return order_statistics(d, keys, "_res", {"q_lo": (a / 2, lo), "q_hi": (1 - a / 2, hi)})
 
 
 def apply_interval(p: Column, q_lo: Column, q_hi: Column) -> tuple[Column, Column]:

@@ -34,47 +34,72 @@ def global_rank(df: DataFrame, order: list[str], out: str = "rank_no") -> DataFr
     return running_total(df.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", out).drop("_one")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles per key, exact at any group size.
+SKETCH = 10000          # accuracy of the first look: ranks are known to within n / SKETCH
+SMALL_GROUP = 50000     # groups up to this size skip the first look
+
 
-    Counts per distinct value are combined before the shuffle; a running total over the global order then tells
-    which values hold the wanted ranks. No task holds a whole group.
+def rank_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[float, list[Column]]]) -> DataFrame:
+    """Values at exact 0-based ranks per key: ``keys, _n`` and ``<name>_<i>`` for the i-th rank of every name.
+
+    ``ranks``: name → (roughly where, as a share; rank expressions of ``_n``). A quantile sketch first brackets the
+    wanted ranks. In a second pass every row is either inside a bracket, counted as below it, or dropped; only the few
+    distinct values inside are put in order. The sketch decides how much is ordered, never the result: a rank that
+    is not found inside its bracket widens the brackets up to the whole group. No task holds a whole group.
     """
     work = keys or ["_all"]
-    src = df if keys else df.withColumn("_all", F.lit(0))
-    counts = (src.where(F.col(value).isNotNull()).groupBy(*work, F.col(value).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    run = running_total(counts, [*work, "_v"], "_c", "_cum")
-    span = run.groupBy(*work).agg(F.min(F.col("_cum") - F.col("_c")).alias("_base"), F.sum("_c").alias("_n"))
-    j = run.join(span, work).select(
-        *work, "_v", "_n", (F.col("_cum") - F.col("_c") - F.col("_base")).alias("_lo"),
-        (F.col("_cum") - F.col("_base")).alias("_hi"))
-
-    def at(pos: Column) -> Column:
-        return F.max(F.when((F.col("_lo") <= pos) & (pos < F.col("_hi")), F.col("_v")))
-
-    aggs = [F.max("_n").alias("_n")]
+    src = (df if keys else df.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull()).select(*work, F.col(value).cast("double").alias("_v"))
+    names = list(ranks)
+    for margin in (4.0 / SKETCH, 0.05, None):
+        aggs = [F.count(F.lit(1)).alias("_n")]
+        if margin is not None:
+            shares = [x for n in names for x in (max(ranks[n][0] - margin, 0.0), min(ranks[n][0] + margin, 1.0))]
+            aggs.append(F.percentile_approx("_v", F.array(*[F.lit(x) for x in shares]), F.lit(SKETCH)).alias("_b"))
+        look = materialise(src.groupBy(*work).agg(*aggs))      # one row per key, read three times
+        d = src.join(look, work)
+        slots = []
+        for i, _ in enumerate(names):
+            if margin is None:
+                keep, val = F.lit(True), F.col("_v")
+            else:
+                small = F.col("_n") <= SMALL_GROUP
+                keep = small | (F.col("_v") <= F.col("_b")[2 * i + 1])
+                val = F.when(small | (F.col("_v") >= F.col("_b")[2 * i]), F.col("_v"))
+            slots.append(F.when(keep, F.struct(F.lit(i).alias("i"), val.alias("v"))))
+        counts = (d.select(*work, F.explode(F.array_compact(F.array(*slots))).alias("s")).groupBy(*work, "s.i", "s.v")
+                  .agg(F.count(F.lit(1)).alias("_c")))
+        # nulls come first: the rows below a bracket are one row ahead of its values
+        run = running_total(counts, [*work, "i", "v"], "_c", "_cum")
+        base = run.groupBy(*work, "i").agg(F.min(F.col("_cum") - F.col("_c")).alias("_base"))
+        j = run.join(base, [*work, "i"]).join(look.select(*work, "_n"), work)
+        lo, hi = F.col("_cum") - F.col("_c") - F.col("_base"), F.col("_cum") - F.col("_base")
+        out = [F.max(F.when((F.col("i") == i) & (lo <= r) & (r < hi), F.col("v"))).alias(f"{n}_{k}")
+               for i, n in enumerate(names) for k, r in enumerate(ranks[n][1])]
+        res = materialise(j.groupBy(*work).agg(F.max("_n").alias("_n"), *out))
+        cols = [c for c in res.columns if c not in (*work, "_n")]
+        if margin is None or res.where(" or ".join(f"`{c}` is null" for c in cols)).isEmpty():
+            return res.select(*keys, "_n", *cols)
+    raise AssertionError("unreachable")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per key, exact at any group size."""
+    n = F.col("_n")
+    want = {}
     for name, p in probs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        aggs += [at(F.floor(pos)).alias(f"_f_{name}"), at(F.ceil(pos)).alias(f"_c_{name}")]
-    res = j.groupBy(*work).agg(*aggs)
+        pos = (n - 1) * F.lit(float(p))
+        want[name] = (float(p), [F.floor(pos), F.ceil(pos)])
+    r = rank_values(df, keys, value, want)
     cols = []
     for name, p in probs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        cols.append((F.col(f"_f_{name}") + (F.col(f"_c_{name}") - F.col(f"_f_{name}")) * (pos - F.floor(pos))).alias(name))
-    return res.select(*keys, *cols)
-
-
-def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """Values at given 0-based ranks per key; ``ranks`` are expressions of ``_n``, the group size."""
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    run = running_total(counts, [*keys, "_v"], "_c", "_cum")
-    span = run.groupBy(*keys).agg(F.min(F.col("_cum") - F.col("_c")).alias("_base"), F.sum("_c").alias("_n"))
-    j = run.join(span, keys).withColumn("_lo", F.col("_cum") - F.col("_c") - F.col("_base")).withColumn(
-        "_hi", F.col("_cum") - F.col("_base"))
-    return j.groupBy(*keys).agg(F.max("_n").alias("n"), *[
-        F.max(F.when((F.col("_lo") <= r) & (r < F.col("_hi")), F.col("_v"))).alias(name) for name, r in ranks.items()])
+        pos = (n - 1) * F.lit(float(p))
+        cols.append((F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * (pos - F.floor(pos))).alias(name))
+    return r.select(*keys, *cols)
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[float, Column]]) -> DataFrame:
+    """Values at given 0-based ranks per key; ``ranks``: name → (rough share, expression of ``_n``, the group size)."""
+    r = rank_values(df, keys, value, {n: (p, [e]) for n, (p, e) in ranks.items()})
+    return r.select(*keys, F.col("_n").alias("n"), *[F.col(f"{n}_0").alias(n) for n in ranks])
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rank_no", salt_on: str | None = None,

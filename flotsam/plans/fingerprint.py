@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flotsam.operators.ranking import global_rank
+from flotsam.session import materialise
 
 FAN = 1000
 
@@ -28,7 +29,7 @@ def fingerprint(df: DataFrame, columns: list[str], order: list[str]) -> DataFram
     No task ever holds more than 1000 hashes of a level, whatever the size of the result.
     """
     n_cols = df.select(*dict.fromkeys([*order, *columns]))
-    level = global_rank(n_cols, order, "_r").select((F.col("_r") - 1).alias("i"), F.sha2(canonical(df, columns), 256).alias("h")).persist()
+    level = materialise(global_rank(n_cols, order, "_r").select((F.col("_r") - 1).alias("i"), F.sha2(canonical(df, columns), 256).alias("h")))
     n = level.agg(F.count(F.lit(1))).first()[0]
     rows = n
     while True:

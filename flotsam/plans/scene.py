@@ -8,6 +8,7 @@ from flotsam.config import DETECTOR, GROUPS, QUALITY_CODES, REJECT_ORDER, SCL_CL
 from flotsam.functions import spectral as S
 from flotsam.functions.geo import hex_axial, hex_centre
 from flotsam.operators import raster
+from flotsam.operators.ranking import running_totals
 
 SHIP = GROUPS.index("ship")
 PX_KM2 = 1e-4        # one 10 m pixel
@@ -152,9 +153,8 @@ def status_counts(cube: DataFrame, scene: list[str]) -> DataFrame:
 
 def series_arrays(cube: DataFrame, area: list[str], date: str, chunk: int = 1000) -> DataFrame:
     """Nested form of the cube: per area, date and block of cells, arrays ordered by cell number."""
-    cells = cube.select(*area, "cell").distinct()
-    w = Window.partitionBy(*area).orderBy("cell")      # the cells of one area
-    cells = cells.withColumn("i", F.row_number().over(w) - 1)
+    cells = running_totals(cube.select(*area, "cell", F.lit(1).alias("_one")).distinct(), [*area, "cell"], {"_r": "_one"})
+    cells = cells.join(cells.groupBy(*area).agg(F.min("_r").alias("_b")), area).select(*area, "cell", (F.col("_r") - F.col("_b")).alias("i"))
     c = cube.join(cells, [*area, "cell"])
     s = F.array_sort(F.collect_list(F.struct("i", "cover", "ndet", "valid_frac", "status")))
     g = c.groupBy(*area, date, F.floor(F.col("i") / chunk).alias("block")).agg(s.alias("s"))

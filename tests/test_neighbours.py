@@ -119,3 +119,16 @@ def test_quantiles_and_ranks(spark):
     assert len(m) == len(exp) and np.allclose(m.r_x, m.r_y)
     got = R.top_k(df.withColumn("id", F.monotonically_increasing_id()), ["k"], [F.col("v").desc(), F.col("id")], 4).toPandas()
     assert sorted(got.v) == sorted(pdf.groupby("k").v.nlargest(4))
+
+
+def test_quantiles_of_large_groups_with_a_narrow_first_look(spark, monkeypatch):
+    """Brackets of the sketch must not change the result, also when they miss."""
+    monkeypatch.setattr(R, "SMALL_GROUP", 10)
+    g = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": g.integers(0, 2, 20000), "v": np.round(g.normal(size=20000), 3)})
+    df = spark.createDataFrame(pdf)
+    for sketch in (10000, 50):
+        monkeypatch.setattr(R, "SKETCH", sketch)
+        got = {r["k"]: (r["a"], r["b"], r["c"]) for r in R.exact_quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.013, "c": 1.0}).collect()}
+        for k, grp in pdf.groupby("k"):
+            assert got[k] == pytest.approx((np.quantile(grp.v, 0.5), np.quantile(grp.v, 0.013), grp.v.max()))
