@@ -15,7 +15,7 @@ from flotsam.plans import queries as Q
 from flotsam.plans import scene as SC
 from flotsam.plans.catalog_agg import CUBE_SQL, PAIR_SQL, cube, hex_sql, pair_rows, rnd
 from flotsam.plans.catalog_exp import SELECT_SQL
-from flotsam.plans.catalog_ml import score_cube
+from flotsam.plans.catalog_ml import SCORED_SQL, score_cube
 from flotsam.plans.catalog_src import CATALOGUE, event_boxes, scenes
 from flotsam.plans.registry import register
 from flotsam.sources import registry as reg
@@ -71,17 +71,17 @@ def _(fx):
     return rnd(PR.pair_timeline(pairs(fx)).withColumn("seq", C("seq").cast("bigint")), 4)
 
 
-HEXGRID = """hp as (select p_partkey, least(cast(floor(prow / 5) as bigint) * 5 + 2, h - 1) as br, least(cast(floor(pcol / 5) as bigint) * 5 + 2, w - 1) as bc
-      from fx_pixel, (select max(prow) + 1 as h, max(pcol) + 1 as w from fx_pixel) where scene_no = 0 and p_partkey % 7 <> 0), """ + hex_sql("h", "hp", "(bc + 0.5) * 0.1", "-(br + 0.5) * 0.1")
+HEXGRID = """hp as (select scene_no, p_partkey, least(cast(floor(prow / 5) as bigint) * 5 + 2, h - 1) as br, least(cast(floor(pcol / 5) as bigint) * 5 + 2, w - 1) as bc
+      from fx_pixel join (select scene_no, max(prow) + 1 as h, max(pcol) + 1 as w from fx_pixel group by 1) using (scene_no) where p_partkey % 7 <> 0), """ + hex_sql("h", "hp", "(bc + 0.5) * 0.1", "-(br + 0.5) * 0.1")
 
 
 @register("dq6_hex_grid", "fx_pixel", oracle=f"with {HEXGRID}" + f"""
-    select concat(q, ':', r) as cell, round(count(*) * cast(0.01 as double), 6) as water_km2, round({G.HEX_SIDE_KM!r} * sqrt(3) * (q + r / 2), 6) as cx, round({G.HEX_SIDE_KM!r} * cast(1.5 as double) * r, 6) as cy from h group by q, r""")
+    select scene_no, concat(q, ':', r) as cell, round(count(*) * cast(0.01 as double), 6) as water_km2, round({G.HEX_SIDE_KM!r} * sqrt(3) * (q + r / 2), 6) as cx, round({G.HEX_SIDE_KM!r} * cast(1.5 as double) * r, 6) as cy from h group by scene_no, q, r""")
 def _(fx):
-    """Cells of the water pixels of one image (100 m pixels); pixels take the cell of their 5×5 block centre."""
+    """Cells of the water pixels of every image (100 m pixels); pixels take the cell of their 5×5 block centre."""
     from flotsam.operators.raster import with_size
-    px = with_size(fx.fx_pixel.where("scene_no = 0").select("scene_no", "p_partkey", C("prow").alias("row"), C("pcol").alias("col")), ["scene_no"])
-    g = SC.hex_grid(px.where("p_partkey % 7 <> 0"), [], lambda r, c: ((c + 0.5) * 0.1, -(r + 0.5) * 0.1), px_km2=0.01)
+    px = with_size(fx.fx_pixel.select("scene_no", "p_partkey", C("prow").alias("row"), C("pcol").alias("col")), ["scene_no"])
+    g = SC.hex_grid(px.where("p_partkey % 7 <> 0"), ["scene_no"], lambda r, c: ((c + 0.5) * 0.1, -(r + 0.5) * 0.1), px_km2=0.01)
     return rnd(g)
 
 
@@ -157,21 +157,23 @@ def _(fx):
     return rnd(Q.zoom_clusters(fx.fx_zone, ["aoi_no"], 7), 9, cover_m2=4)
 
 
-@register("dq13_hex_cards", "fx_cellpx", oracle="with " + CUBE_SQL + """
-    select scene_no, cell, p as profile, case status when 0 then 'не обнаружено' when 1 then 'обнаружено' else 'недостаточно данных' end as detection_ru, case when p = 'A' then 'концентрация недоступна' end as conc_ru, round(cover, 5) as cover from cube3, (select unnest(['A']) as p)""")
+@register("dq13_hex_cards", "fx_cellpx", "fx_event", oracle="with " + CUBE_SQL + ", " + SCORED_SQL + """
+    select scene_no, cell, profile, case cube3.status when 0 then 'не обнаружено' when 1 then 'обнаружено' else 'недостаточно данных' end as detection_ru,
+      case s.status when 'unavailable' then 'концентрация недоступна' when 'model_estimate' then 'модельная оценка' else 'исследовательская оценка' end as conc_ru, round(cover, 5) as cover from cube3 join scored s using (scene_no, cell)""")
 def _(fx):
-    s = score_cube(fx).where("profile = 'A'").select("scene_no", "cell", "profile", C("status").alias("status_conc"))
+    s = score_cube(fx).select("scene_no", "cell", "profile", C("status").alias("status_conc"))
     cards = Q.hex_cards(cube(fx), s, ["scene_no", "cell"])
     code = F.when(C("concentration_status") == "unavailable", 0).when(C("concentration_status") == "model_estimate", 1).otherwise(2)
     return cards.select("scene_no", "cell", "profile", ST.label_of(C("status"), DETECTION_STATUS).alias("detection_ru"), ST.label_of(code, CONCENTRATION_STATUS).alias("conc_ru"), R("cover", 5).alias("cover"))
 
 
 @register("dq14_separation_fallback", "fx_cellpx", oracle="""
-    with s as (select scene_no, count(*) filter (where valid and p >= 0.5) as n_raw, count(*) filter (where det) as n_det from fx_cellpx group by 1)
-    select scene_no, scene_no <> 3 as detail_available, n_raw as candidates, n_det as kept, case when scene_no = 3 then n_raw - n_det else 0 end as details_unavailable from s""")
+    with s as (select scene_no, any_value(reliable) as rel, count(*) filter (where valid and p >= 0.5) as n_raw, count(*) filter (where det) as n_det from fx_cellpx group by 1)
+    select scene_no, rel as detail_available, n_raw as candidates, n_det as kept, case when not rel then n_raw - n_det else 0 end as details_unavailable from s""")
 def _(fx):
-    s = SC.scene_summary(fx.fx_cellpx.withColumn("quality", F.lit(0)), ["scene_no"]).select("scene_no", "n_raw", "n_det")
-    det = s.where("scene_no <> 3").select("scene_no", C("n_raw").alias("candidates"), C("n_det").alias("kept"))
+    """Details are kept for reliable scenes only."""
+    s = SC.scene_summary(fx.fx_cellpx.withColumn("quality", F.lit(0)), ["scene_no", "reliable"]).select("scene_no", "reliable", "n_raw", "n_det")
+    det = s.where("reliable").select("scene_no", C("n_raw").alias("candidates"), C("n_det").alias("kept"))
     return Q.separation_or_summary(s, det, "scene_no").withColumn("details_unavailable", C("details_unavailable").cast("bigint"))
 
 

@@ -29,8 +29,7 @@ def _(fx):
                               D.density_violation(C("n_items"), C("area_km2")).alias("problem"))
 
 
-@register("exp3_poisson_interval", "fx_event", oracle="""
-    with recursive ns as (select distinct n_items as n from fx_event where n_items is not null),
+POISSON_SQL = """ns as (select distinct n_items as n from fx_event where n_items is not null),
     b as (select n, 0 as i, cast(n as double) as lo, n + 10 * sqrt(n + 1) + 20 as hi,
                  cast(greatest(n - 10 * sqrt(n) - 20, 1e-9) as double) as lo2, cast(greatest(n, 1e-6) as double) as hi2 from ns
       union all
@@ -40,7 +39,10 @@ def _(fx):
               list_sum(list_transform(range(0, n + 1), lambda k: exp(-(lo + hi) / 2 + k * ln((lo + hi) / 2) - lgamma(k + 1)))) as c,
               coalesce(list_sum(list_transform(range(0, n), lambda k: exp(-(lo2 + hi2) / 2 + k * ln((lo2 + hi2) / 2) - lgamma(k + 1)))), 0) as c2
             from b where i < 60)),
-    r as (select n, case when n = 0 then 0 else (lo2 + hi2) / 2 end as nlo, (lo + hi) / 2 as nhi from b where i = 60)
+    r as (select n, case when n = 0 then 0 else (lo2 + hi2) / 2 end as nlo, (lo + hi) / 2 as nhi from b where i = 60)"""
+
+
+@register("exp3_poisson_interval", "fx_event", oracle="with recursive " + POISSON_SQL + """
     select event_id, round(nlo / area_km2, 6) as lo95, round(nhi / area_km2, 6) as hi95 from fx_event e left join r on r.n = e.n_items""")
 def _(fx):
     ev = D.poisson_interval(fx.fx_event, "n_items")
@@ -334,14 +336,13 @@ def _(fx):
     return dup.unionByName(miss.groupBy("violation", "profile", "user_id").agg(F.count(F.lit(1)).alias("n")))
 
 
-@register("exp33_explain_event", "fx_event", oracle="""
+@register("exp33_explain_event", "fx_event", oracle="with recursive " + POISSON_SQL + """
     select event_id, 1 as step, 'interval' as label, round((t_end_s - t_start_s) / 86400, 6) as value, case when time_known then 'known time' else 'whole day' end as formula from fx_event
-    union all select event_id, 2, 'density', round(conc, 6), case when n_items is not null then concat('C = N / A = ', n_items, ' / ', format('{:.2f}', area_km2)) else 'published estimate' end from fx_event""")
+    union all select event_id, 2, 'density', round(conc, 6), case when n_items is not null then concat('C = N / A = ', n_items, ' / ', format('{:.2f}', area_km2)) else 'published estimate' end from fx_event
+    union all select event_id, 3, 'lo95', round(nlo / area_km2, 6), 'exact Poisson bound' from fx_event e join r on r.n = e.n_items
+    union all select event_id, 4, 'hi95', round(nhi / area_km2, 6), 'exact Poisson bound' from fx_event e join r on r.n = e.n_items""")
 def _(fx):
-    """Intervals themselves are checked by exp3; here the steps that lead to the density."""
-    ev = FP.event_density(fx.fx_event)
-    e = FP.explain_event(ev).where("step <= 2")
-    return e.withColumn("value", R("value", 6))
+    return FP.explain_event(FP.event_density(fx.fx_event)).withColumn("value", R("value", 6))
 
 
 @register("exp34_local_plane", "fx_zone", oracle="""

@@ -263,14 +263,15 @@ GROUPED = LINKED + """, e2 as (select a, b from lp union all select b, a from lp
       union select e2.b, min(c.comp) from cc c join e2 on e2.a = c.node join recurring.cc r on r.node = e2.b where c.comp < r.comp group by e2.b)"""
 
 
-@register("cc1_components", "fx_label", oracle="""
-    with recursive e as (select distinct scene_no as a, 100000 + l_partkey as b from fx_label where cl = 3 and conf = 1 and pred_strict), e2 as (select a, b from e union all select b, a from e),
+@register("cc1_components", oracle="""
+    with recursive e as (select distinct l_orderkey as a, 100000000 + cast(round(l_extendedprice * 100) as bigint) as b from lineitem), e2 as (select a, b from e union all select b, a from e),
     cc(node, comp) using key (node) as (select distinct a, a from e2
       union select e2.b, min(c.comp) from cc c join e2 on e2.a = c.node join recurring.cc r on r.node = e2.b where c.comp < r.comp group by e2.b)
     select node, comp as component from cc""")
 def _(fx):
+    """Orders linked by equal prices."""
     from flotsam.operators.components import connected_components
-    e = fx.fx_label.where("cl = 3 and conf = 1 and pred_strict").select(C("scene_no").alias("a"), (100000 + C("l_partkey")).alias("b"))
+    e = fx.lineitem.select(C("l_orderkey").alias("a"), (100000000 + F.round(C("l_extendedprice") * 100).cast("bigint")).alias("b"))
     return connected_components(e)
 
 

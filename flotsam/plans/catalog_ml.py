@@ -136,14 +136,15 @@ def _(fx):
     return rnd(s.select("zone_no", "value", "lo80", "hi80", "nearest_field_km", "status", "reasons"), 5)
 
 
-@register("ml11_score_cube", "fx_cellpx", "fx_event", oracle=f"""
-    with cb as (select distinct scene_no, cell from fx_cellpx where water), pt as (select *, 39.55 + cast(split_part(cell, ':', 2) as double) * 0.2 as lon, 43.62 - cast(split_part(cell, ':', 1) as double) * 0.05 as lat, cast(scene_no as double) * 2 as wind24_ms, 1 + scene_no % 3 as month_no from cb),
-    nr as (select scene_no, cell, min({HAV.format(a1='pt.lon', b1='pt.lat', a2='e.lon', b2='e.lat')}) as d from pt, fx_event e where e.profile = 'B' and pt.lon between 27 and 42 and pt.lat between 40.5 and 46 group by 1, 2)
-    select scene_no, cell, 'B' as profile, round(case when d is not null then greatest({MODEL_SQL} - 1, 0) end, 5) as value, case when d is null then 'unavailable' when d > 60 or month_no not in (1, 2, 6) or wind24_ms not between 0.3 and 8.7 then 'research_estimate' else 'model_estimate' end as status from pt left join nr using (scene_no, cell)
-    union all select scene_no, cell, 'A', null, 'unavailable' from pt""")
+SCORED_SQL = f"""cb as (select distinct scene_no, cell from fx_cellpx where water), pt as (select *, 39.55 + cast(split_part(cell, ':', 2) as double) * 0.2 as lon, 43.62 - cast(split_part(cell, ':', 1) as double) * 0.05 as lat, cast(scene_no as double) * 2 as wind24_ms, 1 + scene_no % 3 as month_no from cb),
+    nr as (select scene_no, cell, min({HAV.format(a1='pt.lon', b1='pt.lat', a2='e.lon', b2='e.lat')}) as d from pt, fx_event e where e.profile = 'B' and pt.lon between 27 and 42 and pt.lat between 40.5 and 46 group by 1, 2),
+    scored as (select scene_no, cell, 'B' as profile, round(case when d is not null then greatest({MODEL_SQL} - 1, 0) end, 5) as value, case when d is null then 'unavailable' when d > 60 or month_no not in (1, 2, 6) or wind24_ms not between 0.3 and 8.7 then 'research_estimate' else 'model_estimate' end as status from pt left join nr using (scene_no, cell)
+    union all select scene_no, cell, 'A', null, 'unavailable' from pt)"""
+
+
+@register("ml11_score_cube", "fx_cellpx", "fx_event", oracle=f"with {SCORED_SQL} select * from scored")
 def _(fx):
-    s = score_cube(fx)
-    return s.select("scene_no", "cell", "profile", R("value", 5).alias("value"), "status")
+    return score_cube(fx).select("scene_no", "cell", "profile", R("value", 5).alias("value"), "status")
 
 
 def score_cube(fx):

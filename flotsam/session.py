@@ -26,13 +26,24 @@ def build_session(master: str = "local[8]", partitions: int = 8) -> SparkSession
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for cut lineage: the cluster's ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
+    """Folder for cut lineage: ``spark.checkpoint.dir`` of the session.
+
+    Only a local session without that setting gets a temporary folder; on a cluster a folder of one machine would
+    be of no use to the others.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if known:
+        return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_FOLDERS[app]
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -127,3 +127,15 @@ def test_wilson_without_observations(spark):
     lo, hi = D.wilson(F.lit(0), F.lit(0))
     r = one(spark, lo=lo, hi=hi)
     assert (r.lo, r.hi) == (0.0, 1.0)
+
+
+def test_lineage_is_cut_in_the_folder_of_the_session(spark, tmp_path):
+    from flotsam.session import materialise, shared_folder
+    local = shared_folder(spark)
+    assert shared_folder(spark) == local
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert shared_folder(spark) == str(tmp_path)
+        assert materialise(spark.range(5)).count() == 5 and any(tmp_path.iterdir())
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
