@@ -30,14 +30,14 @@ def fingerprint(df: DataFrame, columns: list[str], order: list[str]) -> DataFram
     """
     n_cols = df.select(*dict.fromkeys([*order, *columns]))
     level = materialise(global_rank(n_cols, order, "_r").select((F.col("_r") - 1).alias("i"), F.sha2(canonical(df, columns), 256).alias("h")))
-    n = level.agg(F.count(F.lit(1))).first()[0]
-    rows = n
-    while True:
+    rows = n = level.agg(F.count(F.lit(1))).first()[0]
+    depth = 0
+    # always a level of blocks below the root, so that small and large results are hashed alike
+    while n > 1 or depth < 2:
         level = level.groupBy(F.floor(F.col("i") / FAN).alias("i")).agg(F.sha2(F.concat_ws("", F.transform(
             F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"])), 256).alias("h"))
-        n = -(-n // FAN)
-        if n <= 1:
-            return level.select("h").withColumnRenamed("h", "sha256").withColumn("n_rows", F.lit(rows).cast("bigint"))
+        n, depth = -(-n // FAN), depth + 1
+    return level.select(F.col("h").alias("sha256"), F.lit(rows).cast("bigint").alias("n_rows"))
 
 
 def query_id(params: dict) -> str:
