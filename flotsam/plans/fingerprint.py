@@ -31,6 +31,8 @@ def fingerprint(df: DataFrame, columns: list[str], order: list[str]) -> DataFram
     n_cols = df.select(*dict.fromkeys([*order, *columns]))
     level = materialise(global_rank(n_cols, order, "_r").select((F.col("_r") - 1).alias("i"), F.sha2(canonical(df, columns), 256).alias("h")))
     rows = n = level.agg(F.count(F.lit(1))).first()[0]
+    if rows == 0:
+        return df.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("sha256"), F.lit(0).cast("bigint").alias("n_rows"))
     depth = 0
     # always a level of blocks below the root, so that small and large results are hashed alike
     while n > 1 or depth < 2:
