@@ -36,7 +36,7 @@ def key_number(key: Column) -> Column:
 
 
 def running_before(df: DataFrame, group: list[str], key32: str, order: list[str], values: dict[str, str],
-                   rows_per_bucket: int = 65536) -> DataFrame:
+                   rows_per_bucket: int = 4096) -> DataFrame:
     """Sums of the rows before each row of its group, in the order ``(key32, *order)``; output → value column.
 
     ``key32`` is spread evenly over 0 .. 2**32-1, so equal ranges of it hold about equal numbers of rows: every range

@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flotsam.llm import exact_dedup, kd_shards, mixing
-from flotsam.llm.common import table
+from flotsam.llm import exact_dedup, kd_shards, language, mixing, quality, toxicity
+from flotsam.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,27 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 @register(DEDUP_SQL)
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", fold(4) != 2)
+    s = docs.select("doc_id", (fold(4) == 2).alias("held_out"), toxicity.score(model).alias("score"))
+    return s.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@register()
+def op2_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", fold(5) != 0)
+    s = docs.select("doc_id", (fold(5) == 0).alias("held_out"), quality.score(model).alias("score"))
+    return s.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@register()
+def op4_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, fold(3) != 1)
+    s = docs.select("doc_id", (fold(3) == 1).alias("held_out"), language.identify(docs, model).alias("said"))
+    return s.select("doc_id", "held_out", "said.lang_pred", "said.score")
