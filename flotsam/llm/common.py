@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def running_before(df: DataFrame, group: list[str], key32: str, order: list[str]
 
 def slices(batch: pa.RecordBatch, text_col: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most ``max_bytes`` of text each, or one row."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > max_bytes:
@@ -65,35 +66,3 @@ def slices(batch: pa.RecordBatch, text_col: str, max_bytes: int = 2 << 20) -> It
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
-
-
-def points_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts, each followed by a zero, and the start of every text (one more at the end)."""
-    starts = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)), out=starts[1:])
-    joined = "\0".join(texts) + "\0" if texts else ""
-    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), starts
-
-
-def pieces(texts: list[str], size: int, overlap: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Rows and texts in bites of about ``size`` code points; a longer text comes in parts.
-
-    A later part begins ``overlap`` code points before the end of the part ahead of it, so a window of
-    ``overlap + 1`` code points lies whole in one part, and in only one.
-    """
-    rows, bite, held = [], [], 0
-    for i, t in enumerate(texts):
-        at = 0
-        while True:
-            part = t[at:at + size] if len(t) > size else t
-            rows.append(i)
-            bite.append(part)
-            held += len(part)
-            if held >= size:
-                yield rows, bite
-                rows, bite, held = [], [], 0
-            if at + len(part) >= len(t):
-                break
-            at += size - overlap
-    if rows:
-        yield rows, bite

@@ -76,8 +76,8 @@ def fit(docs: DataFrame, learn: Column) -> Filters:
     bit = F.expr("shiftleft(1L, _l % 64)")
     words = kept.select(F.explode(hashes).alias("slot"), F.floor(F.col("_l") / 64).alias("w"), bit.alias("bit")).groupBy("slot", "w").agg(F.bit_or("bit").alias("bits"))
     slots = np.zeros((1 << SLOTS_LOG2, -(-len(names) // 64)), np.int64)
-    got = words.toPandas()
-    slots[got["slot"].to_numpy(np.int64), got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    got = words.toArrow()
+    slots[got["slot"].to_numpy(), got["w"].to_numpy()] = got["bits"].to_numpy()
     fill = np.array([((slots[:, i // 64] >> (i % 64)) & 1).mean() for i in range(len(names))])
     return Filters(names, slots, fill ** len(SEEDS), names.index(commonest))
 

@@ -182,15 +182,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Machin
                 ["y", "weight", "stats", "bucket", "times"])
 
     got = sample.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"), "y", "weight").mapInArrow(
-        rows, "y int, weight double, stats array<double>, bucket array<int>, times array<float>").toPandas()
-    y = got["y"].to_numpy(np.float64)
+        rows, "y int, weight double, stats array<double>, bucket array<int>, times array<float>").toArrow()
+    y = got["y"].to_numpy().astype(np.float64)
     if len(set(y)) < 2:
         empty.bias = 30.0 if len(y) and y[0] == 1 else -30.0
         return empty
-    stats = np.vstack(got["stats"].to_list())
-    lengths = got["bucket"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(got)), lengths)
-    bucket, times = np.concatenate(got["bucket"].to_list()).astype(np.int64), np.concatenate(got["times"].to_list()).astype(np.float64)
+    stats, buckets, counts = (got[c].combine_chunks() for c in ("stats", "bucket", "times"))
+    stats = stats.flatten().to_numpy().reshape(len(got), -1)
+    row = np.repeat(np.arange(len(got)), np.diff(buckets.offsets.to_numpy()))
+    bucket, times = buckets.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.float64)
     with np.errstate(all="ignore"):
         edges = np.nan_to_num(np.nanquantile(stats, np.arange(1, BINS) / BINS, axis=0).T)
     weight = got["weight"].to_numpy()

@@ -2,11 +2,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flotsam.llm import exact_dedup, kd_shards, language, mixing, quality, toxicity
+from flotsam.llm import bpe, exact_dedup, kd_shards, language, mixing, quality, toxicity
 from flotsam.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,17 @@ def op4_language(spark, sf_dir):
     model = language.fit(docs, fold(3) != 1)
     s = docs.select("doc_id", (fold(3) == 1).alias("held_out"), language.identify(docs, model).alias("said"))
     return s.select("doc_id", "held_out", "said.lang_pred", "said.score")
+
+
+def public_tokenizer() -> str:
+    """Content of the byte-level BPE file; it is read on the driver and sent to the tasks."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+
+
+@register()
+def op1_bpe(spark, sf_dir):
+    spec = public_tokenizer()
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), spec)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(tokens, spec), 256).alias("decoded_sha256"))

@@ -14,7 +14,7 @@ from flotsam.llm.grams import bites, char_grams, labelled_sample, positions_insi
 SIZES = (4, 5, 6)           # lengths of the n-grams
 BITS = 22                   # n-grams are hashed to 2**BITS buckets
 SAMPLE_PER_CLASS = 6000     # labelled rows of each class the classifier is fitted on, at most
-FEATURES = 1 << 14          # buckets with a weight, at most: those that tell the classes apart best
+FEATURES = 1 << 12          # buckets with a weight, at most: those that tell the classes apart best
 MIN_DOCS = 3                # a bucket must occur in so many sampled documents
 ALPHA = 1.0                 # smoothing of the counts
 
@@ -59,7 +59,7 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(counts[0, k].astype(np.int64)), pa.array(counts[1, k].astype(np.int64))], ["bucket", "n0", "n1"])
 
 
-def _fit_linear(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
+def _fit_linear(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, rounds: int = 100) -> tuple[np.ndarray, float]:
     """Weighted logistic regression on the scaled 0/1 features by adaptive full-batch gradient steps."""
     n, m = len(y), len(scale)
     w, g2 = np.zeros(m), np.full(m, 1e-8)
@@ -94,9 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> GramMo
     p1, p0 = F.col("n1") / sizes[1], F.col("n0") / sizes[0]
     pooled = (F.col("n1") + F.col("n0")) / (sizes[0] + sizes[1])
     apart = (p1 - p0) * (p1 - p0) / (pooled * (1 - pooled) + 1e-9)
-    top = counts.orderBy(apart.desc(), "bucket").limit(FEATURES).toPandas().sort_values("bucket")
-    buckets = top["bucket"].to_numpy(np.int64)
-    n0, n1 = (top[c].to_numpy(np.float64) for c in ("n0", "n1"))
+    top = counts.orderBy(apart.desc(), "bucket").limit(FEATURES).toArrow().sort_by("bucket")
+    buckets = top["bucket"].to_numpy().astype(np.int64)
+    n0, n1 = (top[c].to_numpy().astype(np.float64) for c in ("n0", "n1"))
     ratio = np.log((ALPHA + n1) / (2 * ALPHA + sizes[1])) - np.log((ALPHA + n0) / (2 * ALPHA + sizes[0]))
     model = GramModel(buckets, ratio, 0.0)
 
@@ -108,11 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> GramMo
             ends = np.searchsorted(rows, np.arange(b.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("weight"), pa.ListArray.from_arrays(pa.array(ends), pa.array(cols))], ["y", "weight", "cols"])
 
-    fitted = sample.select("text", "y", "weight").mapInArrow(vectors, "y int, weight double, cols array<int>").toPandas()
-    lengths = fitted["cols"].map(len).to_numpy()
-    rows = np.repeat(np.arange(len(fitted)), lengths)
-    cols = np.concatenate(fitted["cols"].to_list()).astype(np.int64)
-    w, bias = _fit_linear(rows, cols, ratio, fitted["y"].to_numpy(np.float64), fitted["weight"].to_numpy())
+    fitted = sample.select("text", "y", "weight").mapInArrow(vectors, "y int, weight double, cols array<int>").toArrow().combine_chunks()
+    lists = fitted["cols"].combine_chunks()
+    rows = np.repeat(np.arange(len(fitted), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    w, bias = _fit_linear(rows, lists.values.to_numpy(), ratio, fitted["y"].to_numpy().astype(np.float64), fitted["weight"].to_numpy())
     return GramModel(buckets, w * ratio, bias)
 
 
