@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flotsam.llm import bpe, exact_dedup, kd_shards, language, mixing, quality, toxicity
+from flotsam.llm import bpe, exact_dedup, hnsw, kd_shards, language, mixing, quality, toxicity
 from flotsam.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op1_bpe(spark, sf_dir):
     spec = public_tokenizer()
     tokens = bpe.encode(table(spark, sf_dir, "documents"), spec)
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(tokens, spec), 256).alias("decoded_sha256"))
+
+
+@register()
+def op5_hnsw(spark, sf_dir):
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)), k=10)

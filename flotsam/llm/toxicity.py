@@ -16,6 +16,7 @@ BITS = 22                   # n-grams are hashed to 2**BITS buckets
 SAMPLE_PER_CLASS = 6000     # labelled rows of each class the classifier is fitted on, at most
 FEATURES = 1 << 12          # buckets with a weight, at most: those that tell the classes apart best
 MIN_DOCS = 3                # a bucket must occur in so many sampled documents
+CHI_SQUARE = 20.0           # and tell the classes apart by so much, so that chance does not choose
 ALPHA = 1.0                 # smoothing of the counts
 
 
@@ -93,8 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> GramMo
               .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_DOCS))
     p1, p0 = F.col("n1") / sizes[1], F.col("n0") / sizes[0]
     pooled = (F.col("n1") + F.col("n0")) / (sizes[0] + sizes[1])
-    apart = (p1 - p0) * (p1 - p0) / (pooled * (1 - pooled) + 1e-9)
-    top = counts.orderBy(apart.desc(), "bucket").limit(FEATURES).toArrow().sort_by("bucket")
+    apart = (p1 - p0) * (p1 - p0) / ((pooled * (1 - pooled) + 1e-9) * (1 / sizes[0] + 1 / sizes[1]))
+    top = counts.where(apart >= CHI_SQUARE).orderBy(apart.desc(), "bucket").limit(FEATURES).toArrow().sort_by("bucket")
     buckets = top["bucket"].to_numpy().astype(np.int64)
     n0, n1 = (top[c].to_numpy().astype(np.float64) for c in ("n0", "n1"))
     ratio = np.log((ALPHA + n1) / (2 * ALPHA + sizes[1])) - np.log((ALPHA + n0) / (2 * ALPHA + sizes[0]))
