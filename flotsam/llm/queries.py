@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flotsam.llm import bpe, exact_dedup, hnsw, kd_shards, language, mixing, quality, toxicity
+from flotsam.llm import bpe, exact_dedup, hnsw, kd_shards, language, mixing, near_dup, quality, toxicity
 from flotsam.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op1_bpe(spark, sf_dir):
 @register()
 def op5_hnsw(spark, sf_dir):
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)), k=10)
+
+
+@register()
+def op7_near_dup(spark, sf_dir):
+    return near_dup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
