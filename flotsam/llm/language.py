@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flotsam.llm.common import slices
 from flotsam.llm.grams import bites, char_grams, positions_inside
 from flotsam.operators.ranking import top_k
 from flotsam.session import materialise
@@ -49,7 +50,7 @@ def fit(docs: DataFrame, learn: Column) -> Filters:
               .withColumn("_l", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("lang")).cast("int") - 1))
 
     def grams(batches):
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text")):
             lang = b.column("_l").to_numpy(zero_copy_only=False).astype(np.int64)
             seen = []
             for rows, points, starts in bites(b.column("text"), max(SIZES) - 1):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flotsam.llm.common import text_of
+from flotsam.llm.common import slices, text_of
 from flotsam.llm.grams import bites, labelled_sample
 
 SAMPLE_PER_CLASS = 4000     # labelled rows of each class the machine is fitted on, at most
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Machin
     sample = labelled_sample(docs, labels, label, learn, SAMPLE_PER_CLASS, ("n_chars",))
 
     def rows(batches):
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text")):
             stats, row, bucket, times = raw_features(b.column("text"), b.column("n_chars").to_numpy(zero_copy_only=False).astype(np.float64))
             ends = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(

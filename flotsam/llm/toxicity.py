@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flotsam.llm.common import text_of
+from flotsam.llm.common import slices, text_of
 from flotsam.llm.grams import bites, char_grams, labelled_sample, positions_inside
 
 SIZES = (4, 5, 6)           # lengths of the n-grams
@@ -17,6 +17,7 @@ SAMPLE_PER_CLASS = 6000     # labelled rows of each class the classifier is fitt
 FEATURES = 1 << 12          # buckets with a weight, at most: those that tell the classes apart best
 MIN_DOCS = 3                # a bucket must occur in so many sampled documents
 CHI_SQUARE = 20.0           # and tell the classes apart by so much, so that chance does not choose
+MERGE_AT = 1 << 22          # hits that are held before repeated ones are merged
 ALPHA = 1.0                 # smoothing of the counts
 
 
@@ -42,6 +43,8 @@ def _hits(texts: pa.Array, mask: np.ndarray | None) -> tuple[np.ndarray, np.ndar
             pos, part = positions_inside(pos, n, starts)
             if len(pos):
                 found.append(np.unique((rows[part] << BITS) | b[pos].astype(np.int64)))
+        if sum(map(len, found)) > MERGE_AT:
+            found = [np.unique(np.concatenate(found))]
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
@@ -49,7 +52,7 @@ def _hits(texts: pa.Array, mask: np.ndarray | None) -> tuple[np.ndarray, np.ndar
 def _count(batches):
     """Per task: number of sampled documents of each class that hold a bucket."""
     counts = np.zeros((2, 1 << BITS), np.int32)
-    for b in batches:
+    for b in (s for batch in batches for s in slices(batch, "text")):
         y = b.column("y").to_numpy(zero_copy_only=False)
         rows, buckets = _hits(b.column("text"), None)
         for c in (0, 1):
@@ -103,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> GramMo
 
     def vectors(batches):
         mask = model.active()
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text")):
             rows, hit = _hits(b.column("text"), mask)
             cols = np.searchsorted(model.buckets, hit).astype(np.int32)
             ends = np.searchsorted(rows, np.arange(b.num_rows + 1)).astype(np.int32)
