@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flotsam.llm import exact_dedup, mixing, toxicity
+from flotsam.llm import bpe, exact_dedup, mixing, near_dup, toxicity
 from flotsam.llm.common import fold, table
+from flotsam.llm.queries import public_tokenizer
 from flotsam.session import materialise
 
 
@@ -21,15 +22,29 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near copies stays: the one with the smallest id."""
+    return near_dup.drop_near_copies(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near their target weights: documents beyond it go, others repeat (at most three times)."""
     return mixing.mixed_rows(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left, and the text they decode to."""
+    spec = public_tokenizer()
+    ids = bpe.encode(docs, spec)
+    return ids.select("doc_id", "n_tokens", "ids", bpe.decode(ids, spec).alias("decoded"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", without_toxic),
     ("exact_dedup", exact_copies),
+    ("near_dup", near_copies),
     ("mixing", mixed),
+    ("tokens", tokens),
 ]
 
 # trained models, random signatures and a tokenizer have no SQL form

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flotsam.llm import bpe, exact_dedup, hnsw, kd_shards, language, mixing, near_dup, quality, toxicity
+from flotsam.llm import bpe, exact_dedup, hnsw, kd_shards, language, licences, mixing, near_dup, quality, toxicity
 from flotsam.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,47 @@ def op5_hnsw(spark, sf_dir):
 @register()
 def op7_near_dup(spark, sf_dir):
     return near_dup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+#: a tree over documents: source / thousands / tens / file; every tenth document is its directory's licence file
+PATH_SQL = ("concat(coalesce(source, '_'), '/d', cast(doc_id // 1000 as {s}), '/d', cast(doc_id % 1000 // 10 as {s}), '/', "
+            "case when doc_id % 10 = 0 then 'LICENSE' else concat('doc', cast(doc_id as {s}), '.txt') end)")
+
+
+def licence_sql() -> str:
+    """The scan in SQL: every line's words against every template, without candidate filters."""
+    words = licences.template_words()
+    terms = ", ".join(f"('{name}', {i}, '{t}', {n})" for i, (name, c) in enumerate(words.items()) for t, n in sorted(c.items()))
+    sep, path = licences.SEPARATOR, PATH_SQL.format(s="varchar")
+    return rf"""
+with files as (select doc_id, {path} as path, regexp_extract({path}, '^(.*)/[^/]*$', 1) as dir, coalesce(text, '') as text from documents),
+tpl(licence, o, term, n) as (values {terms}),
+bag as (select distinct doc_id, unnest(string_split_regex(lower(text), '{sep}')) as term from files),
+cnt as (select count(*) as n from documents),
+df as (select t.term, count(b.doc_id) as df from (select distinct term from tpl) t left join bag b on b.term = t.term group by t.term),
+idf as (select term, ln((1 + (select n from cnt))::double / (1 + df)) + 1 as w from df),
+own as (select licence, o, sqrt(sum((n * w) * (n * w))) as norm from tpl join idf using (term) group by licence, o),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as k from files),
+lw as (select doc_id, k, unnest(string_split_regex(lower(line), '{sep}')) as term from lines),
+tf as (select doc_id, k, term, count(*) as n from lw where term <> '' group by doc_id, k, term),
+norms as (select doc_id, k, sqrt(sum(pow(n * coalesce(w, ln(1 + (select n from cnt)::double) + 1), 2))) as norm from tf left join idf using (term) group by doc_id, k),
+dots as (select tf.doc_id, tf.k, tpl.licence, sum(tf.n * tpl.n * w * w) as dot from tf join tpl using (term) join idf using (term) group by tf.doc_id, tf.k, tpl.licence),
+scores as (select d.doc_id, d.licence, own.o, round(dot / (norms.norm * own.norm), 6) as score from dots d join norms using (doc_id, k) join own using (licence)),
+best as (select * from (select *, row_number() over (partition by doc_id order by score desc, o) as r from scores where score >= {licences.THRESHOLD}) where r = 1),
+f as (select files.doc_id, path, dir, best.licence as own_licence, best.score as own_score, best.o from files left join best using (doc_id)),
+granted as (select dir as from_dir, licence from (select dir, own_licence as licence, row_number() over (partition by dir order by own_score desc, o) as r
+            from f where own_licence is not null and path like '%/LICENSE') where r = 1),
+near as (select d.dir, arg_max(g.from_dir, length(g.from_dir)) as from_dir, arg_max(g.licence, length(g.from_dir)) as licence
+         from (select distinct dir from f) d join granted g on d.dir = g.from_dir or starts_with(d.dir, g.from_dir || '/') group by d.dir)
+select doc_id, path, own_licence, own_score, coalesce(own_licence, near.licence) as licence,
+       case when own_licence is not null then 'header' when near.licence is not null then 'inherited' else 'none' end as origin,
+       case when own_licence is null then near.from_dir end as from_dir
+from f left join near using (dir)
+"""
+
+
+@register(licence_sql())
+def op8_licences(spark, sf_dir):
+    path = PATH_SQL.format(s="string").replace("doc_id // 1000", "doc_id div 1000").replace("doc_id % 1000 // 10", "doc_id % 1000 div 10")
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(path).alias("path"))
+    return licences.scan(files).select("file.doc_id", "file.path", "own_licence", "own_score", "licence", "origin", "from_dir")
