@@ -69,7 +69,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                27 + cast((event_id * 7919) % 15000 as double) / 1000 as lon,
                cast(405 as double) / 10 + cast((event_id * 104729) % 5500 as double) / 1000 as lat,
                event_id % 6 <> 0 as scene_reliable
-        from {events} where event_type in ('click', 'purchase')"""),
+        from {events}"""),
     "fx_scene": (("orders",), """
         select o_orderkey as scene_no, o_custkey % 40 as aoi_no, o_custkey % 3 as orbit_no,
                case when o_custkey % 2 = 0 then 'S2A' else 'S2B' end as platform,

@@ -55,9 +55,11 @@ def poisson_interval(df: DataFrame, n: str, level: float = 0.95) -> DataFrame:
         return f"aggregate(sequence(1, 10), {start}, (x, i) -> greatest({step}, 1e-12D))"
 
     counts = df.select(F.col(n).cast("double").alias("_n")).where(F.col("_n").isNotNull()).distinct()
-    # few rows but costly ones: spread them, which a plain shuffle of so few bytes would not
-    counts = counts.repartition(32)
-    counts = counts.withColumn("_lf", F.expr("if(_n < 2, 0D, aggregate(sequence(2, cast(_n as int)), 0D, (z, k) -> z + ln(k)))"))
+    # few rows but costly ones: spread them over all cores, which a plain shuffle of so few bytes would not
+    counts = counts.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    # ln n!: the sum up to 256, Stirling's series with three terms beyond (error below 1e-15)
+    counts = counts.withColumn("_lf", F.expr("if(_n < 2, 0D, if(_n <= 256, aggregate(sequence(2, cast(_n as int)), 0D, (z, k) -> z + ln(k)), "
+                                             "_n * ln(_n) - _n + ln(2 * pi() * _n) / 2 + 1 / (12 * _n) - 1 / (360 * pow(_n, 3)) + 1 / (1260 * pow(_n, 5))))"))
     root = "pow(1 - 1 / (9 * {k}) {s} {z!r} / (3 * sqrt({k})), 3) * {k}"
     hi = solve("_n", "_lf", a, root.format(k="(_n + 1)", s="+", z=z))
     low = solve("(_n - 1)", "(_lf - ln(_n))", 1 - a, "greatest(" + root.format(k="_n", s="-", z=z) + ", 1e-3D)")

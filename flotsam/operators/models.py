@@ -232,7 +232,7 @@ def score_points(points: DataFrame, model: DensityModel, train: DataFrame, pid:
     p = points.withColumn("_in", inside)
     near = nearest(p.where("_in"), train, qid=pid, rid=train_id).select(pid, F.col("dist").alias("nearest_field_km"))
     p = p.join(near, pid, "left")
-    why = [F.when(F.col("nearest_field_km") > cfg.validated_radius_km, F.lit("far from field data")),
+    why = [F.when(F.coalesce(F.col("nearest_field_km") > cfg.validated_radius_km, F.lit(True)), F.lit("far from field data")),
            F.when(~F.col("month_no").isin(*model.months), F.lit("month outside training"))]
     for f, (a, b) in model.ranges.items():
         if f not in ("lon", "lat"):

@@ -55,6 +55,11 @@ class Metric:
         return self._combine(arc(gy, near, F.least(c0, c1)), tl), self._combine(arc(fy, far, cmax), tu)
 
 
+def _group(c: str) -> Column:
+    """Group as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+
 def nearest(queries: DataFrame, refs: DataFrame, *, qid: str, rid: str, k: int = 1, q_xy=("lon", "lat"),
             r_xy=("lon", "lat"), q_t: str | None = None, r_t: str | None = None, payload: tuple[str, ...] = (),
             metric: Metric = Metric(), exclude: tuple[str, str] | None = None, max_dist: float | None = None) -> DataFrame:
@@ -63,7 +68,7 @@ def nearest(queries: DataFrame, refs: DataFrame, *, qid: str, rid: str, k: int =
     The reference points are summarised in a pyramid of grid cells (16 children each). Every query walks down,
     keeping the cells whose nearest possible point may still be among its first ``k``; only the cells left at the
     bottom meet their points. Equal positions are first cut to the ``k`` rows that can win, so copies cannot blow
-    up a cell. ``exclude=(query column, reference column)`` leaves out rows of the same group. Ties go to the
+    up a cell. ``exclude=(query column, reference column)`` leaves out rows of the same group; no group is a group of its own. Ties go to the
     smallest ``rid``.
     """
     timed = metric.v is not None
@@ -71,7 +76,7 @@ def nearest(queries: DataFrame, refs: DataFrame, *, qid: str, rid: str, k: int =
     r = refs.select(F.col(rid).alias("_rid"), F.col(r_xy[0]).cast("double").alias("x"),
                     F.col(r_xy[1]).cast("double").alias("y"),
                     *([F.col(r_t).cast("double").alias("t")] if timed else []),
-                    *([F.col(exclude[1]).alias("_g")] if exclude else []), *[F.col(p).alias(f"_p_{p}") for p in payload])
+                    *([_group(exclude[1]).alias("_g")] if exclude else []), *[F.col(p).alias(f"_p_{p}") for p in payload])
     r = r.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     # equal positions: only the k smallest ids can win; the table is read several times below, so it is written once
     same = axes + (["_g"] if exclude else [])
@@ -84,7 +89,7 @@ def nearest(queries: DataFrame, refs: DataFrame, *, qid: str, rid: str, k: int =
     q = queries.select(F.col(qid).alias("_qid"), F.col(q_xy[0]).cast("double").alias("qx"),
                        F.col(q_xy[1]).cast("double").alias("qy"),
                        *([F.col(q_t).cast("double").alias("qt")] if timed else []),
-                       *([F.col(exclude[0]).alias("_qg")] if exclude else []))
+                       *([_group(exclude[0]).alias("_qg")] if exclude else []))
     box = r.agg(*[f(a).alias(f"{f.__name__}_{a}") for a in axes for f in (F.min, F.max)]).first()
     if box is None or box["min_x"] is None:
         box = {f"{f}_{a}": 0.0 for a in axes for f in ("min", "max")}

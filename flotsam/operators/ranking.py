@@ -35,7 +35,6 @@ def global_rank(df: DataFrame, order: list[str], out: str = "rank_no") -> DataFr
 
 
 SKETCH = 10000          # accuracy of the first look: ranks are known to within n / SKETCH
-SMALL_GROUP = 50000     # groups up to this size skip the first look
 
 
 def rank_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[float, list[Column]]]) -> DataFrame:
@@ -61,9 +60,8 @@ def rank_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tup
             if margin is None:
                 keep, val = F.lit(True), F.col("_v")
             else:
-                small = F.col("_n") <= SMALL_GROUP
-                keep = small | (F.col("_v") <= F.col("_b")[2 * i + 1])
-                val = F.when(small | (F.col("_v") >= F.col("_b")[2 * i]), F.col("_v"))
+                keep = F.col("_v") <= F.col("_b")[2 * i + 1]
+                val = F.when(F.col("_v") >= F.col("_b")[2 * i], F.col("_v"))
             slots.append(F.when(keep, F.struct(F.lit(i).alias("i"), val.alias("v"))))
         counts = (d.select(*work, F.explode(F.array_compact(F.array(*slots))).alias("s")).groupBy(*work, "s.i", "s.v")
                   .agg(F.count(F.lit(1)).alias("_c")))

@@ -338,9 +338,9 @@ def _(fx):
 
 
 @register("agg28_beached_fraction", "fx_track", oracle="""
-    select aoi_no, round(avg(b), 6) as beached_frac from (select aoi_no, particle, max(case when beached then 1.0 else 0.0 end) as b from fx_track where hour_no <= 6 group by 1, 2) group by 1""")
+    select aoi_no, round(avg(b), 6) as beached_frac from (select aoi_no, particle, max(case when beached then 1.0 else 0.0 end) as b from fx_track group by 1, 2) group by 1""")
 def _(fx):
-    return rnd(DR.beached_fraction(fx.fx_track.where("hour_no <= 6"), ["aoi_no"]))
+    return rnd(DR.beached_fraction(fx.fx_track, ["aoi_no"]))
 
 
 @register("agg29_ensemble_cone", "fx_track", oracle="""

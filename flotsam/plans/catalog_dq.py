@@ -86,12 +86,12 @@ def _(fx):
 
 
 @register("dq7_series_arrays", "fx_cellpx", oracle="with " + CUBE_SQL + """,
-    i as (select *, row_number() over (partition by day_no order by cell) as k from cube3)
-    select day_no, cast(0 as bigint) as block, string_agg(cast(ndet as varchar), ',' order by cell) as ndet, string_agg(cast(status as varchar), ',' order by cell) as status, count(*) as n from cube3 group by 1""")
+    nr as (select cell, row_number() over (order by cell) - 1 as i from (select distinct cell from cube3))
+    select day_no, cast(0 as bigint) as block, string_agg(cast(i as varchar), ',' order by cell) as i, string_agg(cast(ndet as varchar), ',' order by cell) as ndet, string_agg(cast(status as varchar), ',' order by cell) as status, count(*) as n from cube3 join nr using (cell) group by 1""")
 def _(fx):
     c = cube(fx).withColumn("area", F.lit("bay"))
     s = SC.series_arrays(c, ["area"], "day_no")
-    return s.select("day_no", "block", F.array_join(F.transform("ndet", lambda x: x.cast("string")), ",").alias("ndet"),
+    return s.select("day_no", "block", F.array_join(F.transform("i", lambda x: x.cast("string")), ",").alias("i"), F.array_join(F.transform("ndet", lambda x: x.cast("string")), ",").alias("ndet"),
                     F.array_join(F.transform("status", lambda x: x.cast("string")), ",").alias("status"), F.size("ndet").cast("bigint").alias("n"))
 
 
@@ -227,7 +227,7 @@ def _(fx):
     return t.select("aoi_no", "zone_no", C("place").cast("bigint").alias("place"), R("share", 8).alias("share"), "district_no")
 
 
-TREE = """x as (select row_number() over (order by zone_no) - 1 as i, sha256(concat_ws('|', zone_no, aoi_no, cast(cast(cover_m2 as decimal(38,6)) as varchar), n_pixels)) as h from fx_zone),
+TREE = """x as (select row_number() over (order by zone_no) - 1 as i, sha256(concat_ws('|', coalesce(length(cast(zone_no as varchar)) || ':' || cast(zone_no as varchar), '-'), coalesce(length(cast(aoi_no as varchar)) || ':' || cast(aoi_no as varchar), '-'), coalesce(length(cast(cast(cover_m2 as decimal(38,6)) as varchar)) || ':' || cast(cast(cover_m2 as decimal(38,6)) as varchar), '-'), coalesce(length(cast(n_pixels as varchar)) || ':' || cast(n_pixels as varchar), '-'))) as h from fx_zone),
     l1 as (select i // 1000 as i, sha256(string_agg(h, '' order by i)) as h from x group by i // 1000)"""
 
 

@@ -244,7 +244,7 @@ def _(fx):
     with mask as (select cast((p_partkey - p_partkey % 50) / 50 as bigint) as r, p_partkey % 50 as c, p_partkey % 7 <> 0 as water from part),
     sea as (select floor(lat * 2) as ky, floor(lon * 2) as kx, avg(value) > 40 as sea from fx_event group by 1, 2),
     p as (select zone_no, cast(floor((lat - 40.5) * 20) as bigint) as r, cast(floor((lon - 27) * 5) as bigint) as c, floor(lat * 2) as ky, floor(lon * 2) as kx from fx_zone)
-    select zone_no, case when p.r between 0 and 39 and p.c between 0 and 49 then coalesce(water, false) else coalesce(sea, false) end as is_water
+    select zone_no, case when p.r between (select min(r) from mask) and (select max(r) from mask) and p.c between (select min(c) from mask) and (select max(c) from mask) then coalesce(water, false) else coalesce(sea, false) end as is_water
     from p left join mask m on m.r = p.r and m.c = p.c left join sea s on s.ky = p.ky and s.kx = p.kx""")
 def _(fx):
     k = C("p_partkey")
@@ -252,7 +252,8 @@ def _(fx):
     sea = fx.fx_event.groupBy(F.floor(C("lat") * 2).alias("ky"), F.floor(C("lon") * 2).alias("kx")).agg((F.avg("value") > 40).alias("sea"))
     p = fx.fx_zone.select("zone_no", F.floor((C("lat") - 40.5) * 20).cast("bigint").alias("row"), F.floor((C("lon") - 27) * 5).cast("bigint").alias("col"),
                           F.floor(C("lat") * 2).alias("ky"), F.floor(C("lon") * 2).alias("kx"))
-    inside = C("row").between(0, 39) & C("col").between(0, 49)
+    e = mask.agg(*[f(c) for c in ("row", "col") for f in (F.min, F.max)]).first()
+    inside = C("row").between(e[0], e[1]) & C("col").between(e[2], e[3])
     return J.water_lookup(p, mask, sea, inside).select("zone_no", "is_water")
 
 

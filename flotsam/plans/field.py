@@ -21,7 +21,7 @@ def _rule(sel: dict[str, tuple[str, ...]]) -> Column:
 def select_rows(df: DataFrame, groups=PROFILE_GROUPS, rules=EXCLUSION_RULES, banned=BANNED_FLAGS) -> DataFrame:
     """Decision per registry row, as one projection: the first matching profile group wins unless a banned quality
     flag excludes the row; the others get the first matching exclusion reason."""
-    hit = F.array_sort(F.array_intersect(F.split("quality_flags", ";"), F.array(*[F.lit(b) for b in banned])))
+    hit = F.array_sort(F.array_intersect(F.split(F.coalesce("quality_flags", F.lit("")), ";"), F.array(*[F.lit(b) for b in banned])))
     match = None
     for pid, role, sel in groups:
         value = F.struct(F.lit(pid).alias("p"), F.lit(role).alias("r"))

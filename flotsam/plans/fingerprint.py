@@ -14,12 +14,15 @@ FAN = 1000
 
 
 def canonical(df: DataFrame, columns: list[str]) -> Column:
-    """One text per row: fixed column order, six decimals for floating numbers, an explicit mark for null."""
+    """One text per row that no other row shares: every value in column order as its length, a colon and its text.
+
+    A null is a dash without a length. Floating numbers are written with six decimals, which is part of the format.
+    """
     types = dict(df.dtypes)
     parts = []
     for c in columns:
         v = F.col(c).cast("decimal(38,6)").cast("string") if types[c] in ("double", "float") else F.col(c).cast("string")
-        parts.append(F.coalesce(v, F.lit("~")))
+        parts.append(F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")))
     return F.concat_ws("|", *parts)
 
 

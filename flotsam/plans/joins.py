@@ -59,22 +59,33 @@ def scene_fallback(events: DataFrame, hits: DataFrame, supported: str = "sentine
         F.col("s.scene_no").alias("scene_no"), F.coalesce("n_other", F.lit(0)).cast("bigint").alias("n_other"))
 
 
+RADIUS_CLASSES = (5.0, 20.0, 80.0, 320.0, 1280.0, 5120.0, 20480.0)     # km; the last is more than half the Earth's girth
+
+
 def in_footprint(footprints: DataFrame, points: DataFrame, cell_km: float = 20.0) -> DataFrame:
-    """Points within ``r_km`` of a footprint line: all footprint × point matches.
+    """Points within ``r_km`` of a footprint line: all footprint × point matches, whatever the radius.
 
     ``footprints``: fid, ax, ay, bx, by (degrees), r_km; ``points``: lon, lat. Distances are taken in the local plane
-    of the footprint. Both meet on grid cells; long footprints cover several.
+    of the footprint. Both meet on grid cells; long footprints cover several. Footprints are sorted into classes of
+    radius with cells of that size, so the padding is a constant and a wide footprint covers few cells. A null or
+    negative radius reaches nothing.
     """
-    step = cell_km / 111.19
     f = footprints.withColumns({"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by")})
-    # the reach of a footprint in whole cells: padded by its own radius, in 5 km classes so that the padding is a constant
-    parts = None
-    for lo, hi in ((0, 5), (5, 20), (20, 80), (80, 320)):
-        g = explode_cells(f.where((F.col("r_km") > lo if lo else F.col("r_km") >= 0) & (F.col("r_km") <= hi)),
-                          F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), step, hi * 1.02)
-        parts = g if parts is None else parts.unionByName(g)
-    gy, gx = sphere_cell(F.col("lon"), F.col("lat"), step)
-    j = parts.join(points.withColumns({"gy": gy, "gx": gx}), ["gy", "gx"]).drop("gy", "gx")
+    rank = F.lit(len(RADIUS_CLASSES) - 1)
+    for i in range(len(RADIUS_CLASSES) - 2, -1, -1):
+        rank = F.when(F.col("r_km") <= RADIUS_CLASSES[i], i).otherwise(rank)
+    f = f.where("r_km >= 0").withColumn("rc", rank)
+    parts, at = None, None
+    for i in sorted(r["rc"] for r in f.select("rc").distinct().collect()):      # at most one row per class
+        reach = RADIUS_CLASSES[i] * 1.02
+        step = max(cell_km, reach) / 111.19
+        g = explode_cells(f.where(F.col("rc") == i), F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), step, reach)
+        gy, gx = sphere_cell(F.col("lon"), F.col("lat"), step)
+        p = points.withColumns({"rc": F.lit(i), "gy": gy, "gx": gx})
+        parts, at = (g, p) if parts is None else (parts.unionByName(g), at.unionByName(p))
+    if parts is None:
+        parts, at = f.withColumns({"gy": F.lit(0).cast("bigint"), "gx": F.lit(0).cast("bigint")}), points.withColumns({"rc": F.lit(0), "gy": F.lit(0).cast("bigint"), "gx": F.lit(0).cast("bigint")})
+    j = parts.join(at, ["rc", "gy", "gx"]).drop("rc", "gy", "gx")
     k = KM_PER_DEG * F.cos(F.radians(F.col("ay")))
     d = point_segment_km(F.col("lon") * k, F.col("lat") * KM_PER_DEG, F.col("ax") * k, F.col("ay") * KM_PER_DEG, F.col("bx") * k, F.col("by") * KM_PER_DEG)
     return j.withColumn("d_km", d).where(F.col("d_km") <= F.col("r_km")).drop("x0", "x1", "y0", "y1")

@@ -152,13 +152,13 @@ def status_counts(cube: DataFrame, scene: list[str]) -> DataFrame:
 
 
 def series_arrays(cube: DataFrame, area: list[str], date: str, chunk: int = 1000) -> DataFrame:
-    """Nested form of the cube: per area, date and block of cells, arrays ordered by cell number."""
+    """Nested form of the cube: per area, date and block of cells, arrays ordered by cell number ``i``."""
     cells = running_totals(cube.select(*area, "cell", F.lit(1).alias("_one")).distinct(), [*area, "cell"], {"_r": "_one"})
     cells = cells.join(cells.groupBy(*area).agg(F.min("_r").alias("_b")), area).select(*area, "cell", (F.col("_r") - F.col("_b")).alias("i"))
     c = cube.join(cells, [*area, "cell"])
     s = F.array_sort(F.collect_list(F.struct("i", "cover", "ndet", "valid_frac", "status")))
     g = c.groupBy(*area, date, F.floor(F.col("i") / chunk).alias("block")).agg(s.alias("s"))
-    return g.select(*area, date, "block", *[F.col("s")[n].alias(n) for n in ("cover", "ndet", "valid_frac", "status")])
+    return g.select(*area, date, "block", *[F.col("s")[n].alias(n) for n in ("i", "cover", "ndet", "valid_frac", "status")])
 
 
 # ---- zones ---------------------------------------------------------------------------------------------------------
