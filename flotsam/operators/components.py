@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flotsam.functions.geo import EARTH_KM, haversine_km
 from flotsam.operators.neighbours import explode_cells, sphere_cell
-from flotsam.session import materialise
+from flotsam.session import materialise, release
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -32,8 +32,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         seen = Observation()
-        e = materialise(canonical(small).observe(seen, F.count(F.lit(1)).alias("n"),
+        before, e = e, materialise(canonical(small).observe(seen, F.count(F.lit(1)).alias("n"),
                                                  F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        release(before)
         now = (seen.get["n"], seen.get["h"])
         if now == mark:
             break

@@ -245,9 +245,10 @@ def store(fx):
 
 
 VARIO = """st as (select *, ln(conc + 1) - ln(201) as resid, t_start_s / 86400 as t_day from fx_event),
-    cl as (select floor(lon / 0.02) as cx, floor(lat / 0.02) as cy, floor(t_day / 0.25) as ct, count(*) as n, sum(resid) as sr, sum(resid * resid) as sr2, avg(lon) as lon, avg(lat) as lat, avg(t_day) as t_day from st group by 1, 2, 3),
+    cl as (select floor(lon / 0.02) as cx, floor(lat / 0.02) as cy, floor(t_day / 0.25) as ct, count(*) as n, sum(resid) as sr, sum(resid * resid) as sr2, avg(lon) as lon, avg(lat) as lat, avg(t_day) as t_day, var_pop(lon) as vx, var_pop(lat) as vy, var_pop(t_day) as vt from st group by 1, 2, 3),
     pr as (select a.n * b.n as np, 0.5 * (b.n * a.sr2 + a.n * b.sr2 - 2 * a.sr * b.sr) as half, sqrt(pow(""" + HAV.format(a1="a.lon", b1="a.lat", a2="b.lon", b2="b.lat") + """, 2) + pow(40 * (a.t_day - b.t_day), 2)) as h
-      from cl a join cl b on (a.cx, a.cy, a.ct) < (b.cx, b.cy, b.ct) and abs(a.t_day - b.t_day) <= 3.1 and abs(a.lat - b.lat) < 1.2),
+      from cl a join cl b on (a.cx, a.cy, a.ct) < (b.cx, b.cy, b.ct) and abs(a.t_day - b.t_day) <= 3.1 and abs(a.lat - b.lat) < 1.2
+      union all select n * (n - 1) / 2, 0.5 * (n * sr2 - sr * sr), sqrt(2.0 * n / (n - 1) * (pow(111.19 * cos(radians(lat)), 2) * vx + 111.19 * 111.19 * vy + 1600 * vt)) from cl where n > 1),
     bn as (select case when h < 15 then 0 when h < 30 then 15 when h < 60 then 30 else 60 end as h_lo, case when h < 15 then 15 when h < 30 then 30 when h < 60 then 60 else 120 end as h_hi, sum(h * np) / sum(np) as h_mean, sum(half) / sum(np) as gamma, cast(sum(np) as bigint) as n_pairs from pr where h < 120 group by 1, 2 having sum(np) >= 3)"""
 
 

@@ -4,11 +4,15 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from flotsam.plans.registry import QUERIES
 from oracle_check import compare, connect
 
 SLOW = ("join2", "join3", "join4", "join9", "join10", "join11", "join12", "join17", "agg31", "ml", "win1_", "win5", "win6", "win7", "win10", "win11", "win16_", "win18", "win19",
         "dq5", "dq16", "dq11_hex", "dq13", "split1", "split4", "agg20", "cc1", "dq3", "exp3_")
-NAMES = [n for n in E.queries() if os.environ.get("FLOTSAM_ALL") or not n.startswith(SLOW)]
+NO_SQL = {"ml5_count_regression", "ml13_forest_report", "ml14_batch_scoring", "ml15_naive_bayes", "ml16_leave_region_out", "ml17_fusion", "ml20_fusion_check",
+          "win11_main_basin", "dq3_scene_masks"}         # checked against numpy in the other tests
+# the training-data queries are compared in tests/llm
+NAMES = [n for n in QUERIES if os.environ.get("FLOTSAM_ALL") or not n.startswith(SLOW)]
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +23,7 @@ def duck(sf):
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, sf, name):
     verdict = compare(spark, duck, sf, name, E.queries()[name], E.oracle_sql().get(name))[0]
-    assert verdict in ("ok", "rows")
+    assert verdict == ("rows" if name in NO_SQL else "ok")
 
 
 def test_oracles_belong_to_queries():
