@@ -133,6 +133,7 @@ def window_search(df: DataFrame, keys: list[str], d_fdi: str, ndvi: str, truth:
 # ---- group bootstrap -----------------------------------------------------------------------------------------------
 
 PRIME = 2147483647
+DRAW_BLOCK = 4096
 
 
 def draw(seed: int, replicate: Column, slot: Column, size: Column) -> Column:
@@ -156,7 +157,9 @@ def group_bootstrap(groups: DataFrame, keys: list[str], sums: list[str], stats:
     # the table of sizes is tiny: spread the replicates before they grow to one row per draw
     spread = int(size.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     picks = (size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(spread, "rep")
-             .withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n_groups") - 1).cast("int")))))
+             # in blocks, so that no row holds an array as long as the number of groups
+             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_groups") - 1) / DRAW_BLOCK))))
+             .withColumn("slot", F.explode(F.sequence(F.col("block") * DRAW_BLOCK, F.least(F.col("n_groups"), (F.col("block") + 1) * DRAW_BLOCK) - 1))))
     picks = picks.withColumn("group_no", draw(seed, F.col("rep"), F.col("slot"), F.col("n_groups")))
     picks = picks.groupBy(*keys, "rep", "group_no").agg(F.count(F.lit(1)).alias("_m"))
     rep = (picks.join(groups.drop("n_groups"), [*keys, "group_no"]).groupBy(*keys, "rep")

@@ -219,7 +219,7 @@ DRAW_SQL = """d0 as (select {keys}rep, slot, n_groups, (rep * 48271 + slot * 696
 @register("agg17_group_bootstrap_mae", "fx_pred", oracle="""
     with g0 as (select profile, group_no as g, count(*) as n, sum(abs(y_true - pred_model)) as e1, sum(abs(y_true - pred_base)) as e2 from fx_pred group by 1, 2),
     g as (select *, row_number() over (partition by profile order by g) - 1 as group_no from g0), sz as (select profile, count(*) as n_groups from g group by 1), """
-    + DRAW_SQL.format(keys="profile, ", seed=7, boot=400) + """,
+    + DRAW_SQL.format(keys="profile, ", seed=7, boot=2000) + """,
     r as (select profile, rep, sum(m * e1) / sum(m * n) as a, sum(m * e2) / sum(m * n) as b from dr join g using (profile, group_no) group by 1, 2)
     select profile, round(quantile_cont(a, 0.025), 6) as mae_model_lo, round(quantile_cont(a, 0.975), 6) as mae_model_hi, round(quantile_cont(b, 0.025), 6) as mae_base_lo,
       round(quantile_cont(b, 0.975), 6) as mae_base_hi, round(quantile_cont(a - b, 0.025), 6) as delta_lo, round(quantile_cont(a - b, 0.975), 6) as delta_hi,
@@ -229,18 +229,18 @@ def _(fx):
         F.count(F.lit(1)).alias("n"), F.sum(F.abs(C("y_true") - C("pred_model"))).alias("e1"), F.sum(F.abs(C("y_true") - C("pred_base"))).alias("e2"))
     g = M.number_groups(g, ["profile"], "g")
     a, b = C("e1") / C("n"), C("e2") / C("n")
-    return rnd(M.group_bootstrap(g, ["profile"], ["n", "e1", "e2"], {"mae_model": a, "mae_base": b, "delta": a - b}, n_boot=400, seed=7))
+    return rnd(M.group_bootstrap(g, ["profile"], ["n", "e1", "e2"], {"mae_model": a, "mae_base": b, "delta": a - b}, seed=7))
 
 
 @register("agg17_scene_bootstrap_f1", "fx_label", oracle="with " + CONF_SQL + """,
     g0 as (select split_code, scene_no, tp, fp, fn from cf), g as (select *, row_number() over (partition by split_code order by scene_no) - 1 as group_no from g0),
-    sz as (select split_code, count(*) as n_groups from g group by 1), """ + DRAW_SQL.format(keys="split_code, ", seed=1, boot=300) + """,
+    sz as (select split_code, count(*) as n_groups from g group by 1), """ + DRAW_SQL.format(keys="split_code, ", seed=1, boot=2000) + """,
     s as (select split_code, rep, sum(m * tp) as tp, sum(m * fp) as fp, sum(m * fn) as fn from dr join g using (split_code, group_no) group by 1, 2),
     r as (select split_code, 2 * (tp / greatest(tp + fp, 1)) * (tp / greatest(tp + fn, 1)) / greatest(tp / greatest(tp + fp, 1) + tp / greatest(tp + fn, 1), 1e-12) as f1 from s)
     select split_code, round(quantile_cont(f1, 0.025), 6) as f1_lo, round(quantile_cont(f1, 0.975), 6) as f1_hi from r group by 1""")
 def _(fx):
     g = M.number_groups(M.confusion(fx.fx_label, ["scene_no", "split_code"], C("pred"), C("cl")).select("split_code", "scene_no", "tp", "fp", "fn"), ["split_code"], "scene_no")
-    return rnd(M.group_bootstrap(g, ["split_code"], ["tp", "fp", "fn"], {"f1": M.prf(C("tp"), C("fp"), C("fn"))["f1"]}, n_boot=300, seed=1))
+    return rnd(M.group_bootstrap(g, ["split_code"], ["tp", "fp", "fn"], {"f1": M.prf(C("tp"), C("fp"), C("fn"))["f1"]}, seed=1))
 
 
 @register("agg18_best_threshold", "fx_label", oracle="""

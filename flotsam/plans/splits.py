@@ -111,18 +111,22 @@ def _before(load: str, i: str, t: str, size: str, k: int) -> str:
             f"cast(floor(({v} - {load}[m]) / {size}) as bigint) + if(({v} - {load}[m]) % {size} <> 0 or m < {i}, 1L, 0L))))")
 
 
+def _first_step(load: str, i: str, size: str, goal: str, k: int) -> str:
+    """Smallest t with at least ``goal`` assignments before the t-th one of fold ``i``: that number rises by one or
+    more with every t, so t is found by halving 0 .. goal."""
+    mid = "((b.lo + b.hi) div 2)"
+    return (f"aggregate(sequence(1, 62), named_struct('lo', 0L, 'hi', {goal}), (b, n) -> if(b.lo < b.hi, "
+            f"if({_before(load, i, mid, size, k)} >= {goal}, named_struct('lo', b.lo, 'hi', {mid}), named_struct('lo', {mid} + 1L, 'hi', b.hi)), b), b -> b.lo)")
+
+
 def _taken(load: str, i: str, size: str, count: str, k: int) -> str:
     """How many of ``count`` groups of ``size`` fold ``i`` receives: the steps t with fewer than count before them."""
-    lo = f"array_max(array(0L, cast(floor({count} / {k}) as bigint) - cast(ceil((array_max({load}) - array_min({load})) / {size}) as bigint) - 1))"
-    hi = f"(cast(ceil({count} / {k}) as bigint) + cast(ceil((array_max({load}) - array_min({load})) / {size}) as bigint) + 1)"
-    return (f"({lo} + size(filter(sequence({lo}, {hi}), t -> {_before(load, i, 't', size, k)} < {count})))")
+    return _first_step(load, i, size, count, k)
 
 
 def _is_jth(load: str, i: str, size: str, j: str, k: int) -> str:
     """True for the fold that receives the j-th group (1-based) of ``size``."""
-    lo = f"array_max(array(0L, cast(floor({j} / {k}) as bigint) - cast(ceil((array_max({load}) - array_min({load})) / {size}) as bigint) - 1))"
-    hi = f"(cast(ceil({j} / {k}) as bigint) + cast(ceil((array_max({load}) - array_min({load})) / {size}) as bigint) + 1)"
-    return f"exists(sequence({lo}, {hi}), t -> {_before(load, i, 't', size, k)} = {j} - 1)"
+    return f"exists(array({_first_step(load, i, size, f'({j} - 1L)', k)}), t -> {_before(load, i, 't', size, k)} = {j} - 1L)"
 
 
 def split_events(events: DataFrame, link_km: float, link_days: int, *, share: float, seed: int, k: int, value: str = "conc") -> DataFrame:

@@ -123,7 +123,6 @@ def test_quantiles_and_ranks(spark):
 
 def test_quantiles_of_large_groups_with_a_narrow_first_look(spark, monkeypatch):
     """Brackets of the sketch must not change the result, also when they miss."""
-    monkeypatch.setattr(R, "SMALL_GROUP", 10)
     g = np.random.default_rng(4)
     pdf = pd.DataFrame({"k": g.integers(0, 2, 20000), "v": np.round(g.normal(size=20000), 3)})
     df = spark.createDataFrame(pdf)
