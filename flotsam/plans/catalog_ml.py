@@ -204,15 +204,45 @@ def _(fx):
     return s.groupBy("scene_no", "grp").agg(F.count(F.lit(1)).alias("n"), R(F.sum("p"), 4).alias("p_sum"))
 
 
-@register("ml15_naive_bayes", "fx_label")
-def _(fx):
+def bayes_sql() -> str:
+    from flotsam.config import LABEL_TO_GROUP
+    return "with mp(cl, grp) as (values " + ", ".join(f"({a}, {b})" for a, b in LABEL_TO_GROUP.items()) + """),
+    px as (select l.split_code, row_number() over () as id, grp, fdi / 5 + grp * 0.05 as f, ndvi - grp * 0.1 as v from fx_label l join mp on mp.cl = l.cl where l.cl > 0),
+    st as (select grp, count(*) as n, avg(f) as mf, greatest(var_pop(f), 1e-300) as vf, avg(v) as mv, greatest(var_pop(v), 1e-300) as vv from px where split_code <> 'A' group by grp),
+    lg as (select p.id, p.grp, s.grp as c, ln(s.n) - (ln(vf) + ln(vv)) / 2 - pow(f - mf, 2) / (2 * vf) - pow(v - mv, 2) / (2 * vv) as l from px p, st s where p.split_code = 'A'),
+    pb as (select *, exp(l - max(l) over (partition by id)) as e from lg),
+    pr as (select id, grp, arg_max(c, l) as prd, sum(e) filter (where c = 0) / sum(e) as p0 from pb group by id, grp)"""
+
+
+def bayes_scored(fx):
     from pyspark.ml.classification import NaiveBayes
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
     px = labelled(fx)
     va = VectorAssembler(inputCols=["fdi", "ndvi"], outputCol="features")
     m = NaiveBayes(modelType="gaussian", labelCol="grp", smoothing=0.0).fit(va.transform(px.where("split_code <> 'A'")))
-    te = m.transform(va.transform(px.where("split_code = 'A'"))).withColumn("prd", C("prediction").cast("int"))
-    return rnd(ML.class_report(te, [], "grp", "prd"), 4)
+    te = m.transform(va.transform(px.where("split_code = 'A'")))
+    return te.withColumns({"prd": C("prediction").cast("int"), "p_debris": vector_to_array("probability")[0]})
+
+
+@register("ml15_naive_bayes", "fx_label", oracle=bayes_sql() + """,
+    g as (select c as cls, (select count(*) from pr where grp = c and prd = c) as tp, (select count(*) from pr where prd = c) as predicted, (select count(*) from pr where grp = c) as support
+      from (select grp as c from pr union select prd from pr)),
+    q as (select *, coalesce(tp / nullif(predicted, 0), 0) as p, coalesce(tp / nullif(support, 0), 0) as r from g)
+    select cast(cls as integer) as cls, tp, predicted, support, round(p, 4) as precision, round(r, 4) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) as f1 from q""")
+def _(fx):
+    return rnd(ML.class_report(bayes_scored(fx), [], "grp", "prd"), 4)
+
+
+@register("ml15_debris_score", "fx_label", oracle=bayes_sql() + """,
+    t as (select unnest([0.1, 0.3, 0.5, 0.7, 0.9]) as threshold)
+    select cast(threshold as double) as threshold, count(*) filter (where p0 >= threshold and grp = 0) as tp, count(*) filter (where p0 >= threshold and grp <> 0) as fp,
+      count(*) filter (where p0 < threshold and grp = 0) as fn from pr, t group by threshold""")
+def _(fx):
+    """Debris against the rest by the model's own probability, at five thresholds."""
+    s = bayes_scored(fx).select((C("grp") == 0).alias("y"), "p_debris").withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.3, 0.5, 0.7, 0.9)])))
+    hit = C("p_debris") >= C("threshold")
+    return s.groupBy("threshold").agg(F.count_if(hit & C("y")).alias("tp"), F.count_if(hit & ~C("y")).alias("fp"), F.count_if(~hit & C("y")).alias("fn"))
 
 
 @register("ml16_leave_region_out", "fx_label")
