@@ -10,6 +10,9 @@ from flotsam.functions import spectral as S
 from flotsam.functions import status as ST
 from flotsam.plans import field as FP
 from flotsam.plans.registry import register
+from flotsam.session import new_path
+from flotsam.sources import registry as reg
+from flotsam.sources import sinks
 
 R = F.round
 C = F.col
@@ -118,6 +121,16 @@ def _(fx):
     return FP.select_rows(fx.fx_event).select("event_id", "decision", "sel_profile", "sel_role", "reason_code")
 
 
+@register("exp9_registry_csv", "fx_event", oracle="with " + SELECT_SQL + " select event_id, cast(n_items as double) as items_count, decision, sel_profile, sel_role, reason_code from sel")
+def _(fx):
+    """From CSV text to decisions: the registry is written by the CSV sink, scanned as text, typed and selected."""
+    cols = ["event_id", "items_count", "record_type", "target_scope", "measurement_profile", "quality_flags"]
+    path = new_path(fx.fx_event.sparkSession)
+    sinks.write_csv(fx.fx_event.withColumn("items_count", C("n_items").cast("string")), path, cols)
+    rows = reg.typed_registry(reg.read_registry(fx.fx_event.sparkSession, path, cols))
+    return FP.select_rows(rows).select(C("event_id").cast("bigint").alias("event_id"), "items_count", "decision", "sel_profile", "sel_role", "reason_code")
+
+
 def _world(df):
     """Survey points spread over the globe."""
     return df.withColumns({"wx": (C("lon") - 27) * 24 - 180, "wy": (C("lat") - 40.5) * 20 - 50})

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from flotsam.functions import spectral as S
 from flotsam.plans.registry import register
+from flotsam.session import new_path
 from flotsam.sources import registry as reg
 from flotsam.sources import sinks
 
@@ -178,6 +179,17 @@ def _(fx):
     return z.select("zone_no", sinks.point_feature(F.col("lon"), F.col("lat"), ["zone_no", "aoi_no", "n_pixels"]).alias("feature"))
 
 
+@register("src13_partitioned_table", "fx_zone", oracle="""
+    select aoi_no, cast(date_utc as varchar) as date, count(*) as n, cast(sum(n_pixels) as bigint) as n_pixels from fx_zone group by 1, 2""")
+def _(fx):
+    """Zones through the partitioned sink and back."""
+    z = fx.fx_zone
+    path = new_path(z.sparkSession)
+    sinks.write_partitioned(z.select("aoi_no", F.col("date_utc").cast("string").alias("date"), "zone_no", "n_pixels"), path, ("aoi_no", "date"))
+    back = z.sparkSession.read.schema("zone_no bigint, n_pixels bigint, aoi_no bigint, date string").parquet(path)
+    return back.groupBy("aoi_no", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("n_pixels").alias("n_pixels"))
+
+
 @register("src14_reflectance_codec", "fx_pixel", oracle="""
     select scene_no, p_partkey, cast(coalesce(round_even(v * 10000, 0), -9999) as bigint) as dn, v as back from (
       select *, case when p_partkey % 9 <> 0 then b08 end as v from fx_pixel)""")

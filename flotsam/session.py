@@ -46,6 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def new_path(spark: SparkSession) -> str:
+    """Fresh folder name inside the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/flotsam-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back.
 
@@ -53,7 +58,7 @@ def materialise(df: DataFrame) -> DataFrame:
     because the copy lives in the shared folder and not on the machine that made it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/flotsam-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.mode("errorifexists").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_to = path

@@ -9,10 +9,13 @@ from flotsam.config import LABEL_TO_GROUP, NUMERIC_COLUMNS
 from flotsam.operators.ranking import top_k
 
 
-def read_registry(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Registry CSV with every column as text (no inference); pass through ``typed_registry`` for numbers."""
+def read_registry(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+    """Registry CSV with every column as text (no inference); pass through ``typed_registry`` for numbers.
+
+    A file is read in splits. ``multi_line`` is for files with line ends inside quotes, which one task must read whole.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.csv(path, schema=schema, header=True, encoding="UTF-8", enforceSchema=False, multiLine=True,
+    return spark.read.csv(path, schema=schema, header=True, encoding="UTF-8", enforceSchema=False, multiLine=multi_line,
                           escape='"')
 
 
