@@ -52,11 +52,11 @@ def _hits(texts: pa.Array, mask: np.ndarray | None) -> tuple[np.ndarray, np.ndar
 def _count(batches):
     """Per task: number of sampled documents of each class that hold a bucket."""
     counts = np.zeros((2, 1 << BITS), np.int32)
-    for b in (s for batch in batches for s in slices(batch, "text")):
+    for b in (s for batch in batches for s in slices(batch, "text", 1 << 19)):
         y = b.column("y").to_numpy(zero_copy_only=False)
         rows, buckets = _hits(b.column("text"), None)
         for c in (0, 1):
-            counts[c] += np.bincount(buckets[y[rows] == c], minlength=1 << BITS).astype(np.int32)
+            np.add.at(counts[c], buckets[y[rows] == c], 1)
     at = np.flatnonzero(counts.any(0))
     for i in range(0, len(at), 65536):
         k = at[i:i + 65536]
