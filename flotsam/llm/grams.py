@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flotsam.session import materialise
 
-BITE = 1 << 19      # code points that are worked on at a time
+BITE = 1 << 17      # code points that are worked on at a time
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
 
 
