@@ -334,6 +334,26 @@ def test_licences(spark):
     assert licences.scan(f.where("false")).count() == 0
 
 
+def test_licence_files_headers_and_inline_notices(spark):
+    """Whole licence files, header blocks, wrapped and inline notices, standard headings and SPDX ids."""
+    text = {p.name.removesuffix(".txt"): p.read_text() for p in licences.TEXTS.glob("*.txt")}
+    files = {f"{n}/LICENSE": (f"Copyright (c) 2020 The Foo Authors. All rights reserved.\n\n{t}", n) for n, t in text.items()}
+    wrapped = "\n".join(" * " + " ".join(licences.HEADERS[0][1].split()[i:i + 7]) for i in range(0, 80, 7))
+    gpl = ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, "
+           "either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without "
+           "even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details.\n")
+    code = "\nimport alpha\nfor beta in gamma(delta):\n    print(epsilon, zeta)\n" * 20
+    files |= {"w/a.c": (f"/*\n{wrapped}\n */{code}", "Apache-2.0"), "w/b.py": (gpl + code, "GPL-3.0"), "w/m.py": ("# " + text["MIT"].replace("\n", "\n# ") + code, "MIT"),
+              "w/c.md": (f"Alpha beta gamma. Licensed under the MIT License. Delta epsilon zeta eta theta iota.{code}", "MIT"), "w/d.py": (f"# This work is licensed under the\n# GNU General Public License,\n# version 3.{code}", "GPL-3.0"),
+              "h/1": ("MIT License" + code, "MIT"), "h/2": ("Apache License" + code, "Apache-2.0"), "h/3": ("GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991" + code, "GPL-2.0"),
+              "h/4": ("Mozilla Public License Version 2.0" + code, "MPL-2.0"), "h/5": ("GNU GENERAL PUBLIC LICENSE" + code, "GPL"), "s/1": ("# SPDX-License-Identifier: Apache-2.0" + code, "Apache-2.0"),
+              "s/2": ("// SPDX-License-Identifier: (GPL-2.0-only OR MIT)" + code, "GPL-2.0"), "s/3": ("# SPDX-License-Identifier: Zlib" + code, None), "n/1": ("the license of the party" + code, None),
+              "n/2": ("You may copy and distribute the soup in any form, provided that the conditions are met." + code, None), **{f"x/{i}": (f"some other words {i}" + code, None) for i in range(40)}}
+    f = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")
+    got = {r.file.path: r.own_licence for r in licences.scan(f).collect()}
+    assert got == {p: n for p, (_, n) in files.items()}
+
+
 def test_telling_terms_lose_nothing():
     words = licences.template_words()
     terms = sorted({t for c in words.values() for t in c})
