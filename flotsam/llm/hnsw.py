@@ -178,7 +178,7 @@ def _answer(k: int, width: int):
                 o = np.argsort(d, kind="stable")
                 found = sorted((e, i) for e, n in zip(d[o].tolist(), near[o].tolist()) for i in r["ids"][n])
                 out.append([{"score": e, "vec_id": i} for e, i in found[:k]])
-        return pa.table({"key": queries["key"] if out else pa.array([], pa.int64()),
+        return pa.table({"key": queries["key"] if out else pa.array([], pa.string()),
                          "near": pa.array(out, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))})
     return run
 
@@ -193,23 +193,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id;
     vectors of different lengths never meet. With fewer than ``k`` candidates all are returned; no rows give no rows;
-    rows repeated with their id count as one; other columns are ignored.
+    rows repeated with their id count as one; other columns are ignored. An id with several different vectors is a
+    query with each of them: every vector gets its own ``k`` answers with its own ranks, and the id's rows with other
+    vectors are other rows like any; only the row itself, of the same id at distance zero, is left out.
     """
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double") + F.lit(0.0)).alias("vec"), is_query.alias("_q"))
     rows = materialise(rows.groupBy("vec_id", "vec").agg(F.max("_q").alias("_q")))
     index = build_index(rows, k + 1, shard_rows)
     asked = rows.where("_q").select("vec_id", "vec")
-    different = materialise(asked.groupBy("vec").agg(F.min("vec_id").alias("key")).withColumn("dim", F.size("vec")))
+    # an id is no key: it may carry several vectors
+    different = materialise(asked.select("vec").distinct().select("vec", F.md5(F.to_json(F.struct("vec"))).alias("key"), F.size("vec").alias("dim")))
     blocks = max(1, -(-different.count() // BLOCK))
     shards = index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"))
     visits = different.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).join(shards, "dim")
     copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["dim", "shard", "block"]
-    found = copies.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_answer(k + 1, width), "key long, near array<struct<score: double, vec_id: bigint>>")
+    found = copies.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_answer(k + 1, width), "key string, near array<struct<score: double, vec_id: bigint>>")
     merged = found.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     merged = materialise(merged.join(different, "key").select("vec", "near"))
     own = asked.join(merged, "vec").select(F.col("vec_id").alias("query_id"), F.slice(
-        F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("near"))
+        F.filter("near", lambda x: (x["vec_id"] != F.col("vec_id")) | (x["score"] > 0)), 1, k).alias("near"))
     return own.select("query_id", F.posexplode("near").alias("_i", "x")).select(
         "query_id", (F.col("_i") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

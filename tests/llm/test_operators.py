@@ -252,6 +252,20 @@ def test_neighbours(spark):
     assert hnsw.nearest(v.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_one_id_with_two_vectors(spark):
+    """Every vector of an id gets its own answers; the smallest ids of both are the same."""
+    g = np.random.default_rng(5)
+    x = np.concatenate([g.normal(size=(1, 4)) + 3, g.normal(size=(1, 4)) + 9, g.normal(size=(30, 4)) + 3, g.normal(size=(30, 4)) + 9])
+    ids = [0, 0, *range(1, 61)]
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id, round(r.score, 9)) for r in hnsw.nearest(v, F.col("vec_id") == 0, k=5).collect())
+    want = []
+    for q in (0, 1):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want += [(n + 1, ids[i], round(float(d[i]), 9)) for n, i in enumerate([i for i in np.argsort(d) if i != q][:5])]
+    assert got == sorted(want)
+
+
 # models
 
 def labelled(spark):
