@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flotsam.llm import bpe, exact_dedup, hnsw, kd_shards, language, licences, mixing, near_dup, quality, toxicity
+from flotsam.llm import bpe, exact_dedup, hnsw, kd_shards, language, licences, mixing, near_dup, quality, spelling, toxicity
 from flotsam.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,8 @@ def op8_licences(spark, sf_dir):
     path = PATH_SQL.format(s="string").replace("doc_id // 1000", "doc_id div 1000").replace("doc_id % 1000 // 10", "doc_id % 1000 div 10")
     files = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(path).alias("path"))
     return licences.scan(files).select("file.doc_id", "file.path", "own_licence", "own_score", "licence", "origin", "from_dir")
+
+
+@register()
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
