@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flotsam.llm import bpe, exact_dedup, hnsw, kd_shards, language, licences, mixing, near_dup, quality, spelling, toxicity
+from flotsam.llm import bpe, exact_dedup, hnsw, kd_shards, language, licences, mixing, near_dup, quality, simhash, spelling, toxicity
 from flotsam.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,11 @@ def op8_licences(spark, sf_dir):
     return licences.scan(files).select("file.doc_id", "file.path", "own_licence", "own_score", "licence", "origin", "from_dir")
 
 
+@register()
+def op11_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 @register()
 def op13_spelling(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
