@@ -55,6 +55,14 @@ def running_before(df: DataFrame, group: list[str], key32: str, order: list[str]
             .drop("_range", *[f"_s_{o}" for o in values]))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by key over as many partitions as the session plans for a shuffle, however few bytes they have.
+
+    For rows that cost much more work than their bytes suggest, which an adaptive plan would put together.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def slices(batch: pa.RecordBatch, text_col: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most ``max_bytes`` of text each, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)

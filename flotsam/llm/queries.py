@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flotsam.llm import bpe, exact_dedup, hnsw, kd_shards, language, licences, mixing, near_dup, quality, simhash, spelling, toxicity
+from flotsam.llm import bpe, exact_dedup, heap_kmeans, hnsw, kd_shards, language, licences, mixing, near_dup, quality, simhash, spelling, toxicity
 from flotsam.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,6 +167,34 @@ def op11_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds one after the other, every vector against every centroid."""
+    each = "".join(f"""
+d{r} as materialized (select v.rid, c.cl, sum((v.x - c.x) * (v.x - c.x)) as dist from v join k{r} c using (i) group by v.rid, c.cl),
+a{r} as materialized (select rid, cl, dist from d{r} qualify row_number() over (partition by rid order by dist, cl) = 1),
+n{r} as (select cl, i, sum(x) as s, count(*) as n from a{r} join v using (rid) group by cl, i),
+k{r + 1} as materialized (select c.cl, c.i, case when n is null then c.x else ((s - ((s % n) + n) % n) // n)::bigint end as x from k{r} c left join n{r} using (cl, i)),"""
+                   for r in range(rounds))
+    return f"""
+with e as materialized (select row_number() over () as rid, vec_id, embedding from embeddings where len(embedding) = 64),
+c as materialized (select rid, unnest(range(64)) as i, unnest(embedding) as x from e),
+v as materialized (select rid, i, floor(1024 * x::double)::bigint as x from c where rid in (select rid from c group by rid having count(x) = 64 and bool_and(isfinite(x)))),
+w as (select rid, list(x order by i) as l from v group by rid),
+f as (select sha256('3:' || coalesce(cast(vec_id as varchar), '')) as h, l from w join e using (rid) order by h, l limit {k}),
+k0 as materialized (select cl, unnest(range(64)) as i, unnest(l) as x from (select row_number() over (order by h, l) - 1 as cl, l from f)),{each}
+d as materialized (select v.rid, c.cl, sum((v.x - c.x) * (v.x - c.x)) as dist from v join k{rounds} c using (i) group by v.rid, c.cl),
+a as (select rid, cl, dist from d qualify row_number() over (partition by rid order by dist, cl) = 1),
+t as (select cl, sha256(string_agg(cast(x as varchar), ',' order by i)) as centroid_sha256 from k{rounds} group by cl)
+select vec_id, cl::int as cluster, dist::bigint as distance, (sum(dist) over (partition by cl))::bigint as cluster_inertia, (sum(dist) over ())::bigint as inertia, centroid_sha256
+from a join e using (rid) join t using (cl)
+"""
+
+
+@register(cluster_sql())
+def op12_clusters(spark, sf_dir):
+    return heap_kmeans.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+
+
 @register()
 def op13_spelling(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flotsam.llm.common import WHITE, slices
+from flotsam.llm.common import WHITE, slices, spread
 from flotsam.operators.components import connected_components
 from flotsam.session import materialise
 
@@ -222,9 +222,9 @@ def links(fps: DataFrame, budget: int = BUDGET, depth: int = DEPTH, block: int =
     subtrees = materialise(fps.select("fp", at.alias("at")).select("fp", "at.*").join(used, ["depth", "p"])
                            .groupBy("depth", "p").agg(F.sort_array(F.collect_list("fp")).alias("a")))
     other = subtrees.select("depth", F.col("p").alias("q"), F.col("a").alias("b"))
-    two = pairs.where(F.col("p") != F.col("q")).join(subtrees, ["depth", "p"]).join(other, ["depth", "q"]).select("depth", "used", "a", "b")
-    one = pairs.where(F.col("p") == F.col("q")).join(subtrees, ["depth", "p"]).select("depth", "used", "a", F.lit(None).cast("array<bigint>").alias("b"))
-    return two.unionByName(one).mapInArrow(lambda batches: _walk(batches, budget), "x long, y long")
+    two = pairs.where(F.col("p") != F.col("q")).join(subtrees, ["depth", "p"]).join(other, ["depth", "q"]).select("depth", "p", "q", "used", "a", "b")
+    one = pairs.where(F.col("p") == F.col("q")).join(subtrees, ["depth", "p"]).select("depth", "p", "q", "used", "a", F.lit(None).cast("array<bigint>").alias("b"))
+    return spread(two.unionByName(one), "p", "q").mapInArrow(lambda batches: _walk(batches, budget), "x long, y long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, budget: int = BUDGET,

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flotsam.llm.common import slices
+from flotsam.llm.common import slices, spread
 from flotsam.session import materialise, release
 
 SHORTEST = 6            # code points of a word
@@ -175,16 +175,18 @@ def near_words(words: DataFrame) -> DataFrame:
     """
     placed = words.withColumn("block", _group_counts(F.col("word")))
     chunks = F.ceil(F.count(F.lit(1)) * F.first(F.length("word")) / CHUNK).cast("int")
-    large = placed.groupBy("block").agg(chunks.alias("_chunks")).where(F.col("_chunks") > 1)        # one row per CHUNK code points of words at most
+    large = materialise(placed.groupBy("block").agg(chunks.alias("_chunks")).where(F.col("_chunks") > 1))    # at most a row per CHUNK code points
     placed = placed.join(F.broadcast(large), "block", "left")
     chunk = F.pmod(F.xxhash64("word"), F.coalesce("_chunks", F.lit(1))).cast("int")
     listed = F.sort_array(F.collect_list(F.struct("word", "n")))
     dealt = materialise(placed.groupBy("block", chunk.alias("chunk")).agg(listed.alias("_w"))
                         .select("block", "chunk", F.length(F.col("_w")[0]["word"]).alias("length"), F.col("_w.word").alias("words"), F.col("_w.n").alias("n")))
     left = dealt.select("block", "length", F.col("chunk").alias("a_chunk"), F.col("words").alias("a_words"), F.col("n").alias("a_n"), F.explode(_partners(F.col("block"))).alias("b_block"))
+    left = left.join(F.broadcast(large.withColumnRenamed("block", "b_block")), "b_block", "left")
+    left = left.withColumn("b_chunk", F.explode(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1)))
     right = dealt.select(F.col("block").alias("b_block"), F.col("length").alias("b_length"), F.col("chunk").alias("b_chunk"), F.col("words").alias("b_words"), F.col("n").alias("b_n"))
     own = F.col("block") == F.col("b_block")
-    met = left.join(right, "b_block").where(~own | (F.col("a_chunk") <= F.col("b_chunk")))
+    met = spread(left, "b_block", "b_chunk").join(spread(right, "b_block", "b_chunk"), ["b_block", "b_chunk"]).where(~own | (F.col("a_chunk") <= F.col("b_chunk")))
     rows = met.select("length", "b_length", (own & (F.col("a_chunk") == F.col("b_chunk"))).alias("same"), "a_words", "a_n", "b_words", "b_n")
     found = rows.mapInArrow(_products, "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("m"), F.col("best").alias("w")))
