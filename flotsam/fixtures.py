@@ -50,6 +50,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                cast(90 + (p_partkey * 43 + scene_no * 77) % 701 as double) / 10000 as b06,
                cast(100 + (p_partkey * 47 + scene_no * 136) % 997 as double) / 10000 as b08,
                cast(60 + (p_partkey * 53 + scene_no * 170) % 397 as double) / 10000 as b11,
+               cast(130 + (p_partkey * 31 + scene_no * 17) % 701 as double) / 10000 as b01,
+               cast(90 + (p_partkey * 59 + scene_no * 83) % 601 as double) / 10000 as b05,
+               cast(95 + (p_partkey * 67 + scene_no * 97) % 601 as double) / 10000 as b07,
+               cast(100 + (p_partkey * 71 + scene_no * 113) % 797 as double) / 10000 as b8a,
+               cast(50 + (p_partkey * 73 + scene_no * 149) % 297 as double) / 10000 as b12,
                case when (p_partkey * 13 + scene_no * 7) % 20 < 15 then 6 when (p_partkey * 13 + scene_no * 7) % 20 < 17 then 9
                     when (p_partkey * 13 + scene_no * 7) % 20 < 18 then 3 else 4 end as scl,
                cast((p_partkey * 97 + scene_no * 101) % 256 as double) / 255 as p,
@@ -63,6 +68,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                p_partkey % 7 <> 0 and scl in (4, 6) and p >= 0.5 and flags >= 4 as det,
                p_partkey % 7 <> 0 and b11 > 0.03 as glint, p, frac, b11, cls, flags, scl
         from {fx_pixel}"""),
+    "fx_sea": (("events",), """
+        select scene_no, cast(floor(n / 40) as bigint) as prow, n % 40 as pcol,
+               not (scene_no = 0 and cast(floor(n / 40) as bigint) % 120 = 60 and n % 40 not in (10, 11, 12)
+                    or (n * 7919 + scene_no * 31) % (case when scene_no = 0 then 4999 else 24989 end) = 0) as water
+        from (select event_id % 2 as scene_no, cast(floor(event_id / 2) as bigint) as n from {events}) e"""),
+    "fx_flow": (("events",), """
+        select event_id % 80 as ix, cast(floor(event_id / 80) as bigint) % 40 as iy, cast(floor(event_id / 3200) as bigint) as hour_no, value / 10 as wind_ms
+        from {events}"""),
     "fx_zone": (("events",), """
         select event_id as zone_no, user_id % 5 as aoi_no, cast(ts as date) as date_utc, value as cover_m2, ts_s as t_s,
                cast((event_id * 31) % 1000 as double) / 1000 as p_max, 1 + event_id % 9 as n_pixels,

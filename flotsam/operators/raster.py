@@ -6,14 +6,23 @@ window partition grows with the image.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from flotsam.config import WATER_REF
+from flotsam.functions.spectral import fdi, water_candidate
 from flotsam.operators.components import connected_components
-from flotsam.operators.neighbours import Metric, nearest
+from flotsam.session import materialise
 
 BAND = 512
+STRIP = 1 << 20         # pixels of a strip of columns that one task holds, or one whole column
+TILE = 256              # pixels of a tile's side without its halo
+FAR = 1 << 40           # squared distance that stands for "nothing in this row"
 
 
 def with_size(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,26 +132,132 @@ def opening(df: DataFrame, keys: list[str], mask: Column, n: int, out: str) -> D
     return dilate(erode(df, keys, mask, n, "_e"), keys, F.col("_e"), n, out).drop("_e")
 
 
+# ---- straight-line distances ---------------------------------------------------------------------------------------
+
+def nearest_rows(sq: np.ndarray) -> np.ndarray:
+    """For every cell of ``sq`` (rows x columns) the row r' of its column that minimises (r - r')² + sq[r'], the first of equals.
+
+    That row does not decrease with r, so the middle row of a range halves the search for the rest: every column of
+    the strip goes down the same halves, and a level looks at each column about once.
+    """
+    height, width = sq.shape
+    flat = sq.ravel()
+    best = np.full((height, width), -1, np.int64)
+    base = np.arange(width)
+    step = 1 << max(height - 1, 1).bit_length()
+    while step >= 1:
+        r = np.arange(step - 1, height, 2 * step) if step > 1 else np.arange(0, height, 2)
+        if step > 1:
+            above, below = r - step, r + step
+        else:
+            above, below = r - 1, r + 1
+        low = np.where((above >= 0)[:, None], best[np.maximum(above, 0)], 0)
+        high = np.where((below < height)[:, None], best[np.minimum(below, height - 1)], height - 1)
+        count = (high - low + 1).ravel()
+        first = np.cumsum(count) - count
+        owner = np.repeat(np.arange(len(count)), count)
+        cand = np.arange(len(owner)) - first[owner] + low.ravel()[owner]
+        row, col = r[owner // width], base[owner % width]
+        value = (row - cand) ** 2 + flat[cand * width + col]
+        least = np.minimum.reduceat(value, first)
+        hit = np.flatnonzero(value == least[owner])
+        best[r] = cand[hit[np.searchsorted(hit, first)]].reshape(len(r), width)
+        step //= 2
+    return best
+
+
+def distance_transform(df: DataFrame, keys: list[str], masks: dict[str, Column], feature: bool = False) -> DataFrame:
+    """Squared straight-line distance of every pixel to the nearest pixel of each mask in its image, null without one.
+
+    Output → mask; with ``feature`` also the place of that pixel, ``<output>_row`` and ``<output>_col`` (of equals the first
+    row, then the first column). Distances within a row come from running minima; then strips of whole columns take,
+    per column, the lower envelope of the rows' parabolas. A pixel is shuffled twice whatever the distances are: no
+    halo, no reach. ``df`` must be dense inside the image.
+    """
+    thin = df.select(*keys, "row", "col", "height", "width", *[m.alias(f"_m_{o}") for o, m in masks.items()])
+    col = F.col("col")
+
+    def running(fn: Callable, o: str, order: Column) -> Column:
+        return fn(F.when(F.col(f"_m_{o}"), col)).over(Window.partitionBy(*keys, "row").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+    for o in masks:
+        thin = thin.withColumns({f"_l_{o}": running(F.max, o, col), f"_r_{o}": running(F.min, o, col.desc())})
+    at = {o: F.when(F.col(f"_r_{o}").isNull() | (col - F.col(f"_l_{o}") <= F.col(f"_r_{o}") - col), F.col(f"_l_{o}")).otherwise(F.col(f"_r_{o}")) for o in masks}
+    columns = F.greatest(F.lit(1), F.floor(STRIP / F.col("height")))
+    thin = thin.select(*keys, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.floor(col / columns).alias("_strip"),
+                       *[a.cast("long").alias(f"_c_{o}") for o, a in at.items()])
+    names = [n for o in masks for n in (o, *((f"{o}_row", f"{o}_col") if feature else ()))]
+    schema = StructType([*[f for f in thin.schema if f.name in (*keys, "row", "col")], *[StructField(n, LongType()) for n in names]])
+
+    order, outs = [f.name for f in schema], list(masks)
+
+    def strip(t: pa.Table) -> pa.Table:
+        row, col = (t[c].to_numpy() for c in ("row", "col"))
+        r0, c0 = row.min(), col.min()
+        r, c = row - r0, col - c0
+        shape = (r.max() + 1, c.max() + 1)
+        out = {n: t[n] for n in (*keys, "row", "col")}
+        for o in outs:
+            near = np.full(shape, -1, np.int64)
+            near[r, c] = t[f"_c_{o}"].fill_null(-1).to_numpy()
+            own = c0 + np.arange(shape[1])
+            sq = np.where(near >= 0, (near - own) ** 2, FAR)
+            best = nearest_rows(sq)[r, c]
+            value = (r - best) ** 2 + sq[best, c]
+            none = value >= FAR
+            out[o] = pa.array(value, mask=none)
+            if feature:
+                out[f"{o}_row"], out[f"{o}_col"] = pa.array(best + r0, mask=none), pa.array(near[best, c], mask=none)
+        return pa.table(out).select(order)
+
+    found = thin.groupBy(*keys, "_strip").applyInArrow(strip, schema)
+    return df.join(found, [*keys, "row", "col"])
+
+
 def disc_core(df: DataFrame, keys: list[str], mask: Column, width: int, out: str) -> DataFrame:
     """Mask pixels farther than ``width`` (straight-line) from every pixel outside the mask."""
-    df = df.withColumn("_m", mask)
-    b = _banded(df, "col", "width", width + 1)
-    col = F.col("col")
+    df = distance_transform(df.withColumn("_m", mask), keys, {"_d": ~F.col("_m")})
+    return df.withColumn(out, F.col("_m") & (F.coalesce("_d", F.lit(FAR)) > width * width)).drop("_m", "_d")
 
-    def running(fn, order):
-        return fn.over(Window.partitionBy(*keys, "row", "_band").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
-    gone = F.when(~F.col("_m"), col)
-    far = F.lit(width + 1)
-    b = b.withColumn("_d", F.least(far, F.coalesce(col - running(F.max(gone), col), far),
-                                   F.coalesce(running(F.min(gone), col.desc()) - col, far)).cast("bigint"))
-    df = _own(b, "col")
-    b = _banded(df, "row", "height", width)
-    w = Window.partitionBy(*keys, "col", "_band").orderBy("row").rangeBetween(-width, width)
-    # at most 2·width+1 entries per pixel: (row, distance inside that row)
-    b = b.withColumn("_s", F.collect_list(F.struct(F.col("row").alias("r"), F.col("_d").alias("d"))).over(w))
-    near = F.array_min(F.transform("_s", lambda s: (s["r"] - F.col("row")) * (s["r"] - F.col("row")) + s["d"] * s["d"]))
-    return _own(b, "row").withColumn(out, F.col("_m") & (near > width * width)).drop("_m", "_d", "_s")
+def grow_inside(df: DataFrame, keys: list[str], seed: Column, inside: Column, steps: int, out: str) -> DataFrame:
+    """Seeds grown by ``steps`` steps in all eight directions, never leaving ``inside``; seeds stay.
+
+    No path of that many steps leaves a tile with a halo as wide, so every tile is grown on its own.
+    """
+    tile = max(TILE, 2 * steps)
+    thin = df.select(*keys, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "height", "width", seed.alias("_s"), inside.alias("_i")).where("_s or _i")
+    for axis, size in (("row", "height"), ("col", "width")):
+        last = F.floor((F.col(size) - 1) / tile)
+
+        def at(shift: int, axis: str = axis, last: Column = last) -> Column:
+            return F.greatest(F.lit(0), F.least(F.floor((F.col(axis) + shift) / tile), last))
+
+        thin = thin.withColumn(f"_t{axis}", F.explode(F.array_distinct(F.array(at(-steps), at(0), at(steps)))))
+    schema = StructType([f for f in thin.schema if f.name in (*keys, "row", "col")])
+    order = schema.names
+
+    def one(t: pa.Table) -> pa.Table:
+        row, col = (t[c].to_numpy() for c in ("row", "col"))
+        r, c = row - row.min() + 1, col - col.min() + 1
+        on, may = (np.zeros((r.max() + 2, c.max() + 2), bool) for _ in range(2))
+        on[r, c], may[r, c] = t["_s"].to_numpy(), t["_i"].to_numpy()
+        for _ in range(steps):
+            wide = on.copy()
+            wide[1:] |= on[:-1]
+            wide[:-1] |= on[1:]
+            full = wide.copy()
+            full[:, 1:] |= wide[:, :-1]
+            full[:, :-1] |= wide[:, 1:]
+            full = full & may | on
+            if (full == on).all():
+                break
+            on = full
+        own = (row // tile == t["_trow"][0].as_py()) & (col // tile == t["_tcol"][0].as_py())
+        return t.filter(pa.array(on[r, c] & own)).select(order)
+
+    grown = thin.groupBy(*keys, "_trow", "_tcol").applyInArrow(one, schema).withColumn(out, F.lit(True))
+    return df.join(grown, [*keys, "row", "col"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 # ---- components ----------------------------------------------------------------------------------------------------
@@ -187,67 +302,75 @@ def zone_components(df: DataFrame, keys: list[str], det: Column, merge_px: int)
 
 
 def main_basin(df: DataFrame, keys: list[str], water: Column, width: int, out: str) -> DataFrame:
-    """The largest body of water: core away from the shore, grown back through water only.
+    """The largest body of water: core away from the shore, grown back ``width + 1`` steps through water only.
 
-    Growth is ``width + 1`` steps in all eight directions. A step cannot cross land, so it runs as repeated box
-    windows over the water mask; the number of steps is a parameter, not a property of the data.
+    An image without a core keeps all its water.
     """
     df = disc_core(df.withColumn("_w", water), keys, F.col("_w"), width, "_core")
     lab = label_components(df.where("_core").select(*keys, "row", "col"), keys, diagonal=False)
     sizes = lab.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
     # largest core per image, the first label on ties
     best = sizes.groupBy(*keys).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
-    main = lab.join(best, [*keys, "label"], "left_semi").select(*keys, "row", "col", F.lit(1).alias("_on"))
-    df = df.join(main, [*keys, "row", "col"], "left").withColumn("_on", F.coalesce("_on", F.lit(0)))
-    any_core = best.select(*keys, F.lit(True).alias("_has"))
-    for _ in range(width + 1):
-        df = box_sum(df, keys, {"_s": "_on"}, 1)
-        df = df.withColumn("_on", F.when(F.col("_w") & ((F.col("_s") > 0) | (F.col("_on") == 1)), 1).otherwise(0)).drop("_s")
-    df = df.join(any_core, keys, "left")
-    return df.withColumn(out, F.when(F.col("_has"), F.col("_on") == 1).otherwise(F.col("_w"))).drop("_on", "_w", "_core", "_has")
+    main = lab.join(best, [*keys, "label"], "left_semi").select(*keys, "row", "col", F.lit(True).alias("_on"))
+    df = df.join(main, [*keys, "row", "col"], "left").withColumn("_on", F.coalesce("_on", F.lit(False)))
+    df = grow_inside(df, keys, F.col("_on"), F.col("_w"), width + 1, "_grown")
+    df = df.join(best.select(*keys, F.lit(True).alias("_has")), keys, "left")
+    return df.withColumn(out, F.when(F.col("_has"), F.col("_grown")).otherwise(F.col("_w"))).drop("_on", "_w", "_core", "_has", "_grown")
 
 
 # ---- background ----------------------------------------------------------------------------------------------------
 
-def block_background(df: DataFrame, keys: list[str], bands: list[str], mask: Column, block: int,
-                     image_no: str) -> DataFrame:
-    """Local water spectrum ``bg_<band>``: block medians, gaps from the nearest good block, smoothed, stretched.
+def block_spectra(df: DataFrame, keys: list[str], bands: list[str], mask: Column, block: int) -> DataFrame:
+    """``_ring`` of every block (``_br, _bc``): the water spectra of the block and its neighbours, row by row.
 
-    A block counts when at least ``block²/8`` pixels are usable. Images without a good block get the reference
-    water spectrum. ``image_no`` is a whole number that tells images apart.
+    Medians of the usable pixels; a block counts when it has at least ``block²/8`` of them. A gap takes the nearest good
+    block of its image (of equals the first row, then the first column); then blocks are smoothed 3 by 3. Images
+    without a good block are missing. There is one row per ``block²`` pixels, so it is written before it is joined.
     """
     br, bc = F.floor(F.col("row") / block).cast("bigint"), F.floor(F.col("col") / block).cast("bigint")
-    src = df.withColumn("_ok", mask)
-    med = (src.withColumn("br", br).withColumn("bc", bc).groupBy(*keys, "br", "bc").agg(
-        F.count(F.when(F.col("_ok"), 1)).alias("n_ok"), F.first("height").alias("height"), F.first("width").alias("width"),
+    grid = materialise(df.withColumn("_ok", mask).groupBy(*keys, br.alias("row"), bc.alias("col")).agg(
+        F.count_if(F.col("_ok") & F.col(bands[0]).isNotNull()).alias("_n"), F.ceil(F.first("height") / block).alias("height"), F.ceil(F.first("width") / block).alias("width"),
         *[F.median(F.when(F.col("_ok"), F.col(b))).alias(b) for b in bands]))
-    # images are laid out side by side so that one search serves them all without mixing
-    stride = 1 << 20
-    med = med.withColumn("_id", F.struct(*keys, "br", "bc")).withColumn(
-        "_x", (F.col(image_no) * stride + F.col("bc")).cast("double"))
-    good = med.where(F.col("n_ok") >= block * block // 8)
-    hit = nearest(med.select("_id", "_x", "br"), good.withColumnRenamed("_id", "_gid").select("_gid", "_x", "br", *bands),
-                  qid="_id", rid="_gid", q_xy=("_x", "br"), r_xy=("_x", "br"), metric=Metric("plane"),
-                  max_dist=float(stride // 2), payload=tuple(bands))
-    grid = med.select("_id", *keys, "br", "bc", "height", "width").join(hit.select("_id", *bands), "_id", "left").drop("_id")
-    grid = grid.withColumns({"bh": F.ceil(F.col("height") / block), "bw": F.ceil(F.col("width") / block)})
-    blocks = grid.select(*keys, F.col("br").alias("row"), F.col("bc").alias("col"), F.col("bh").alias("height"),
-                         F.col("bw").alias("width"), *bands)
-    smooth = box_mean(blocks, keys, {f"s_{b}": b for b in bands}, 3).select(
-        *keys, F.col("row").alias("br"), F.col("col").alias("bc"), *[f"s_{b}" for b in bands])
-    # bilinear: sample at (i + 0.5)/block - 0.5, clamped to the block grid
+    good = F.col("_n") >= block * block // 8
+    place = distance_transform(grid.select(*keys, "row", "col", "height", "width", good.alias("_good")), keys, {"_d": F.col("_good")}, feature=True)
+    source = grid.select(*keys, F.col("row").alias("_d_row"), F.col("col").alias("_d_col"), *bands)
+    filled = place.join(source, [*keys, "_d_row", "_d_col"]).select(*keys, "row", "col", "height", "width", *bands)
+    smooth = materialise(box_mean(filled, keys, {f"s_{b}": b for b in bands}, 3))
+    # every block with its eight neighbours, at the edge itself again: a pixel then needs its own block alone
+    around = F.explode(F.array(*[F.struct(F.lit(3 * dy + dx + 4).alias("k"), F.greatest(F.lit(0), F.least(F.col("row") + dy, F.col("height") - 1)).alias("r"),
+                                          F.greatest(F.lit(0), F.least(F.col("col") + dx, F.col("width") - 1)).alias("c")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+    want = smooth.select(*keys, F.col("row").alias("_br"), F.col("col").alias("_bc"), around.alias("_a"))
+    have = smooth.select(*keys, F.col("row").alias("r"), F.col("col").alias("c"), *[f"s_{b}" for b in bands])
+    return materialise(want.select(*keys, "_br", "_bc", "_a.*").join(have, [*keys, "r", "c"]).groupBy(*keys, "_br", "_bc")
+                       .agg(F.sort_array(F.collect_list(F.struct("k", *[f"s_{b}" for b in bands]))).alias("_ring")))
+
+
+def stretch(df: DataFrame, keys: list[str], bands: list[str], spectra: DataFrame, block: int) -> DataFrame:
+    """Adds ``bg_<band>``: the block spectra between the blocks' centres, bilinear; the reference spectrum where there are none."""
+    br, bc = F.floor(F.col("row") / block).cast("bigint"), F.floor(F.col("col") / block).cast("bigint")
+    # the grid is sampled at (i + 0.5) / block - 0.5
     y, x = (F.col("row") + 0.5) / block - 0.5, (F.col("col") + 0.5) / block - 0.5
-    hb, wb = F.ceil(F.col("height") / block), F.ceil(F.col("width") / block)
-    corners = F.explode(F.array(*[F.struct(
-        F.greatest(F.lit(0), F.least(F.floor(y) + dy, hb - 1)).cast("bigint").alias("br"),
-        F.greatest(F.lit(0), F.least(F.floor(x) + dx, wb - 1)).cast("bigint").alias("bc"),
-        ((y - F.floor(y) if dy else 1 - (y - F.floor(y))) * (x - F.floor(x) if dx else 1 - (x - F.floor(x)))).alias("w"))
-        for dy in (0, 1) for dx in (0, 1)]))
-    near = (df.select(*keys, "row", "col", "height", "width").withColumn("_c", corners)
-            .select(*keys, "row", "col", "_c.*").join(smooth, [*keys, "br", "bc"])
-            .groupBy(*keys, "row", "col").agg(*[F.sum(F.col("w") * F.col(f"s_{b}")).alias(f"bg_{b}") for b in bands]))
-    out = df.join(near, [*keys, "row", "col"], "left")
-    return out.withColumns({f"bg_{b}": F.coalesce(f"bg_{b}", F.lit(WATER_REF[b])) for b in bands})
+    px = df.withColumns({"_br": br, "_bc": bc}).join(spectra, [*keys, "_br", "_bc"], "left").withColumns(
+        {"_y": y - F.floor(y), "_x": x - F.floor(x), "_k": ((F.floor(y) - F.col("_br") + 1) * 3 + F.floor(x) - F.col("_bc") + 1).cast("int")})
+
+    def value(b: str) -> Column:
+        s = F.col("_ring")[f"s_{b}"]
+        at = [s[F.col("_k") + d] for d in (0, 1, 3, 4)]
+        return ((1 - F.col("_y")) * ((1 - F.col("_x")) * at[0] + F.col("_x") * at[1]) + F.col("_y") * ((1 - F.col("_x")) * at[2] + F.col("_x") * at[3]))
+
+    return px.withColumns({f"bg_{b}": F.coalesce(value(b), F.lit(WATER_REF[b])) for b in bands}).drop("_br", "_bc", "_ring", "_y", "_x", "_k")
+
+
+def water_background(df: DataFrame, keys: list[str], bands: list[str], block: int = 32, robust: bool = False) -> DataFrame:
+    """Local water spectrum ``bg_<band>`` in two passes: the second leaves out what is brighter than the first found.
+
+    The strict mask takes clean water alone, the robust one everything but land and cloud.
+    """
+    first = stretch(df.withColumn("_cand", water_candidate(robust)), keys, bands, block_spectra(df, keys, bands, water_candidate(robust), block), block)
+    brighter = fdi(*(F.col(c) for c in ("b06", "b08", "b11"))) - fdi(*(F.col(c) for c in ("bg_b06", "bg_b08", "bg_b11")))
+    # differences rounded, so that the limits do not hang on the last bit of a mean
+    calm = F.col("_cand") & (F.round(F.col("b08") - F.col("bg_b08"), 9) < 0.006) & (F.round(brighter, 9) < 0.004)
+    return stretch(df, keys, bands, block_spectra(first, keys, bands, calm, block), block)
 
 
 def normalise(df: DataFrame, bands: list[str]) -> DataFrame:
@@ -255,15 +378,7 @@ def normalise(df: DataFrame, bands: list[str]) -> DataFrame:
     return df.withColumns({f"n_{b}": F.col(b) - F.col(f"bg_{b}") + WATER_REF[b] for b in bands})
 
 
-def mask_coast_km(df: DataFrame, keys: list[str], land: Column, image_no: str, *, max_px: int = 500, res_km: float = 0.01) -> DataFrame:
-    """Straight-line distance to the nearest land pixel of the same image, null beyond ``max_px``.
-
-    Row distances first, then a window of ``2·max_px + 1`` rows would be costly for large reaches; the nearest-point
-    search needs no window. Images are laid out side by side, farther apart than the reach.
-    """
-    stride = float(1 << 20)
-    df = df.withColumns({"_x": F.col(image_no) * stride + F.col("col"), "_id": F.struct(*keys, "row", "col")})
-    pts = df.where(land).select(F.col("_id").alias("_lid"), "_x", "row")
-    hit = nearest(df.select("_id", "_x", "row"), pts, qid="_id", rid="_lid", q_xy=("_x", "row"), r_xy=("_x", "row"),
-                  metric=Metric("plane"), max_dist=float(max_px))
-    return df.join(hit.select("_id", (F.col("dist") * res_km).alias("coast_km")), "_id", "left").drop("_id", "_x")
+def mask_coast_km(df: DataFrame, keys: list[str], land: Column, *, max_px: int = 500, res_km: float = 0.01) -> DataFrame:
+    """Straight-line distance ``coast_km`` to the nearest land pixel of the same image, null beyond ``max_px``."""
+    df = distance_transform(df, keys, {"_land": land})
+    return df.withColumn("coast_km", F.when(F.col("_land") <= max_px * max_px, F.sqrt("_land") * res_km)).drop("_land")

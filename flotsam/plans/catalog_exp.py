@@ -4,11 +4,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flotsam.config import CONCENTRATION_STATUS, DETECTION_STATUS, QUALITY_CODES, TILE_REGIONS
+from flotsam.config import WATER_REF as W
 from flotsam.functions import density as D
 from flotsam.functions import geo as G
 from flotsam.functions import spectral as S
 from flotsam.functions import status as ST
 from flotsam.plans import field as FP
+from flotsam.plans import queries as Q
 from flotsam.plans.registry import register
 from flotsam.session import new_path
 from flotsam.sources import registry as reg
@@ -201,18 +203,23 @@ REF_FDI = "(0.0121 - (0.0140 + (0.0086 - 0.0140) * ((842.0 - 665.0) / (1610.0 -
     select scene_no, p_partkey from (select *, {IDX} from fx_pixel)
     where scl = 6 and (fdi - {REF_FDI} > 0.01 or b08 - 0.0121 > 0.01 or b02 - 0.0342 > 0.03)""")
 def _(fx):
-    from flotsam.config import WATER_REF as W
     ref = F.lit(W["b06"]), F.lit(W["b08"]), F.lit(W["b11"])
     gate = S.anomaly_gate(C("scl") == 6, S.indices()["fdi"] - S.fdi(*ref), C("b08") - W["b08"], C("b02") - W["b02"])
     return fx.fx_pixel.where(gate).select("scene_no", "p_partkey")
 
 
-@register("exp18_unmixing", "fx_pixel", oracle="""
-    select scene_no, p_partkey, round(greatest(0, least(1, ((b06 - 0.0140) * (0.09 - 0.0140) + (b08 - 0.0121) * (0.14 - 0.0121)
-        + (b11 - 0.0086) * (0.05 - 0.0086)) / (pow(0.09 - 0.0140, 2) + pow(0.14 - 0.0121, 2) + pow(0.05 - 0.0086, 2)))), 6) as frac from fx_pixel""")
+UNMIX = ("b05", "b06", "b07", "b08", "b8a", "b11", "b12")
+
+
+@register("exp18_unmixing", "fx_pixel", oracle=f"""
+    with d as (select *, b08 - (b06 + (b11 - b06) * ((842.0 - 665.0) / (1610.0 - 665.0) * 10)) as fdi from fx_pixel where cls = 0),
+    e as (select {', '.join(f'avg({b}) - {W[b]} as {b}' for b in UNMIX)} from d where fdi >= (select quantile_cont(fdi, 0.99) from d))
+    select scene_no, p_partkey, round(greatest(0, least(1, ({' + '.join(f'(p.{b} - {W[b]}) * e.{b}' for b in UNMIX)}) / ({' + '.join(f'e.{b} * e.{b}' for b in UNMIX)}))), 6) as frac from fx_pixel p, e""")
 def _(fx):
-    dense = {"b06": 0.09, "b08": 0.14, "b11": 0.05}
-    return fx.fx_pixel.select("scene_no", "p_partkey", R(S.unmix({b: C(b) for b in dense}, dense), 6).alias("frac"))
+    """The dense end is the mean spectrum of the debris pixels above the 99 % quantile of their index: one row."""
+    debris = fx.fx_pixel.where("cls = 0").withColumns({"fdi": S.indices()["fdi"], "all": F.lit(1)})
+    dense = {b: v for b, v in Q.dense_endmember(debris, ["all"], "fdi", list(UNMIX)).first().asDict().items() if b in UNMIX}
+    return fx.fx_pixel.select("scene_no", "p_partkey", R(S.unmix({b: C(b) for b in UNMIX}, dense), 6).alias("frac"))
 
 
 @register("exp19_quality_code", "fx_pixel", oracle="""

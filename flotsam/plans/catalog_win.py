@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flotsam.config import WATER_REF
 from flotsam.operators import drift as DR
 from flotsam.operators import features as FT
 from flotsam.operators import raster as RA
@@ -72,37 +73,59 @@ def _(fx):
     return px.select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), R("noise", 8).alias("noise"), C("flags").cast("bigint").alias("flags"))
 
 
-BANDS = ["b02", "b03", "b04", "b06", "b08", "b11"]
-REF = {"b02": 0.0342, "b03": 0.0268, "b04": 0.0175, "b06": 0.0140, "b08": 0.0121, "b11": 0.0086}
+BANDS = list(WATER_REF)
 
 
 def _cols(fmt):
-    return ", ".join(fmt.format(b=b, w=REF[b]) for b in BANDS)
+    return ", ".join(fmt.format(b=b, w=WATER_REF[b]) for b in BANDS)
 
 
-OK = "(p_partkey % 10 = 0 or ((prow - prow % 10) / 10 * 7 + (pcol - pcol % 10) / 10 * 3 + scene_no) % 4 <> 0)"
-BG_SQL = SIZE + f""",
-    bl as (select scene_no, cast((prow - prow % 10) / 10 as bigint) as br, cast((pcol - pcol % 10) / 10 as bigint) as bc, any_value(cast(ceil(h / 10) as bigint)) as h, any_value(cast(ceil(w / 10) as bigint)) as w, count(*) filter (where {OK}) as n_ok,
-      {_cols('median({b}) filter (where ' + OK + ') as {b}')} from px group by 1, 2, 3),
-    nn as (select a.scene_no, a.br as prow, a.bc as pcol, a.h, a.w, {_cols('g.{b}')}, row_number() over (partition by a.scene_no, a.br, a.bc order by pow(a.br - g.br, 2) + pow(a.bc - g.bc, 2), g.br, g.bc) as rn
-      from bl a join bl g on g.scene_no = a.scene_no and g.n_ok >= 12),
-    fl as (select * from nn where rn = 1), {box_sql('sm', {b: b for b in BANDS}, 1, 'fl')},
-    ps as (select px.*, (prow + 0.5) / 10 - 0.5 as y, (pcol + 0.5) / 10 - 0.5 as x, cast(ceil(h / 10) as bigint) as hb, cast(ceil(w / 10) as bigint) as wb from px),
-    cr as (select ps.scene_no, ps.prow, ps.pcol, greatest(0, least(floor(y) + dy, hb - 1)) as br, greatest(0, least(floor(x) + dx, wb - 1)) as bc,
-      (case when dy = 1 then y - floor(y) else 1 - (y - floor(y)) end) * (case when dx = 1 then x - floor(x) else 1 - (x - floor(x)) end) as wt from ps, (select unnest([0, 1]) as dy), (select unnest([0, 1]) as dx)),
-    bg as (select cr.scene_no, cr.prow, cr.pcol, {_cols('sum(wt * sm.{b} / 9) as bg_{b}')} from cr join sm on sm.scene_no = cr.scene_no and sm.prow = cr.br and sm.pcol = cr.bc group by 1, 2, 3),
-    nx as (select px.* exclude ({', '.join(BANDS)}), {_cols('px.{b} - bg_{b} + {w} as {b}')} from px join bg using (scene_no, prow, pcol))"""
+def fdi_sql(p=""):
+    return f"({p}b08 - ({p}b06 + ({p}b11 - {p}b06) * ((842.0 - 665.0) / (1610.0 - 665.0) * 10)))"
 
 
-def background(fx):
-    px = pixels(fx, *BANDS)
-    ok = (C("p_partkey") % 10 == 0) | ((F.floor(C("row") / 10) * 7 + F.floor(C("col") / 10) * 3 + C("scene_no")) % 4 != 0)
-    return RA.block_background(px, KEYS, BANDS, ok, 10, "scene_no")
+def pass_sql(n, src, ok):
+    """One pass of the background over ``src``: block medians, nearest good block, smoothing, bilinear stretching."""
+    return f"""bl{n} as materialized (select scene_no, cast((prow - prow % 32) / 32 as bigint) as br, cast((pcol - pcol % 32) / 32 as bigint) as bc, any_value(cast(ceil(h / 32) as bigint)) as h, any_value(cast(ceil(w / 32) as bigint)) as w, count(*) filter (where {ok}) as n_ok,
+      {_cols('median({b}) filter (where ' + ok + ') as {b}')} from {src} group by 1, 2, 3),
+    nn{n} as (select a.scene_no, a.br as prow, a.bc as pcol, a.h, a.w, {_cols('g.{b}')}, row_number() over (partition by a.scene_no, a.br, a.bc order by pow(a.br - g.br, 2) + pow(a.bc - g.bc, 2), g.br, g.bc) as rn
+      from bl{n} a join bl{n} g on g.scene_no = a.scene_no and g.n_ok >= 128),
+    fl{n} as materialized (select * from nn{n} where rn = 1), {box_sql(f'sm{n}', {b: b for b in BANDS}, 1, f'fl{n}')},
+    ps{n} as (select scene_no, prow, pcol, (prow + 0.5) / 32 - 0.5 as y, (pcol + 0.5) / 32 - 0.5 as x, cast(ceil(h / 32) as bigint) as hb, cast(ceil(w / 32) as bigint) as wb from {src}),
+    cr{n} as (select ps.scene_no, ps.prow, ps.pcol, greatest(0, least(floor(y) + dy, hb - 1)) as br, greatest(0, least(floor(x) + dx, wb - 1)) as bc,
+      (case when dy = 1 then y - floor(y) else 1 - (y - floor(y)) end) * (case when dx = 1 then x - floor(x) else 1 - (x - floor(x)) end) as wt from ps{n} ps, (select unnest([0, 1]) as dy), (select unnest([0, 1]) as dx)),
+    sp{n} as (select cr.scene_no, cr.prow, cr.pcol, {_cols('sum(wt * sm.{b} / 9) as bg_{b}')} from cr{n} cr join sm{n} sm on sm.scene_no = cr.scene_no and sm.prow = cr.br and sm.pcol = cr.bc group by 1, 2, 3),
+    bg{n} as materialized (select px.scene_no, px.prow, px.pcol, {_cols('coalesce(bg_{b}, {w}) as bg_{b}')} from {src} px left join sp{n} using (scene_no, prow, pcol))"""
 
 
-@register("win5_block_background", "fx_pixel", oracle=f"with {BG_SQL} select scene_no, prow, pcol, {_cols('round(bg_{b}, 11) as bg_{b}')} from bg")
+CAND = {False: f"((b03 - b08) / (b03 + b08 + 1e-6) > 0 and {fdi_sql()} < 0.01 and b02 < 0.25 and b02 > 0)", True: "(b02 > 0 and b02 < 0.25 and b11 < 0.08)"}
+
+
+def background_sql(robust=False):
+    return SIZE + f""", p1 as materialized (select *, {CAND[robust]} as ok from px), {pass_sql(1, 'p1', 'ok')},
+    p2 as materialized (select p1.* exclude (ok), ok and round(b08 - bg_b08, 9) < 0.006 and round({fdi_sql()} - {fdi_sql('bg_')}, 9) < 0.004 as ok from p1 join bg1 using (scene_no, prow, pcol)), {pass_sql(2, 'p2', 'ok')},
+    nx as materialized (select px.* exclude ({', '.join(BANDS)}), {_cols('px.{b} - bg_{b} + {w} as {b}')} from px join bg2 using (scene_no, prow, pcol))"""
+
+
+BG_SQL = background_sql()
+
+
+def background(fx, robust=False):
+    return RA.water_background(pixels(fx, *BANDS), KEYS, BANDS, 32, robust)
+
+
+def _background(fx, robust):
+    return background(fx, robust).select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), *[R(f"bg_{b}", 11).alias(f"bg_{b}") for b in BANDS])
+
+
+@register("win5_block_background", "fx_pixel", oracle=f"with {BG_SQL} select scene_no, prow, pcol, {_cols('round(bg_{b}, 11) as bg_{b}')} from bg2")
 def _(fx):
-    return background(fx).select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), *[R(f"bg_{b}", 11).alias(f"bg_{b}") for b in BANDS])
+    return _background(fx, False)
+
+
+@register("win5_robust_background", "fx_pixel", oracle=f"with {background_sql(True)} select scene_no, prow, pcol, {_cols('round(bg_{b}, 11) as bg_{b}')} from bg2")
+def _(fx):
+    return _background(fx, True)
 
 
 @register("win6_normalised_spectrum", "fx_pixel", oracle=f"with {BG_SQL} select scene_no, prow, pcol, {_cols('round({b}, 11) as n_{b}')} from nx")
@@ -111,14 +134,18 @@ def _(fx):
     return px.select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), *[R(f"n_{b}", 11).alias(f"n_{b}") for b in BANDS])
 
 
-@register("win7_pixel_features", "fx_pixel", oracle=f"with {BG_SQL}, ix as (select *, b08 - (b06 + (b11 - b06) * ((842.0 - 665.0) / (1610.0 - 665.0) * 10)) as fdi, (b08 - b04) / (b08 + b04 + 1e-6) as ndvi from nx), ix2 as (select *, fdi * fdi as f2 from ix), "
-          + box_sql("f3", {"s": "fdi"}, 1, "ix2") + ", " + box_sql("f5", {"s": "fdi", "s2": "f2", "m8": "b08"}, 2, "ix2") + """
-    select scene_no, prow, pcol, round(fdi, 10) as fdi, round(f3.s / 9, 10) as fdi_mean3, round(sqrt(greatest(f5.s2 / 25 - pow(f5.s / 25, 2), 0)), 6) as fdi_std5, round(b08 - m8 / 25, 11) as b08_hp5
+INDEX_SQL = {"ndvi": "(b08 - b04) / (b08 + b04 + 1e-6)", "fdi": fdi_sql(), "fai": "b08 - (b04 + (b11 - b04) * ((842.0 - 665.0) / (1610.0 - 665.0)))",
+             "ndwi": "(b03 - b08) / (b03 + b08 + 1e-6)", "pi": "b08 / (b08 + b04 + 1e-6)", "ndmi": "(b08 - b11) / (b08 + b11 + 1e-6)"}
+
+
+@register("win7_pixel_features", "fx_pixel", oracle=f"with {BG_SQL}, ix as (select *, {', '.join(f'{v} as {k}' for k, v in INDEX_SQL.items())} from nx), ix2 as materialized (select *, fdi * fdi as f2 from ix), "
+          + box_sql("f3", {"s": "fdi"}, 1, "ix2") + ", " + box_sql("f5", {"s": "fdi", "s2": "f2", "m8": "b08"}, 2, "ix2")
+          + f" select scene_no, prow, pcol, {_cols('round(ix2.{b}, 10) as n_{b}')}, {', '.join(f'round({k}, 6) as {k}' for k in INDEX_SQL)}," + """
+    round(f3.s / 9, 10) as fdi_mean3, round(sqrt(greatest(f5.s2 / 25 - pow(f5.s / 25, 2), 0)), 6) as fdi_std5, round(b08 - m8 / 25, 10) as b08_hp5
     from ix2 join f3 using (scene_no, prow, pcol) join f5 using (scene_no, prow, pcol)""")
 def _(fx):
     px = FT.pixel_features(background(fx), KEYS, BANDS)
-    return px.select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), R("fdi", 10).alias("fdi"), R("fdi_mean3", 10).alias("fdi_mean3"),
-                     R("fdi_std5", 6).alias("fdi_std5"), R("b08_hp5", 11).alias("b08_hp5"))
+    return px.select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), *[R(n, 6 if n in INDEX_SQL or n == "fdi_std5" else 10).alias(n) for n in FT.feature_names(BANDS)])
 
 
 SHIP = "cls = 2 and flags = 7"
@@ -176,11 +203,32 @@ def _(fx):
     return RA.drop_small(m, KEYS, 4).select("scene_no", (C("row") * 50 + C("col")).alias("node"))
 
 
-@register("win11_main_basin", "fx_pixel")
+SEA_SIZE = """sz as (select scene_no, max(prow) + 1 as h, max(pcol) + 1 as w from fx_sea group by 1), px as materialized (select * from fx_sea join sz using (scene_no)),
+    ld as materialized (select scene_no, prow, pcol from px where not water)"""
+
+
+def sea(fx):
+    return RA.with_size(fx.fx_sea.withColumnsRenamed({"prow": "row", "pcol": "col"}), KEYS)
+
+
+@register("win11_main_basin", "fx_sea", oracle=f"with recursive {SEA_SIZE}," + """
+    core as materialized (select scene_no, prow, pcol from px where water and not exists (select 1 from ld where ld.scene_no = px.scene_no and pow(px.prow - ld.prow, 2) + pow(px.pcol - ld.pcol, 2) <= 900)),
+    ru as materialized (select scene_no, prow, lo, min(pcol) as a, max(pcol) as b from (select *, pcol - row_number() over (partition by scene_no, prow order by pcol) as lo from core) group by 1, 2, 3),
+    re as (select x.scene_no as s, x.prow * 1000 + x.a as u, y.prow * 1000 + y.a as v from ru x join ru y on x.scene_no = y.scene_no and abs(x.prow - y.prow) = 1 and x.a <= y.b and y.a <= x.b),
+    cc(s, node, comp) using key (s, node) as (select scene_no, prow * 1000 + a, prow * 1000 + a from ru
+      union select re.s, re.v, min(c.comp) from cc c join re on re.s = c.s and re.u = c.node join recurring.cc r on r.s = re.s and r.node = re.v where c.comp < r.comp group by re.s, re.v),
+    size as (select cc.s, cc.comp, sum(ru.b - ru.a + 1) as n from cc join ru on ru.scene_no = cc.s and ru.prow * 1000 + ru.a = cc.node group by 1, 2),
+    big as (select s, first(comp order by n desc, comp) as comp from size group by s),
+    seed as materialized (select core.scene_no, core.prow, core.pcol from core join ru on ru.scene_no = core.scene_no and ru.prow = core.prow and core.pcol between ru.a and ru.b
+      join cc on cc.s = ru.scene_no and cc.node = ru.prow * 1000 + ru.a join big on big.s = cc.s and big.comp = cc.comp),
+    gr(s, r, c, d) using key (s, r, c) as (select scene_no, prow, pcol, 0 from seed
+      union select px.scene_no, px.prow, px.pcol, min(gr.d) + 1 from gr, (select unnest([-1, 0, 1]) as dy), (select unnest([-1, 0, 1]) as dx), px
+        where px.scene_no = gr.s and px.prow = gr.r + dy and px.pcol = gr.c + dx and px.water and gr.d < 31
+          and not exists (select 1 from recurring.gr o where o.s = px.scene_no and o.r = px.prow and o.c = px.pcol) group by 1, 2, 3)
+    select s as scene_no, r as prow, c as pcol from gr
+    union all select scene_no, prow, pcol from px where water and scene_no not in (select s from big)""")
 def _(fx):
-    """Checked against a plain flood fill in the tests."""
-    px = pixels(fx, "scl", "flags").withColumn("w", ~((C("scl") != 6) & (C("flags") == 7)))
-    return RA.main_basin(px, KEYS, C("w"), 2, "main").where("main").select("scene_no", C("row").alias("prow"), C("col").alias("pcol"))
+    return RA.main_basin(sea(fx), KEYS, C("water"), 30, "main").where("main").select("scene_no", C("row").alias("prow"), C("col").alias("pcol"))
 
 
 @register("agg20_object_recall", "fx_pixel", oracle=f"with recursive {SIZE}, gr as (select scene_no, prow, pcol, p >= 0.8 as pred from px where cls = 1 and flags >= 4 or cls = 3)," + """
@@ -257,21 +305,18 @@ def _(fx):
     return DR.regrid(cells, t, "v", "value", F.lit(59), top).select("event_id", R("value", 6).alias("value"))
 
 
-@register("win17_thinned_frames", "fx_wind", oracle="""
-    with f as (select *, cell_no % 4 as ix, cast(floor(cell_no / 4) as bigint) as iy from fx_wind)
-    select ix, iy, hour_no, round_even(wind_ms, 1) as wind_ms from f where ix % 2 = 0 and iy % 2 = 0""")
+@register("win17_thinned_frames", "fx_flow", oracle="""
+    select ix, iy, hour_no, round_even(wind_ms, 1) as wind_ms from fx_flow where ix % 3 = 0 and iy % 3 = 0""")
 def _(fx):
-    f = fx.fx_wind.withColumns({"ix": C("cell_no") % 4, "iy": F.floor(C("cell_no") / 4).cast("bigint")})
-    return DR.thin_grid(f, "ix", "iy", F.lit(4), F.lit(4), max_nodes=2).select("ix", "iy", "hour_no", F.bround("wind_ms", 1).alias("wind_ms"))
+    """80 by 40 nodes: every third stays, so that no side keeps more than 32."""
+    return DR.thin_grid(fx.fx_flow, "ix", "iy", F.lit(80), F.lit(40)).select("ix", "iy", "hour_no", F.bround("wind_ms", 1).alias("wind_ms"))
 
 
-@register("win19_mask_coast_distance", "fx_pixel", oracle=f"with {SIZE}, ld as (select scene_no, prow, pcol from px where {HOLES})" + """
+@register("win19_mask_coast_distance", "fx_sea", oracle=f"with {SEA_SIZE}" + """
     select px.scene_no, px.prow, px.pcol, round(min(sqrt(pow(px.prow - ld.prow, 2) + pow(px.pcol - ld.pcol, 2))) * 0.01, 6) as coast_km
-    from px left join ld on ld.scene_no = px.scene_no and pow(px.prow - ld.prow, 2) + pow(px.pcol - ld.pcol, 2) <= 64 group by 1, 2, 3""")
+    from px left join ld on ld.scene_no = px.scene_no and pow(px.prow - ld.prow, 2) + pow(px.pcol - ld.pcol, 2) <= 250000 group by 1, 2, 3""")
 def _(fx):
-    px = pixels(fx, "scl", "flags")
-    return RA.mask_coast_km(px, KEYS, (C("scl") != 6) & (C("flags") == 7), "scene_no", max_px=8).select(
-        "scene_no", C("row").alias("prow"), C("col").alias("pcol"), R("coast_km", 6).alias("coast_km"))
+    return RA.mask_coast_km(sea(fx), KEYS, ~C("water")).select("scene_no", C("row").alias("prow"), C("col").alias("pcol"), R("coast_km", 6).alias("coast_km"))
 
 
 @register("dq3_scene_masks", "fx_pixel")
