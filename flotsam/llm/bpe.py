@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 
 import numpy as np
@@ -16,8 +17,9 @@ from tokenizers import Regex, pre_tokenizers
 
 from flotsam.llm.common import slices
 
-PIECE = 1 << 18         # code points of a long text that are read at a time
-CACHE = 1 << 18         # pre-tokens whose tokens a worker remembers
+PIECE = 1 << 17         # code points that the transducer reads at a time
+SLICE = 256 << 10       # bytes of text that are taken from an Arrow batch at a time
+KNOWN_BYTES = 16 << 20  # memory for the tokens of pre-tokens that a worker remembers
 WINDOW = 1 << 12        # bytes beyond the lookahead that are merged at a time inside one long pre-token
 # fixed values of the pre-tokenisation: contractions that are cut off, and the white space characters
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -73,11 +75,32 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     return longest
 
 
-class Tokenizer:
+class ByteTable:
+    """Bytes of every token of a byte-level BPE file: all that decoding needs."""
+
+    def __init__(self, spec: dict):
+        letters = _byte_letters()
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        # an id that the vocabulary lacks is one byte that begins no character
+        parts = [self.bytes_of.get(i, b"\xff") for i in range(max(self.bytes_of) + 2)]
+        self.size = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.flat, self.begin = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(self.size) - self.size
+
+    def join(self, ids: np.ndarray) -> bytes:
+        part = np.minimum(ids, len(self.size) - 1)
+        n = self.size[part]
+        end = np.cumsum(n)
+        return self.flat[np.repeat(self.begin[part] - end + n, n) + np.arange(end[-1])].tobytes() if len(ids) else b""
+
+
+class Tokenizer(ByteTable):
     """Merge list, vocabulary and special tokens of a byte-level BPE file."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        super().__init__(spec)
         pre, model = spec["pre_tokenizer"], spec["model"]
         if (model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or spec["normalizer"]
                 or model["continuing_subword_prefix"] or model["end_of_word_suffix"] or model["byte_fallback"] or model["ignore_merges"]):
@@ -87,13 +110,11 @@ class Tokenizer:
         vocab = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.lookahead = sufficient_lookahead([(raw(a), raw(b)) for a, b in pairs])
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of: dict[int, bytes] = {i: raw(t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.byte_id = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         self.rank = {(vocab[a] << 32) | vocab[b]: r for r, (a, b) in enumerate(pairs)}
         self.joined = [vocab[a + b] for a, b in pairs]
         self.known: dict[bytes, list[int]] = {}
-        self.table = None
+        self.known_bytes = 0
         self._index_pairs()
 
     def _index_pairs(self) -> None:
@@ -107,14 +128,6 @@ class Tokenizer:
         self.joined_array = np.array(self.joined, np.int64)
         self.byte_array = np.array(self.byte_id, np.int64)
 
-    def byte_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes of all ids, and where each id's bytes begin and how many they are; a missing id is one invalid byte."""
-        if self.table is None:
-            parts = [self.bytes_of.get(i, b"\xff") for i in range(max(self.bytes_of) + 2)]
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
-            self.table = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
-        return self.table
-
     def ranks_of(self, pairs: np.ndarray) -> np.ndarray:
         i = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         there = self.slot_pair[i]
@@ -164,28 +177,8 @@ class Tokenizer:
 
     # merging
 
-    def _merge(self, ids: list[int]) -> list[int]:
-        rank, never = self.rank, len(self.joined)
-        while len(ids) > 1:
-            ranks = [rank.get((a << 32) | b, never) for a, b in zip(ids, ids[1:])]
-            low = min(ranks)
-            if low == never:
-                break
-            out, i, n = [], 0, len(ranks)
-            while i < n:
-                if ranks[i] == low:
-                    out.append(self.joined[low])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            if i == n:
-                out.append(ids[n])
-            ids = out
-        return ids
-
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same by a heap over a linked list: for windows of a long pre-token."""
+        """Tokens of the bytes by a heap over a linked list: for windows of a long pre-token."""
         n, rank = len(ids), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i] << 32) | ids[i + 1])) is not None]
@@ -216,33 +209,32 @@ class Tokenizer:
             at += len(self.bytes_of[t])
         return out, pending[at:]
 
+    def _remember(self, word: bytes, tokens: list[int]) -> None:
+        self.known_bytes += 160 + len(word) + 36 * len(tokens)
+        if self.known_bytes > KNOWN_BYTES:
+            self.known.clear()
+            self.known_bytes = 0
+        self.known[word] = tokens
+
     def words(self, unique: list[bytes]) -> list[list[int]]:
-        """Tokens of different whole pre-tokens; those not remembered are merged together."""
+        """Tokens of different whole pre-tokens.
+
+        One no longer than the lookahead has no token that is stable before it ends: all such are merged together, but
+        for those remembered. Of a longer one the stable tokens go out window by window.
+        """
         get = self.known.get
         found = [get(w) for w in unique]
-        new = [i for i, f in enumerate(found) if f is None and len(unique[i]) <= 64]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+        new = [i for i, f in enumerate(found) if f is None and len(unique[i]) <= self.lookahead]
         if new:
             fresh = [unique[i] for i in new]
             for i, w, f in zip(new, fresh, self.merge_many(fresh)):
                 found[i] = f
-                if len(self.known) < CACHE:
-                    self.known[w] = f
+                self._remember(w, f)
         return [f if f is not None else self.word(w) for f, w in zip(found, unique)]
 
     def word(self, w: bytes) -> list[int]:
-        """Tokens of one whole pre-token; a long one is merged window by window."""
-        got = self.known.get(w)
-        if got is not None:
-            return got
-        if len(w) <= 64:
-            got = self._merge([self.byte_id[b] for b in w])
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[w] = got
-            return got
-        out, at, rest = [], 0, b""
+        """Tokens of one whole pre-token, window by window."""
+        out, at = [], 0
         step = self.lookahead + WINDOW
         while at + step < len(w):
             tokens, left = self.stable(w[at:at + step])
@@ -252,8 +244,7 @@ class Tokenizer:
             out += tokens
             at += min(step, len(w) - at) - len(left)
             step = self.lookahead + WINDOW
-        rest = w[at:]
-        return out + self._merge_long([self.byte_id[b] for b in rest])
+        return out + self._merge_long([self.byte_id[b] for b in w[at:]])
 
 
 @lru_cache(2)
@@ -261,6 +252,11 @@ def tokenizer(text: str) -> Tokenizer:
     return Tokenizer(text)
 
 
+@lru_cache(2)
+def byte_table(text: str) -> ByteTable:
+    return ByteTable(json.loads(text))
+
+
 def pretoken_starts(points: np.ndarray, cls: np.ndarray, seg: np.ndarray) -> np.ndarray:
     """Marks where pre-tokens begin; ``seg`` holds the starts of the texts that ``points`` joins.
 
@@ -294,10 +290,11 @@ _EVEN = np.cumprod(np.concatenate([[np.uint64(1)], np.full(63, 0x9E3779B97F4A7C1
 _ODD = np.cumprod(np.concatenate([[np.uint64(1)], np.full(63, 0xC2B2AE3D27D4EB4F, np.uint64)]))
 
 
-def encode_joined(tok: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def encode_joined(tok: Tokenizer, texts: list[str], left: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of whole texts, one after the other, and where each text's tokens begin (one more at the end).
 
-    Equal pre-tokens of the batch are found by two 64-bit hashes and merged once.
+    Equal pre-tokens of the batch are found by two 64-bit hashes and merged once. The last ``left`` code points, which
+    begin with a pre-token, are only looked at and not encoded.
     """
     joined = "".join(texts)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -307,6 +304,11 @@ def encode_joined(tok: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndar
     points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
     cls = _classes()[points]
     starts = np.flatnonzero(pretoken_starts(points, cls, edge[:-1][lengths > 0]))
+    if left:
+        points = points[:len(points) - left]
+        starts, edge = starts[starts < len(points)], np.minimum(edge, len(points))
+    if not len(points):
+        return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
     size = np.diff(starts, append=len(points))
     data = joined.encode()
     at = np.zeros(len(points) + 1, np.int64)
@@ -338,58 +340,81 @@ def encode_joined(tok: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndar
     return ids, end[np.searchsorted(starts, edge)]
 
 
-def encode_stream(tok: Tokenizer, pieces: Iterator[str]) -> Iterator[np.ndarray]:
+class Transducer:
+    """Text in, stable tokens out. The state is what the last block left open: the rest of its last text, or the class and
+    the unmerged bytes of a pre-token so long that its tokens go out before it ends."""
+
+    def __init__(self, tok: Tokenizer):
+        self.tok, self.held, self.inside, self.pending = tok, "", None, b""
+
+    def push(self, parts: list[str], more: bool) -> list[np.ndarray]:
+        """Tokens of every part. Parts are texts of their own, but for the first, which goes on where the last block
+        ended, and the last, which goes on in the next block if ``more``."""
+        first, goes_on = self.held + parts[0], more and len(parts) == 1
+        self.held = ""
+        front = []
+        if self.inside is not None:
+            first, front = self._through(first, goes_on)
+            if self.inside is not None:
+                self.held, first = first, ""
+        whole = [first, *parts[1:]]
+        left, tail = self._open(whole[-1]) if more else (0, [])
+        ids, begin = encode_joined(self.tok, whole, left)
+        out = [ids[a:b] for a, b in zip(begin, begin[1:])]
+        out[0] = np.concatenate([*front, out[0]])
+        out[-1] = np.concatenate([out[-1], *tail])
+        return out
+
+    def _open(self, text: str) -> tuple[int, list[np.ndarray]]:
+        """Code points at the end of an unfinished text that are not whole pre-tokens, and stable tokens of them if they are many."""
+        if not text:
+            return 0, []
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        cls = _classes()[points]
+        starts = np.flatnonzero(pretoken_starts(points, cls, np.zeros(1, np.int64)))
+        # three code points back, so that a contraction is seen whole
+        cut = int(starts[np.searchsorted(starts, max(len(points) - 3, 0), "right") - 1])
+        rest = len(points) - cut
+        if rest < PIECE:
+            self.held = text[cut:]
+            return rest, []
+        blank_first = points[cut] == 0x20 and cls[cut + 1] != SPACE
+        self.inside = int(cls[cut + 1]) if blank_first else int(cls[cut])
+        self.pending = b" " if blank_first else b""
+        self.held, out = self._through(text[cut + blank_first:], True)
+        return rest, out
+
+    def _through(self, text: str, goes_on: bool) -> tuple[str, list[np.ndarray]]:
+        """Reads on inside the long pre-token: the text not read, and its tokens that are stable or, at its end, all."""
+        cls = _classes()[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        stop = np.flatnonzero(cls != self.inside)
+        ends = len(stop) > 0 or not goes_on
+        run = int(stop[0]) if len(stop) else len(cls)
+        if self.inside == SPACE and (len(stop) or goes_on):
+            run = max(run - 1, 0)               # the last white space may belong to what follows
+        self.pending += text[:run].encode()
+        if ends:
+            out = [np.array(self.tok.word(self.pending), np.uint32)]
+            self.inside, self.pending = None, b""
+            return text[run:], out
+        out, step = [], self.tok.lookahead + WINDOW
+        while len(self.pending) > step:
+            tokens, left = self.tok.stable(self.pending[:step])
+            if not tokens:
+                step *= 2
+                continue
+            self.pending = left + self.pending[step:]
+            step = self.tok.lookahead + WINDOW
+            out.append(np.array(tokens, np.uint32))
+        return text[run:], out
+
+
+def encode_stream(tok: Tokenizer, pieces: Iterable[str]) -> Iterator[np.ndarray]:
     """Tokens of one text that comes in pieces; holds one piece, or lookahead and window inside a long pre-token."""
-    held, inside, pending = "", None, b""       # text not yet cut; class of an open long pre-token and its unmerged bytes
+    machine = Transducer(tok)
     for piece in pieces:
-        held += piece
-        while held:
-            points = np.frombuffer(held.encode("utf-32-le"), "<u4")
-            cls = _classes()[points]
-            if inside is None:
-                starts = np.flatnonzero(pretoken_starts(points, cls, np.zeros(1, np.int64)))
-                # three code points back, so that a contraction is seen whole
-                cut = int(starts[np.searchsorted(starts, max(len(points) - 3, 0), "right") - 1])
-                if cut:
-                    yield _front(tok, held, starts, cut)
-                    held = held[cut:]
-                    break
-                if len(points) < PIECE:
-                    break
-                blank_first = points[0] == 0x20 and len(points) > 1 and cls[1] != SPACE
-                inside = int(cls[1]) if blank_first else int(cls[0])
-                if blank_first:
-                    pending, held = b" ", held[1:]
-                continue
-            stop = np.flatnonzero(cls != inside)
-            run = int(stop[0]) if len(stop) else len(points)
-            if inside == SPACE:
-                run -= 1            # the last white space may belong to what follows
-            pending += held[:run].encode()
-            held = held[run:]
-            if len(stop):
-                yield np.array(tok.word(pending), np.uint32)
-                inside, pending = None, b""
-                continue
-            while len(pending) > tok.lookahead + WINDOW:
-                out, rest = tok.stable(pending[:tok.lookahead + WINDOW])
-                if not out:
-                    out, rest = tok.stable(pending)
-                    pending = rest
-                else:
-                    pending = rest + pending[tok.lookahead + WINDOW:]
-                yield np.array(out, np.uint32)
-            break
-    if pending or inside is not None:
-        yield np.array(tok.word(pending + held.encode()), np.uint32)
-    elif held:
-        yield encode_joined(tok, [held])[0]
-
-
-def _front(tok: Tokenizer, text: str, starts: np.ndarray, cut: int) -> np.ndarray:
-    """Tokens of the pre-tokens that end at ``cut`` or before."""
-    at = starts[starts <= cut].tolist()
-    return np.array([t for w in tok.words([text[a:b].encode() for a, b in zip(at, at[1:])]) for t in w], np.uint32)
+        yield machine.push([piece], True)[0]
+    yield machine.push([""], False)[0]
 
 
 def _segments(tok: Tokenizer, text: str) -> list[str | int]:
@@ -408,60 +433,139 @@ def _around(p: str, s: str, i: int) -> list[str | int]:
     return out
 
 
+def transduce(tok: Tokenizer, texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """``(number of the text, tokens)`` in the order of the texts; a long text's tokens come in several parts.
+
+    One machine reads all texts, in blocks of about ``PIECE`` code points: several short texts, or a piece of a long one.
+    """
+    machine = Transducer(tok)
+    block: list[tuple[int, str | int]] = []
+    held = 0
+
+    def flush(more: bool) -> Iterator[tuple[int, np.ndarray]]:
+        parts = [p for _, p in block if isinstance(p, str)]
+        ids = iter(machine.push(parts, more) if parts else [])
+        for i, p in block:
+            yield i, next(ids) if isinstance(p, str) else np.array([p], np.uint32)
+        block.clear()
+
+    for i, text in enumerate(texts):
+        for segment in _segments(tok, text):
+            if isinstance(segment, int):
+                block.append((i, segment))
+                continue
+            at = 0
+            while held + len(segment) - at > PIECE:
+                end = at + PIECE - held
+                block.append((i, segment[at:end]))
+                yield from flush(True)
+                at, held = end, 0
+            block.append((i, segment[at:]))
+            held += len(segment) - at
+    yield from flush(False)
+
+
 def encode_texts(tok: Tokenizer, texts: list[str]) -> list[np.ndarray]:
     """Token ids of whole texts."""
-    plan = [_segments(tok, t) for t in texts]
-    short = [p for parts in plan for p in parts if isinstance(p, str) and len(p) <= PIECE]
-    ids, begin = encode_joined(tok, short)
-    out, k = [], 0
-    for parts in plan:
-        got = []
-        for p in parts:
-            if isinstance(p, int):
-                got.append(np.array([p], np.uint32))
-            elif len(p) <= PIECE:
-                got.append(ids[begin[k]:begin[k + 1]])
-                k += 1
-            else:
-                got += encode_stream(tok, (p[i:i + PIECE] for i in range(0, len(p), PIECE)))
-        out.append(got[0] if len(got) == 1 else np.concatenate(got) if got else np.zeros(0, np.uint32))
-    return out
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint32)] for _ in texts]
+    for i, ids in transduce(tok, texts):
+        out[i].append(ids)
+    return [np.concatenate(x) for x in out]
 
 
-def decode_pieces(tok: Tokenizer, ids: np.ndarray, step: int = 1 << 16) -> Iterator[str]:
-    """Text of the tokens, piece by piece: the machine's state is the unfinished character at the end of a piece.
+class Decoder:
+    """Tokens in, text out. The state is the unfinished character at the end of what was read.
 
     Bytes that form no character become U+FFFD, as does an id that the vocabulary lacks.
     """
-    machine = codecs.getincrementaldecoder("utf-8")("replace")
-    flat, begin, size = tok.byte_table()
+
+    def __init__(self, table: ByteTable):
+        self.table, self.machine = table, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def push(self, ids: np.ndarray) -> str:
+        return self.machine.decode(self.table.join(ids))
+
+    def end(self) -> str:
+        return self.machine.decode(b"", final=True)
+
+
+def decode_pieces(table: ByteTable, ids: np.ndarray, step: int = 1 << 16) -> Iterator[str]:
+    """Text of the tokens, piece by piece."""
+    machine = Decoder(table)
     for i in range(0, len(ids), step):
-        part = np.minimum(ids[i:i + step], len(size) - 1)
-        n = size[part]
-        end = np.cumsum(n)
-        at = np.repeat(begin[part] - end + n, n) + np.arange(end[-1])
-        yield machine.decode(flat[at].tobytes())
-    yield machine.decode(b"", final=True)
+        yield machine.push(ids[i:i + step])
+    yield machine.end()
 
 
-def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers) of every whole text.
+# frames
 
-    ``tokenizer_json`` is the content of a byte-level BPE file. Null text counts as empty and has no tokens; very long
-    texts are streamed; repeated rows give repeated rows; no rows give none. Other columns are ignored.
-    """
+class _Row:
+    """What is known of one text while its tokens come in; with ``whole`` its tokens and decoded text, else their digests."""
+
+    def __init__(self, table: ByteTable, whole: bool):
+        self.n, self.decoder, self.whole = 0, Decoder(table), whole
+        self.ids, self.text = ([], []) if whole else (hashlib.sha256(), hashlib.sha256())
+
+    def push(self, ids: np.ndarray) -> None:
+        self.n += len(ids)
+        self._text(self.decoder.push(ids))
+        data = ids.astype("<u4").tobytes()
+        self.ids.append(data) if self.whole else self.ids.update(data)
+
+    def _text(self, text: str) -> None:
+        self.text.append(text) if self.whole else self.text.update(text.encode())
+
+    def end(self) -> tuple:
+        self._text(self.decoder.end())
+        return (self.n, b"".join(self.ids), "".join(self.text)) if self.whole else (self.n, self.ids.hexdigest(), self.text.hexdigest())
+
+
+def _round_trips(tok: Tokenizer, texts: list[str], whole: bool) -> Iterator[tuple]:
+    at, row = 0, _Row(tok, whole)
+    for i, ids in transduce(tok, texts):
+        while at < i:
+            yield row.end()
+            at, row = at + 1, _Row(tok, whole)
+        row.push(ids)
+    while at < len(texts):
+        yield row.end()
+        at, row = at + 1, _Row(tok, whole)
+
+
+def _frame(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str, whole: bool, names: tuple[str, str], kinds: tuple[str, str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    second, third = (pa.binary(), pa.string()) if whole else (pa.string(), pa.string())
 
     def run(batches):
         tok = tokenizer(shared.value)
         for batch in batches:
-            for b in slices(batch, text_col):
-                found = encode_texts(tok, [t or "" for t in b.column(text_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([len(f) for f in found], pa.int64()), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())],
-                                                 ["doc_id", "n_tokens", "ids"])
+            for b in slices(batch, text_col, SLICE):
+                n, x, y = zip(*_round_trips(tok, [t or "" for t in b.column(text_col).to_pylist()], whole))
+                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n, pa.int64()), pa.array(x, second), pa.array(y, third)], ["doc_id", "n_tokens", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}")
+
+
+def round_trip(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded``: tokens of every whole text (little-endian unsigned 32-bit integers), and the text
+    that the decoder makes of them; encoded and decoded in one pass.
+
+    ``tokenizer_json`` is the content of a byte-level BPE file. Null text counts as empty and has no tokens; very long
+    texts are read in pieces; repeated rows give repeated rows; no rows give none. Other columns are ignored.
+    """
+    return _frame(docs, tokenizer_json, id_col, text_col, True, ("ids", "decoded"), ("binary", "string"))
+
+
+def digests(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: as ``round_trip``, but tokens and decoded text go into their digests
+    as they come and are never held whole."""
+    return _frame(docs, tokenizer_json, id_col, text_col, False, ("ids_sha256", "decoded_sha256"), ("string", "string"))
+
+
+def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids`` of every whole text, as in ``round_trip``."""
+    return round_trip(docs, tokenizer_json, id_col, text_col).drop("decoded")
 
 
 def decode(tokens: DataFrame, tokenizer_json: str, ids_col: str = "ids") -> Column:
@@ -470,7 +574,7 @@ def decode(tokens: DataFrame, tokenizer_json: str, ids_col: str = "ids") -> Colu
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        tok = tokenizer(shared.value)
-        return pa.array(["".join(decode_pieces(tok, np.frombuffer(x.as_py() or b"", "<u4"))) for x in ids], pa.string())
+        table = byte_table(shared.value)
+        return pa.array(["".join(decode_pieces(table, np.frombuffer(x.as_py() or b"", "<u4"))) for x in ids], pa.string())
 
     return text(F.col(ids_col))

@@ -103,9 +103,7 @@ def public_tokenizer() -> str:
 
 @register()
 def op1_bpe(spark, sf_dir):
-    spec = public_tokenizer()
-    tokens = bpe.encode(table(spark, sf_dir, "documents"), spec)
-    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(tokens, spec), 256).alias("decoded_sha256"))
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
 @register()

@@ -386,7 +386,7 @@ def test_queries_have_their_columns(spark, sf):
             4: ["doc_id", "held_out", "lang_pred", "score"], 5: ["query_id", "rank", "vec_id", "score"], 6: ["doc_id", "size", "source_size", "target", "taken"],
             9: ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], 10: ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]}
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and json.dumps(sorted(QUERIES))
+    assert numbers == list(range(1, 14)) and json.dumps(sorted(QUERIES))
     for n, cols in want.items():
         df = next(q for name, q in QUERIES.items() if name.startswith(f"op{n}_"))(spark, sf)
         assert df.columns[:len(cols)] == cols
