@@ -34,9 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, and the text they decode to."""
-    spec = public_tokenizer()
-    ids = bpe.encode(docs, spec)
-    return ids.select("doc_id", "n_tokens", "ids", bpe.decode(ids, spec).alias("decoded"))
+    return bpe.round_trip(docs, public_tokenizer())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
