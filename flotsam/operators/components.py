@@ -1,11 +1,11 @@
 """Connected components and the link graph of dependent events."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flotsam.functions.geo import EARTH_KM, haversine_km
-from flotsam.operators.neighbours import explode_cells, sphere_cell
+from flotsam.operators.neighbours import _rows, explode_cells, sphere_cell
 from flotsam.session import materialise, release
 
 
@@ -45,6 +45,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
             .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
 
 
+FINEST = 8      # times a cell's side is quartered at most while it is asked whether two cells hold a close pair
+
+
 def link_cells(events: DataFrame, link_km: float) -> DataFrame:
     """Adds ``cell``: events of one day in one cell are closer than ``link_km`` and therefore linked anyway."""
     side = link_km / 1.45 / 111.2
@@ -52,34 +55,103 @@ def link_cells(events: DataFrame, link_km: float) -> DataFrame:
     return events.withColumn("cell", F.struct(gy.alias("gy"), gx.alias("gx"), F.col("day").cast("bigint").alias("day")))
 
 
-def link_graph(events: DataFrame, link_km: float, link_days: int, refine: int = 2) -> tuple[DataFrame, DataFrame]:
+def _box_bounds(p: str, q: str) -> tuple[Column, Column]:
+    """Smallest and largest possible distance between a point of box ``p`` and a point of box ``q``."""
+    def c(box: str, name: str) -> Column:
+        return F.col(box + name)
+
+    zero = F.lit(0.0)
+    lat_gap = F.greatest(zero, c(q, "y0") - c(p, "y1"), c(p, "y0") - c(q, "y1"))
+    lon_gap = F.greatest(zero, c(q, "x0") - c(p, "x1"), c(p, "x0") - c(q, "x1"))
+    lat_far = F.greatest(c(p, "y1") - c(q, "y0"), c(q, "y1") - c(p, "y0"))
+    lon_far = F.greatest(c(p, "x1") - c(q, "x0"), c(q, "x1") - c(p, "x0"))
+
+    def cosines(box: str) -> tuple[Column, Column]:
+        c0, c1 = F.cos(F.radians(c(box, "y0"))), F.cos(F.radians(c(box, "y1")))
+        spans = (c(box, "y0") <= 0) & (c(box, "y1") >= 0)
+        return F.least(c0, c1), F.when(spans, F.lit(1.0)).otherwise(F.greatest(c0, c1))
+
+    (pmin, pmax), (qmin, qmax) = cosines(p), cosines(q)
+
+    def arc(dlat: Column, dlon: Column, cc: Column) -> Column:
+        h = F.pow(F.sin(F.radians(dlat) / 2), 2) + cc * F.pow(F.sin(F.radians(dlon) / 2), 2)
+        return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+
+    near_lon = F.least(lon_gap, F.greatest(zero, 360 - lon_far))
+    return arc(lat_gap, near_lon, pmin * qmin), arc(lat_far, F.least(lon_far, F.lit(180.0)), pmax * qmax)
+
+
+def close_cells(points: DataFrame, pairs: DataFrame, link_km: float, finest: int = FINEST) -> DataFrame:
+    """Those of the ``pairs`` (cell, cell2) that hold two points, one of each cell, closer than ``link_km``.
+
+    ``points``: cell, lon, lat. The points of two cells go down together through quartered sub-cells: a pair of
+    sub-cells is dropped when its boxes are too far apart, and as soon as one pair of boxes is close as a whole the
+    cells are settled and all their other pairs are dropped. Only pairs within a sub-cell's width of the limit go
+    deeper, so work follows the border of the limit and not the product of the points; at the last level, where a
+    sub-cell is a few decimetres wide, different places decide.
+    """
+    side = link_km / 1.45 / 111.2
+    gy = F.col("cell")["gy"]
+    n = _rows(side, gy)
+    full = 4 ** finest
+
+    def fraction(x: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(full - 1), F.floor((x - F.floor(x)) * full))).cast("bigint")
+
+    box = {"x0": F.min("lon"), "x1": F.max("lon"), "y0": F.min("lat"), "y1": F.max("lat")}
+    placed = points.select("cell", "lon", "lat", fraction(F.col("lat") / side).alias("sy"), fraction((F.col("lon") + 180) / 360 * n).alias("sx"))
+    fine = materialise(placed.groupBy("cell", "sy", "sx").agg(*[v.alias(k) for k, v in box.items()]))
+
+    def boxes(level: int, prefix: str, cell: str) -> DataFrame:
+        """Boxes of a level's sub-cells with the sub-cell they lie in, rolled up from the finest."""
+        up = 4 ** (finest - level)
+        rolled = {k: (F.min if k[1] == "0" else F.max)(k) for k in box}
+        b = fine.groupBy("cell", F.floor(F.col("sy") / up).alias("sy"), F.floor(F.col("sx") / up).alias("sx")).agg(*[v.alias(prefix + k) for k, v in rolled.items()])
+        return b.select(F.col("cell").alias(cell), F.floor(F.col("sy") / 4).alias(prefix + "uy"), F.floor(F.col("sx") / 4).alias(prefix + "ux"),
+                        F.col("sy").alias(prefix + "sy"), F.col("sx").alias(prefix + "sx"), *[prefix + k for k in box])
+
+    waiting = pairs.select("cell", "cell2", *[F.lit(0).cast("bigint").alias(c) for c in ("psy", "psx", "qsy", "qsx")])
+    settled = pairs.limit(0).select("cell", "cell2")
+    lo, hi = _box_bounds("p", "q")
+    sub = ("psy", "psx", "qsy", "qsx")
+    rounds = []
+    for level in range(finest + 1):
+        open_ = waiting.withColumnsRenamed({"psy": "puy", "psx": "pux", "qsy": "quy", "qsx": "qux"})
+        met = open_.join(boxes(level, "p", "cell"), ["cell", "puy", "pux"]).join(boxes(level, "q", "cell2"), ["cell2", "quy", "qux"])
+        state = materialise(met.select("cell", "cell2", *sub, lo.alias("lo"), (hi < link_km).alias("sure")).where(F.col("sure") | (F.col("lo") < link_km * (1 + 1e-9))).drop("lo"))
+        rounds.append(state)
+        sure = materialise(state.where("sure").select("cell", "cell2").distinct())
+        settled = settled.unionByName(sure)
+        waiting = state.where("not sure").drop("sure").join(sure, ["cell", "cell2"], "left_anti")
+        if not waiting.limit(1).count():
+            break
+    else:
+        spots = placed.distinct()
+        a = spots.select("cell", F.col("sy").alias("psy"), F.col("sx").alias("psx"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
+        b = spots.select(F.col("cell").alias("cell2"), F.col("sy").alias("qsy"), F.col("sx").alias("qsx"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
+        near = haversine_km(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) < link_km
+        settled = settled.unionByName(materialise(waiting.join(a, ["cell", "psy", "psx"]).join(b, ["cell2", "qsy", "qsx"]).where(near).select("cell", "cell2").distinct()))
+    for state in (*rounds, fine):
+        release(state)
+    return settled
+
+
+def link_graph(events: DataFrame, link_km: float, link_days: int) -> tuple[DataFrame, DataFrame]:
     """Cells of dependent events and the links between them: ``(events with cell, links a, b, link)``.
 
     ``events``: event_id, source_id, day (days since epoch), lon, lat. Events are linked when they share source and
     day, or when they are closer than ``link_km`` and at most ``link_days`` apart. Cells are small enough to be one
-    node. Two cells are linked as soon as the bounds of their points prove a close pair, dropped when the bounds
-    rule it out, and otherwise decided on ever smaller sub-cells and at last on the points. Dense areas therefore
-    cost work per cell, not per pair of events.
+    node; whether two cells are linked is asked once per pair of cells, see ``close_cells``.
     """
     ev = link_cells(events, link_km)
     day_star = (ev.select("source_id", "day", "cell").distinct())
     hub = day_star.groupBy("source_id", "day").agg(F.min("cell").alias("hub"))
     same_day = (day_star.join(hub, ["source_id", "day"]).where(F.col("cell") != F.col("hub"))
                 .select(F.col("hub").alias("a"), F.col("cell").alias("b"), F.lit("same_day").alias("link")).distinct())
-
-    def boxes(side_div: int) -> DataFrame:
-        """Bounding boxes of the points of every (cell, sub-cell)."""
-        side = link_km / 1.45 / 111.2 / side_div
-        gy, gx = sphere_cell(F.col("lon"), F.col("lat"), side)
-        sub = F.struct(gy.alias("sy"), gx.alias("sx"))
-        return ev.groupBy("cell", sub.alias("sub")).agg(
-            F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
-
-    top = boxes(1)
+    top = ev.groupBy("cell").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
     side = link_km / 1.45 / 111.2
     block = max(8, 2 * link_days + 1)
-    left = explode_cells(top.select("cell", "x0", "x1", "y0", "y1"), F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"),
-                         side, link_km)
+    left = explode_cells(top, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), side, link_km)
     left = left.withColumn("db", F.explode(F.array_distinct(F.array(
         F.floor((F.col("cell.day") - link_days) / block), F.floor((F.col("cell.day") + link_days) / block)))))
     right = top.select(F.col("cell").alias("cell2"), F.col("cell.gy").alias("gy"), F.col("cell.gx").alias("gx"),
@@ -87,63 +159,8 @@ def link_graph(events: DataFrame, link_km: float, link_days: int, refine: int =
     pairs = (left.join(right, ["gy", "gx", "db"])
              .where((F.col("cell") < F.col("cell2")) & (F.abs(F.col("cell.day") - F.col("cell2.day")) <= link_days))
              .select("cell", "cell2").distinct())
-
-    def box_bounds(p: str, q: str):
-        """Smallest and largest possible distance between a point of box ``p`` and a point of box ``q``."""
-        def c(box: str, name: str):
-            return F.col(box + name)
-
-        zero = F.lit(0.0)
-        lat_gap = F.greatest(zero, c(q, "y0") - c(p, "y1"), c(p, "y0") - c(q, "y1"))
-        lon_gap = F.greatest(zero, c(q, "x0") - c(p, "x1"), c(p, "x0") - c(q, "x1"))
-        lat_far = F.greatest(c(p, "y1") - c(q, "y0"), c(q, "y1") - c(p, "y0"))
-        lon_far = F.greatest(c(p, "x1") - c(q, "x0"), c(q, "x1") - c(p, "x0"))
-
-        def cosines(box: str):
-            c0, c1 = F.cos(F.radians(c(box, "y0"))), F.cos(F.radians(c(box, "y1")))
-            spans = (c(box, "y0") <= 0) & (c(box, "y1") >= 0)
-            return F.least(c0, c1), F.when(spans, F.lit(1.0)).otherwise(F.greatest(c0, c1))
-
-        (pmin, pmax), (qmin, qmax) = cosines(p), cosines(q)
-
-        def arc(dlat, dlon, cc):
-            h = F.pow(F.sin(F.radians(dlat) / 2), 2) + cc * F.pow(F.sin(F.radians(dlon) / 2), 2)
-            return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
-
-        near_lon = F.least(lon_gap, F.greatest(zero, 360 - lon_far))
-        return arc(lat_gap, near_lon, pmin * qmin), arc(lat_far, F.least(lon_far, F.lit(180.0)), pmax * qmax)
-
-    solved = None
-    open_pairs = pairs
-    for step in range(refine + 1):
-        b = boxes(4 ** step)
-        p = b.select(F.col("cell"), *[F.col(c).alias("p" + c) for c in ("x0", "x1", "y0", "y1")])
-        q = b.select(F.col("cell").alias("cell2"), *[F.col(c).alias("q" + c) for c in ("x0", "x1", "y0", "y1")])
-        lo, hi = box_bounds("p", "q")
-        # per open pair: proven when some sub-cells are surely close, still open when some may be
-        state = (open_pairs.join(p, "cell").join(q, "cell2").withColumn("lo", lo).withColumn("hi", hi)
-                 .groupBy("cell", "cell2").agg(F.max(F.col("hi") < link_km).alias("sure"),
-                                               F.max(F.col("lo") < link_km * (1 + 1e-9)).alias("maybe")))
-        state = materialise(state.where("sure or maybe"))
-        sure = state.where("sure").select("cell", "cell2")
-        solved = sure if solved is None else solved.unionByName(sure)
-        open_pairs = state.where("not sure").select("cell", "cell2")
-    # what is left lies within a sub-cell's width of the limit: decide on the points of the sub-cells in question
-    div = 4 ** refine
-    b = boxes(div)
-    p = b.select("cell", F.col("sub").alias("psub"), *[F.col(c).alias("p" + c) for c in ("x0", "x1", "y0", "y1")])
-    q = b.select(F.col("cell").alias("cell2"), F.col("sub").alias("qsub"), *[F.col(c).alias("q" + c) for c in ("x0", "x1", "y0", "y1")])
-    doubt = (open_pairs.join(p, "cell").join(q, "cell2").where(box_bounds("p", "q")[0] < link_km * (1 + 1e-9))
-             .select("cell", "psub", "cell2", "qsub"))
-    gy, gx = sphere_cell(F.col("lon"), F.col("lat"), side / div)
-    pts = ev.select("cell", F.struct(gy.alias("sy"), gx.alias("sx")).alias("sub"), "lon", "lat").distinct()
-    a = pts.select("cell", F.col("sub").alias("psub"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
-    c = pts.select(F.col("cell").alias("cell2"), F.col("sub").alias("qsub"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
-    exact = (doubt.join(a, ["cell", "psub"]).join(c, ["cell2", "qsub"])
-             .where(haversine_km(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) < link_km)
-             .select("cell", "cell2").distinct())
-    near = solved.unionByName(exact).select(F.col("cell").alias("a"), F.col("cell2").alias("b"), F.lit("near").alias("link"))
-    return ev, same_day.unionByName(near)
+    near = close_cells(ev.select("cell", "lon", "lat"), pairs, link_km)
+    return ev, same_day.unionByName(near.select(F.col("cell").alias("a"), F.col("cell2").alias("b"), F.lit("near").alias("link")))
 
 
 def label_events(events: DataFrame, links: DataFrame) -> DataFrame:

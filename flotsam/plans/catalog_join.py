@@ -62,7 +62,7 @@ def linked_sql(km, days):
       or (cast(b.date_utc as date) - cast(a.date_utc as date) between -{days} and {days} and abs(a.lat - b.lat) < {km} / 100.0 and {HAV.format(a1="a.lon", b1="a.lat", a2="b.lon", b2="b.lat")} < {km})))"""
 
 
-LINK_KM, LINK_DAYS = 0.8, 1
+LINK_KM, LINK_DAYS = 30.0, 3
 LINKED = linked_sql(LINK_KM, LINK_DAYS)
 SIDE = 30.0 / 1.45 / 111.2
 
