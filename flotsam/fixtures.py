@@ -73,6 +73,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                not (scene_no = 0 and cast(floor(n / 40) as bigint) % 120 = 60 and n % 40 not in (10, 11, 12)
                     or (n * 7919 + scene_no * 31) % (case when scene_no = 0 then 4999 else 24989 end) = 0) as water
         from (select event_id % 2 as scene_no, cast(floor(event_id / 2) as bigint) as n from {events}) e"""),
+    "fx_voyage": (("events",), """
+        select event_id, concat('S', cast(user_id as string)) as source_id, cast(ts as date) as date_utc, value as conc,
+               cast((event_id * 7919) % 360000 as double) / 1000 - 180 as lon, cast((event_id * 104729) % 140000 as double) / 1000 - 70 as lat
+        from {events}"""),
     "fx_flow": (("events",), """
         select event_id % 80 as ix, cast(floor(event_id / 80) as bigint) % 40 as iy, cast(floor(event_id / 3200) as bigint) as hour_no, value / 10 as wind_ms
         from {events}"""),

@@ -56,8 +56,8 @@ def _(fx):
     return rnd(J.inverse_distance(zones(fx), events(fx), qid="zone_no", rid="event_id", value="conc"), 5)
 
 
-def linked_sql(km, days):
-    return f"""lp as (select a.event_id as a, b.event_id as b from fx_event a join fx_event b on a.event_id < b.event_id and (
+def linked_sql(km, days, view="fx_event"):
+    return f"""lp as (select a.event_id as a, b.event_id as b from {view} a join {view} b on a.event_id < b.event_id and (
       (a.date_utc = b.date_utc and a.source_id = b.source_id)
       or (cast(b.date_utc as date) - cast(a.date_utc as date) between -{days} and {days} and abs(a.lat - b.lat) < {km} / 100.0 and {HAV.format(a1="a.lon", b1="a.lat", a2="b.lon", b2="b.lat")} < {km})))"""
 
@@ -298,8 +298,9 @@ def small_groups(fx):
     return rows.groupBy("group_no").agg(F.count(F.lit(1)).alias("n_events")).join(exact_quantiles(rows, ["group_no"], "y", {"med": 0.5}), "group_no")
 
 
-TERC = GRP_SQL + """, r as (select *, row_number() over (order by med, group_no) as rk, count(*) over () as total from g),
+TERC_OF_G = """, r as (select *, row_number() over (order by med, group_no) as rk, count(*) over () as total from g),
     t as (select group_no, n_events, med, cast(greatest(0, ceil((rk - 1) * 3 / (total - 1)) - 1) as bigint) as q from r)"""
+TERC = GRP_SQL + TERC_OF_G
 
 
 @register("win14_terciles", oracle="with " + TERC + " select group_no, q from t")
@@ -307,11 +308,17 @@ def _(fx):
     return SP.terciles(small_groups(fx), ["med", "group_no"]).select("group_no", "q")
 
 
-HOLD = TERC + """, st as (select round_even(0.2 * sum(n_events), 0) as want, max(n_events) as big from t),
+HOLD_OF_T = """, st as (select round_even(0.2 * sum(n_events), 0) as want, max(n_events) as big from t),
     p as (select t.*, ((group_no * 48271 + 20260925) % 2147483647 * 69621 + 7) % 2147483647 as h from t, st where n_events < greatest(big, 2)),
     tn as (select *, row_number() over (partition by q order by h, group_no) as turn from p),
     c as (select *, sum(n_events) over (order by turn, q rows unbounded preceding) - n_events as before from tn),
     hd as (select group_no, q, n_events, group_no in (select group_no from c, st where before < want) as is_holdout from t)"""
+HOLD = TERC + HOLD_OF_T
+FOLDS_OF_HD = """,
+    o as (select group_no, n_events, row_number() over (order by n_events desc, group_no) as i from hd where not is_holdout),
+    f as (select cast(0 as bigint) as i, [cast(0 as bigint), 0, 0, 0, 0] as l, cast(null as bigint) as group_no, cast(null as bigint) as fold
+      union all select o.i, list_transform(f.l, lambda v, k: v + case when k = list_position(f.l, list_min(f.l)) then o.n_events else 0 end), o.group_no, list_position(f.l, list_min(f.l)) - 1
+      from f join o on o.i = f.i + 1)"""
 
 
 @register("split2_stratified_holdout", oracle="with " + HOLD + " select group_no, q, n_events, is_holdout from hd")
@@ -320,17 +327,26 @@ def _(fx):
     return SP.choose_holdout(g, 0.2, 20260925).select("group_no", "q", "n_events", "is_holdout")
 
 
-@register("split3_group_folds", oracle="with recursive " + HOLD + """,
-    o as (select group_no, n_events, row_number() over (order by n_events desc, group_no) as i from hd where not is_holdout),
-    f as (select cast(0 as bigint) as i, [cast(0 as bigint), 0, 0, 0, 0] as l, cast(null as bigint) as group_no, cast(null as bigint) as fold
-      union all select o.i, list_transform(f.l, lambda v, k: v + case when k = list_position(f.l, list_min(f.l)) then o.n_events else 0 end), o.group_no, list_position(f.l, list_min(f.l)) - 1
-      from f join o on o.i = f.i + 1)
-    select group_no, fold from f where i > 0""")
+@register("split3_group_folds", oracle="with recursive " + HOLD + FOLDS_OF_HD + " select group_no, fold from f where i > 0")
 def _(fx):
     g = SP.choose_holdout(SP.terciles(small_groups(fx), ["med", "group_no"]), 0.2, 20260925)
     return SP.assign_folds(g.where("not is_holdout").select("group_no", "n_events")).select("group_no", C("fold").cast("bigint").alias("fold"))
 
 
+@register("split9_whole_split", "fx_voyage", oracle="with recursive " + linked_sql(30.0, 3, "fx_voyage") + """,
+    e2 as (select a, b from lp union all select b, a from lp),
+    cc(node, comp) using key (node) as (select event_id, event_id from fx_voyage
+      union select e2.b, min(c.comp) from cc c join e2 on e2.a = c.node join recurring.cc r on r.node = e2.b where c.comp < r.comp group by e2.b),
+    ev as materialized (select event_id, date_utc, conc, comp from fx_voyage join cc on node = event_id),
+    nm as (select comp, row_number() over (order by min(row(date_utc, event_id))) - 1 as group_no from ev group by comp),
+    g as materialized (select group_no, count(*) as n_events, median(conc) as med from ev join nm using (comp) group by 1)""" + TERC_OF_G + HOLD_OF_T + FOLDS_OF_HD + """
+    select event_id, nm.group_no, is_holdout, coalesce(f.fold, -1) as fold from ev join nm using (comp) join hd using (group_no) left join f on f.i > 0 and f.group_no = nm.group_no""")
+def _(fx):
+    """Groups by day, nearness and time, their numbers, the stratified holdout and the folds, in one plan."""
+    ev = fx.fx_voyage.withColumn("e_day", F.datediff("date_utc", F.lit("1970-01-01").cast("date")))
+    return SP.split_events(ev, LINK_KM, LINK_DAYS, share=0.2, seed=20260925, k=5).select("event_id", "group_no", "is_holdout", C("fold").cast("bigint").alias("fold"))
+
+
 @register("split4_link_table", "fx_event", oracle="with cl as (select event_id, source_id, date_utc, lon, lat, " + cell_sql("lon", "lat") + """ from fx_event),
     cid as (select *, min(event_id) over (partition by gy, gx, date_utc) as cell_min, row(gy, gx, date_utc) as cell from cl),
     hub as (select source_id, date_utc, min(cell) as hub from cid group by 1, 2), cm as (select distinct cell, cell_min from cid),
