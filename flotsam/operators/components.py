@@ -55,7 +55,7 @@ def link_cells(events: DataFrame, link_km: float) -> DataFrame:
     return events.withColumn("cell", F.struct(gy.alias("gy"), gx.alias("gx"), F.col("day").cast("bigint").alias("day")))
 
 
-def _box_bounds(p: str, q: str) -> tuple[Column, Column]:
+def box_bounds(p: str, q: str) -> tuple[Column, Column]:
     """Smallest and largest possible distance between a point of box ``p`` and a point of box ``q``."""
     def c(box: str, name: str) -> Column:
         return F.col(box + name)
@@ -112,7 +112,7 @@ def close_cells(points: DataFrame, pairs: DataFrame, link_km: float, finest: int
 
     waiting = pairs.select("cell", "cell2", *[F.lit(0).cast("bigint").alias(c) for c in ("psy", "psx", "qsy", "qsx")])
     settled = pairs.limit(0).select("cell", "cell2")
-    lo, hi = _box_bounds("p", "q")
+    lo, hi = box_bounds("p", "q")
     sub = ("psy", "psx", "qsy", "qsx")
     rounds = []
     for level in range(finest + 1):

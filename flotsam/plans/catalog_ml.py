@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flotsam.config import VARIOGRAM_EDGES
 from flotsam.operators import fusion as FU
 from flotsam.operators import metrics as M
 from flotsam.operators import models as ML
@@ -274,17 +275,23 @@ def store(fx):
     return FU.evidence_store(fx.fx_event.withColumn("t_day", C("t_start_s") / 86400), F.lit(200.0))
 
 
-VARIO = """st as (select *, ln(conc + 1) - ln(201) as resid, t_start_s / 86400 as t_day from fx_event),
-    cl as (select floor(lon / 0.02) as cx, floor(lat / 0.02) as cy, floor(t_day / 0.25) as ct, count(*) as n, sum(resid) as sr, sum(resid * resid) as sr2, avg(lon) as lon, avg(lat) as lat, avg(t_day) as t_day, var_pop(lon) as vx, var_pop(lat) as vy, var_pop(t_day) as vt from st group by 1, 2, 3),
+VARIO = """st as materialized (select *, ln(conc + 1) - ln(201) as resid, t_start_s / 86400 as t_day from fx_event),
+    cl as materialized (select floor(lon / 0.02) as cx, floor(lat / 0.02) as cy, floor(t_day / 0.25) as ct, count(*) as n, sum(resid) as sr, sum(resid * resid) as sr2, avg(lon) as lon, avg(lat) as lat, avg(t_day) as t_day, var_pop(lon) as vx, var_pop(lat) as vy, var_pop(t_day) as vt from st group by 1, 2, 3),
     pr as (select a.n * b.n as np, 0.5 * (b.n * a.sr2 + a.n * b.sr2 - 2 * a.sr * b.sr) as half, sqrt(pow(""" + HAV.format(a1="a.lon", b1="a.lat", a2="b.lon", b2="b.lat") + """, 2) + pow(40 * (a.t_day - b.t_day), 2)) as h
-      from cl a join cl b on (a.cx, a.cy, a.ct) < (b.cx, b.cy, b.ct) and abs(a.t_day - b.t_day) <= 3.1 and abs(a.lat - b.lat) < 1.2
+      from cl a join cl b on (a.cx, a.cy, a.ct) < (b.cx, b.cy, b.ct)
       union all select n * (n - 1) / 2, 0.5 * (n * sr2 - sr * sr), sqrt(2.0 * n / (n - 1) * (pow(111.19 * cos(radians(lat)), 2) * vx + 111.19 * 111.19 * vy + 1600 * vt)) from cl where n > 1),
-    bn as (select case when h < 15 then 0 when h < 30 then 15 when h < 60 then 30 else 60 end as h_lo, case when h < 15 then 15 when h < 30 then 30 when h < 60 then 60 else 120 end as h_hi, sum(h * np) / sum(np) as h_mean, sum(half) / sum(np) as gamma, cast(sum(np) as bigint) as n_pairs from pr where h < 120 group by 1, 2 having sum(np) >= 3)"""
+    ed as (select unnest([""" + ", ".join(f"{float(e)!r}" for e in VARIOGRAM_EDGES[:-1]) + """]) as h_lo, unnest([""" + ", ".join(f"{float(e)!r}" for e in VARIOGRAM_EDGES[1:]) + """]) as h_hi),
+    bn as materialized (select h_lo, h_hi, sum(h * np) / sum(np) as h_mean, sum(half) / sum(np) as gamma, cast(sum(np) as bigint) as n_pairs from pr join ed on h >= h_lo and h < h_hi group by 1, 2 having sum(np) >= 3)"""
 
 
-@register("agg25_variogram", "fx_event", oracle=f"with {VARIO} select cast(h_lo as double) as h_lo, cast(h_hi as double) as h_hi, round(h_mean, 6) as h_mean, round(gamma, 7) as gamma, n_pairs from bn")
+def bins(s):
+    return FU.variogram(s, 40.0, VARIOGRAM_EDGES, deg=0.02, days=0.25, spread=0.5)
+
+
+@register("agg25_variogram", "fx_event", oracle=f"with {VARIO} select cast(h_lo as double) as h_lo, cast(h_hi as double) as h_hi, round(h_mean / h_hi, 2) as h_share, round(gamma, 7) as gamma, n_pairs from bn")
 def _(fx):
-    return rnd(FU.variogram(store(fx), 40.0, (0, 15, 30, 60, 120), deg=0.02, days=0.25), gamma=7)
+    """The mean lag of a bin is known to second order and shown as a share of the bin's end."""
+    return bins(store(fx)).select("h_lo", "h_hi", R(C("h_mean") / C("h_hi"), 2).alias("h_share"), R("gamma", 7).alias("gamma"), "n_pairs")
 
 
 @register("ml18_variogram_fit", "fx_event", oracle=f"with {VARIO}, tt as (select var_samp(resid) as total, avg(case when n_items is not null then greatest(n_items, 1) / pow(greatest(n_items, 1) + area_km2, 2) end) as flo from st)," + """
@@ -293,8 +300,7 @@ def _(fx):
     select round(nugget, 6) as nugget, round(psill, 6) as psill, round(rng, 5) as range_km from s order by sse, share, rng limit 1""")
 def _(fx):
     s = store(fx)
-    bins = FU.variogram(s, 40.0, (0, 15, 30, 60, 120), deg=0.02, days=0.25)
-    fit = FU.fit_variogram(bins, s.agg(F.var_samp("resid")).scalar(), s.agg(F.avg("meas_var")).scalar())
+    fit = FU.fit_variogram(bins(s), s.agg(F.var_samp("resid")).scalar(), s.agg(F.avg("meas_var")).scalar())
     return fit.select(R("nugget", 6).alias("nugget"), R("psill", 6).alias("psill"), R("range_km", 5).alias("range_km"))
 
 
