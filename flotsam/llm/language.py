@@ -52,15 +52,15 @@ def fit(docs: DataFrame, learn: Column) -> Filters:
     def grams(batches):
         for b in (s for batch in batches for s in slices(batch, "text")):
             lang = b.column("_l").to_numpy(zero_copy_only=False).astype(np.int64)
-            seen = []
-            for rows, points, starts in bites(b.column("text"), max(SIZES) - 1):
+            found = []
+            for rows, points, starts, seen in bites(b.column("text"), max(SIZES) - 1):
                 for n in SIZES:
                     h = char_grams(points, n)
-                    pos, part = positions_inside(np.arange(len(h)), n, starts)
-                    seen.append(np.unique((rows[part].astype(np.uint64) << np.uint64(32)) | h[pos]))
-            if not seen:
+                    pos, part = positions_inside(np.arange(len(h)), n, starts, seen)
+                    found.append(np.unique((rows[part].astype(np.uint64) << np.uint64(32)) | h[pos]))
+            if not found:
                 continue
-            pairs = np.unique(np.concatenate(seen))
+            pairs = np.unique(np.concatenate(found))
             key = (lang[(pairs >> np.uint64(32)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (pairs & np.uint64(0xFFFFFFFF))
             key, n = np.unique(key, return_counts=True)
             for i in range(0, len(key), 65536):
@@ -99,27 +99,23 @@ def identify(docs: DataFrame, model: Filters, text_col: str = "text") -> Column:
         m = shared.value
         langs = len(m.languages)
         hits, grams = np.zeros((len(texts), langs)), np.zeros(len(texts))
-        for rows, points, starts in bites(texts, max(SIZES) - 1):
+        for rows, points, starts, seen in bites(texts, max(SIZES) - 1):
             for n in SIZES:
                 h = char_grams(points, n)
-                # windows that reach over the end of a text are taken out
-                outside = (starts[1:, None] - np.arange(1, n + 1)).ravel()
-                inside = np.ones(len(h), bool)
-                inside[outside[outside < len(h)]] = False
-                inside[len(h):] = False
-                begin = np.minimum(starts[:-1], max(len(h) - 1, 0))
+                pos, part = positions_inside(np.arange(len(h)), n, starts, seen)
+                h = h[pos]
+                owner = rows[part]
                 for w in range(m.slots.shape[1]):
                     mask = m.slots[_slot(h, SEEDS[0]), w]
                     for seed in SEEDS[1:]:
                         mask &= m.slots[_slot(h, seed), w]
-                    mask[~inside] = 0
-                    for i in range(64 * w, min(langs, 64 * w + 64)):
-                        if len(h):
-                            found = np.cumsum((mask >> (i - 64 * w)) & 1)
-                            ends = np.minimum(starts[1:], len(h))
-                            c = found[np.maximum(ends - 1, 0)] - np.where(begin > 0, found[begin - 1], 0)
-                            np.add.at(hits[:, i], rows, np.where(starts[:-1] < len(h), c, 0))
-                np.add.at(grams, rows, np.maximum(np.diff(starts) - n, 0))
+                    known = np.flatnonzero(mask)
+                    # a word's bits as bytes of 0 and 1, so that one addition per row counts 64 languages
+                    bits = np.unpackbits(mask[known].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=min(64, langs - 64 * w))
+                    first = np.flatnonzero(np.diff(owner[known], prepend=-1))
+                    if len(first):
+                        hits[owner[known][first], 64 * w:64 * w + 64] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+                grams += np.bincount(owner, minlength=len(texts))
         real = np.maximum((hits - grams[:, None] * m.wrong) / np.maximum(1 - m.wrong, 1e-9), 0) if langs else hits
         total = real.sum(1)
         best = np.where(total > 0, real.argmax(1) if langs else 0, m.commonest)

@@ -62,13 +62,13 @@ def _words(points: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def raw_features(texts: pa.Array, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(statistics of every text, and row, bucket, count of its hashed words)``, whole texts, case kept.
 
-    ``n_chars`` is NaN where it is missing. A word is cut where a text is longer than one bite.
+    ``n_chars`` is NaN where it is missing. A long text is read in parts that end at white space.
     """
     n = len(texts)
     counts = np.zeros((n, 8))
     words, length, longest = np.zeros(n), np.zeros(n), np.zeros(n)
     pairs, times = [], []
-    for rows, points, starts in bites(texts, 0, lower=False):
+    for rows, points, starts, _ in bites(texts, 0, lower=False, whole_words=True):
         cls = _classes()[points]
         part = np.repeat(np.arange(len(rows)), np.diff(starts))
         c = np.bincount(part * 8 + cls, minlength=8 * len(rows)).reshape(-1, 8)
@@ -204,6 +204,7 @@ def score(model: Machine, text_col: str = "text", n_chars_col: str = "n_chars")
     """Probability of quality (double, 0 to 1). Inputs are the text and its recorded length, nothing else.
 
     Null text counts as empty; empty texts are scored by their statistics. A missing recorded length has its own bin.
+    Repeated rows score alike; other columns do not matter.
     """
     @F.arrow_udf("double")
     def quality(texts: pa.Array, n_chars: pa.Array) -> pa.Array:

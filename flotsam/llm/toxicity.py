@@ -36,11 +36,11 @@ class GramModel:
 def _hits(texts: pa.Array, mask: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, bucket) pairs of the texts, of buckets in the mask; each bucket counts once per text."""
     found = []
-    for rows, points, starts in bites(texts, max(SIZES) - 1):
+    for rows, points, starts, seen in bites(texts, max(SIZES) - 1):
         for n in SIZES:
             b = char_grams(points, n) >> np.uint32(32 - BITS)
             pos = np.arange(len(b)) if mask is None else np.flatnonzero(mask[b])
-            pos, part = positions_inside(pos, n, starts)
+            pos, part = positions_inside(pos, n, starts, seen)
             if len(pos):
                 found.append(np.unique((rows[part] << BITS) | b[pos].astype(np.int64)))
         if sum(map(len, found)) > MERGE_AT:
@@ -123,7 +123,7 @@ def score(model: GramModel, text_col: str = "text") -> Column:
     """Probability that the text is toxic (double, 0 to 1).
 
     Whole texts are read, a long one in overlapping parts. Null and empty texts have no n-gram and score the bias;
-    other columns do not matter.
+    repeated rows score alike, other columns do not matter.
     """
     @F.arrow_udf("double")
     def toxic(texts: pa.Array) -> pa.Array:
