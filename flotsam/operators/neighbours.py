@@ -1,18 +1,22 @@
 """Nearest-neighbour and radius joins by equi-joins on grid cells; no pair is formed that the bounds rule out."""
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from flotsam.functions.geo import EARTH_KM, haversine_km
 from flotsam.operators.ranking import top_k
 from flotsam.session import materialise
 
-LEAF_ROWS = 32      # a cell with more points than this is split further
-MAX_DEPTH = 9
-BROADCAST_CELLS = 4096
+LEAF_ROWS = 256     # a cell with more points than this is split further
+MAX_DEPTH = 12      # times a cell's side is quartered at most; what is denser is dealt to chunks by hash
 
 
 @dataclass(frozen=True)
@@ -30,29 +34,43 @@ class Metric:
             return self._combine(haversine_km(qx, qy, x, y), dt)
         return self._combine(F.sqrt(F.pow(qx - x, 2) + F.pow(qy - y, 2)), dt)
 
-    def bounds(self, qx, qy, qt, b) -> tuple[Column, Column]:
-        """Smallest and largest possible distance from the query to any point of the box ``b``."""
-        gx = F.greatest(F.lit(0.0), b("x0") - qx, qx - b("x1"))
-        gy = F.greatest(F.lit(0.0), b("y0") - qy, qy - b("y1"))
-        fx = F.greatest(F.abs(qx - b("x0")), F.abs(qx - b("x1")))
-        fy = F.greatest(F.abs(qy - b("y0")), F.abs(qy - b("y1")))
+    def bounds(self) -> tuple[Column, Column]:
+        """Smallest and largest possible distance between a point of the query box (qx0 ...) and one of the box x0 ..."""
+        c = F.col
+        zero = F.lit(0.0)
+        gap = {a: F.greatest(zero, c(f"{a}0") - c(f"q{a}1"), c(f"q{a}0") - c(f"{a}1")) for a in "xy"}
+        far = {a: F.greatest(c(f"{a}1") - c(f"q{a}0"), c(f"q{a}1") - c(f"{a}0")) for a in "xy"}
         tl = tu = None
         if self.v is not None:
-            tl = F.greatest(F.lit(0.0), b("t0") - qt, qt - b("t1"))
-            tu = F.greatest(F.abs(qt - b("t0")), F.abs(qt - b("t1")))
+            tl = F.greatest(zero, c("t0") - c("qt1"), c("qt0") - c("t1"))
+            tu = F.greatest(c("t1") - c("qt0"), c("qt1") - c("t0"))
         if self.kind != "sphere":
-            return self._combine(F.sqrt(gx * gx + gy * gy), tl), self._combine(F.sqrt(fx * fx + fy * fy), tu)
-        near = F.radians(F.least(gx, F.greatest(F.lit(0.0), 360 - fx)))
-        far = F.radians(F.least(F.lit(180.0), fx))
-        c0, c1 = F.cos(F.radians(b("y0"))), F.cos(F.radians(b("y1")))
-        cq = F.cos(F.radians(qy))
-        cmax = F.when((b("y0") <= 0) & (b("y1") >= 0), F.lit(1.0)).otherwise(F.greatest(c0, c1))
-
-        def arc(dlat, dlon, cc):
-            a = F.pow(F.sin(F.radians(dlat) / 2), 2) + cq * cc * F.pow(F.sin(dlon / 2), 2)
+            return (self._combine(F.sqrt(gap["x"] * gap["x"] + gap["y"] * gap["y"]), tl),
+                    self._combine(F.sqrt(far["x"] * far["x"] + far["y"] * far["y"]), tu))
+        near = F.radians(F.least(gap["x"], F.greatest(zero, 360 - far["x"])))
+        wide = F.radians(F.least(F.lit(180.0), far["x"]))
+
+        def cosines(p: str) -> tuple[Column, Column]:
+            c0, c1 = F.cos(F.radians(c(f"{p}y0"))), F.cos(F.radians(c(f"{p}y1")))
+            return F.least(c0, c1), F.when((c(f"{p}y0") <= 0) & (c(f"{p}y1") >= 0), F.lit(1.0)).otherwise(F.greatest(c0, c1))
+
+        (qmin, qmax), (rmin, rmax) = cosines("q"), cosines("")
+
+        def arc(dlat: Column, dlon: Column, cc: Column) -> Column:
+            a = F.pow(F.sin(F.radians(dlat) / 2), 2) + cc * F.pow(F.sin(dlon / 2), 2)
             return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
-        return self._combine(arc(gy, near, F.least(c0, c1)), tl), self._combine(arc(fy, far, cmax), tu)
+        return self._combine(arc(gap["y"], near, qmin * rmin), tl), self._combine(arc(far["y"], wide, qmax * rmax), tu)
+
+    def matrix(self, q: dict[str, np.ndarray], r: dict[str, np.ndarray]) -> np.ndarray:
+        """Distances of all of ``q`` to all of ``r``, in the order of operations of ``distance``."""
+        qx, qy, x, y = q["x"][:, None], q["y"][:, None], r["x"][None, :], r["y"][None, :]
+        if self.kind == "sphere":
+            h = np.sin(np.radians(y - qy) / 2) ** 2 + np.cos(np.radians(qy)) * np.cos(np.radians(y)) * np.sin(np.radians(x - qx) / 2) ** 2
+            d = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+        else:
+            d = np.sqrt((qx - x) ** 2 + (qy - y) ** 2)
+        return d if self.v is None else np.sqrt(d * d + (float(self.v) * np.abs(q["t"][:, None] - r["t"][None, :])) ** 2)
 
 
 def _group(c: str) -> Column:
@@ -60,16 +78,133 @@ def _group(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
 
 
+def _tree(points: DataFrame, axes: list[str], stats: dict[str, tuple], usual: int) -> DataFrame:
+    """Nodes of the pyramid over ``points`` (with finest cells g*): lvl, c*, n, ``stats``, leaf.
+
+    A node is split while it holds more than ``LEAF_ROWS`` points, so the depth is that of the place and not of the densest cell.
+    ``stats``: output → (aggregate of points, aggregate of the outputs of finer cells).
+    """
+    fine = points.groupBy(*[f"g{a}" for a in axes]).agg(F.count(F.lit(1)).alias("n"), *[f.alias(o) for o, (f, _) in stats.items()])
+    cells = [f"c{a}" for a in axes]
+
+    def up(lvl: Column) -> list[Column]:
+        return [F.floor(F.col(f"g{a}") / F.pow(F.lit(4.0), MAX_DEPTH - lvl)).cast("bigint").alias(f"c{a}") for a in axes]
+
+    def levels(df: DataFrame, first: int, last: int) -> DataFrame:
+        return materialise(df.withColumn("lvl", F.explode(F.sequence(F.lit(first), F.lit(last)))).groupBy("lvl", *up(F.col("lvl")))
+                           .agg(F.sum("n").alias("n"), *[f(o).alias(o) for o, (_, f) in stats.items()]))
+
+    every = levels(fine, 1, usual)
+    dense = every.where((F.col("lvl") == usual) & (F.col("n") > LEAF_ROWS)).select(*cells)
+    if usual < MAX_DEPTH and dense.limit(1).count():
+        every = every.unionByName(levels(fine.select("*", *up(F.lit(usual))).join(dense, cells, "left_semi").drop(*cells), usual + 1, MAX_DEPTH))
+    split = every.where(F.col("n") > LEAF_ROWS).select((F.col("lvl") + 1).alias("lvl"), *[F.col(c).alias(f"p{c}") for c in cells])
+    inner = every.where("lvl > 1").select("*", *[F.floor(F.col(c) / 4).cast("bigint").alias(f"p{c}") for c in cells]).join(split, ["lvl", *[f"p{c}" for c in cells]], "left_semi")
+    nodes = every.where("lvl = 1").unionByName(inner.select(*every.columns))
+    return materialise(nodes.withColumn("leaf", (F.col("n") <= LEAF_ROWS) | (F.col("lvl") == MAX_DEPTH)))
+
+
+def _in_leaves(points: DataFrame, tree: DataFrame, axes: list[str], held: Column, name: str, salt_on: str) -> DataFrame:
+    """``lvl, c*, chunk`` and the points of every leaf, in chunks of about ``LEAF_ROWS``, as one array of structs."""
+    cells = [f"c{a}" for a in axes]
+    leaves = tree.where("leaf").select("lvl", *cells, F.ceil(F.col("n") / LEAF_ROWS).cast("int").alias("_chunks"))
+    levels = sorted(r["lvl"] for r in leaves.select("lvl").distinct().collect())
+    if not levels:
+        levels = [1]
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("lvl"), *[F.floor(F.col(f"g{a}") / 4 ** (MAX_DEPTH - k)).cast("bigint").alias(f"c{a}") for a in axes]) for k in levels]))
+    placed = points.select(held.alias("_h"), F.xxhash64(salt_on).alias("_s"), at.alias("_at")).select("_h", "_s", "_at.*").join(leaves, ["lvl", *cells])
+    return placed.groupBy("lvl", *cells, F.pmod(F.col("_s"), F.col("_chunks")).cast("int").alias("chunk")).agg(F.collect_list("_h").alias(name))
+
+
+def _merge(metric: Metric, k: int, cap_all: float, timed: bool, grouped: bool, names: list[str]):
+    """The ``k`` nearest of every query of a query leaf, over the reference leaves that follow each other in the partition.
+
+    Rows of one query leaf come together, the nearest leaves first. Only the queries' best so far are held; a
+    leaf that is farther than all of them is passed over.
+    """
+    def columns(a: pa.StructArray) -> dict[str, np.ndarray]:
+        out = {"x": a.field("x").to_numpy(zero_copy_only=False), "y": a.field("y").to_numpy(zero_copy_only=False)}
+        if timed:
+            out["t"] = a.field("t").to_numpy(zero_copy_only=False)
+        return out
+
+    class Best:
+        def __init__(self, key: tuple, queries: pa.StructArray):
+            self.key, self.queries, self.q = key, queries, columns(queries)
+            self.g = np.array(queries.field("_qg").to_pylist(), object) if grouped else None
+            self.pool: pa.StructArray | None = None
+            self.d = np.full((len(queries), 0), np.inf)
+            self.i = np.zeros((len(queries), 0), np.int64)
+
+        def meet(self, refs: pa.StructArray, lo: float) -> None:
+            if self.d.shape[1] == k and (self.d[:, -1] < lo * (1 - 1e-9) - 1e-9).all():
+                return
+            d = metric.matrix(self.q, columns(refs))
+            d[~(d <= cap_all)] = np.inf
+            if grouped:
+                d[self.g[:, None] == np.array(refs.field("_g").to_pylist(), object)[None, :]] = np.inf
+            row = np.arange(len(d))
+            if self.d.shape[1] == k:
+                # only queries that find something better here, and what is better for one of them
+                better = d <= self.d[:, -1:]
+                better &= np.isfinite(d)
+                row = np.flatnonzero(better.any(1))
+                if not len(row):
+                    return
+                col = np.flatnonzero(better.any(0))
+                d, refs = d[np.ix_(row, col)], refs.take(pa.array(col))
+            base = 0 if self.pool is None else len(self.pool)
+            pool = refs if self.pool is None else pa.concat_arrays([self.pool, refs])
+            both = np.hstack([self.d[row], d])
+            place = np.hstack([self.i[row], np.broadcast_to(base + np.arange(len(refs)), d.shape)])
+            rid = pool.field("_rid").to_numpy(zero_copy_only=False)
+            rank = rid if rid.dtype.kind in "iu" else np.unique(rid.astype(str) if rid.dtype.kind == "O" else rid, return_inverse=True)[1]
+            order = np.lexsort((rank[place], both), axis=1)[:, :k]
+            both, place = np.take_along_axis(both, order, 1), np.take_along_axis(place, order, 1)
+            if len(row) == len(self.d):
+                self.d, self.i = both, place
+            else:
+                self.d[row], self.i[row] = both, place
+            self.pool = pool
+            if len(pool) > 2 * self.i.size + 4 * LEAF_ROWS:
+                # only what some query holds is kept
+                kept, back = np.unique(self.i, return_inverse=True)
+                self.i, self.pool = back.reshape(self.i.shape), pool.take(pa.array(kept))
+
+        def rows(self) -> pa.RecordBatch:
+            at, rank = np.nonzero(np.isfinite(self.d))
+            ref = self.pool.take(pa.array(self.i[at, rank]))
+            q = self.queries.take(pa.array(at))
+            fields = {"_qid": q.field("_qid"), "rank_no": pa.array(rank + 1), "qx": q.field("x"), "qy": q.field("y"), **({"qt": q.field("t")} if timed else {})}
+            fields |= {n: ref.field(n) for n in names if n not in fields}
+            return pa.RecordBatch.from_arrays([fields[n] for n in names], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                key = tuple(batch.column(c)[r].as_py() for c in batch.schema.names if c.startswith("_k"))
+                if best is None or best.key != key:
+                    if best is not None:
+                        yield best.rows()
+                    best = Best(key, batch.column("_queries")[r].values)
+                best.meet(batch.column("_refs")[r].values, batch.column("lo")[r].as_py())
+        if best is not None:
+            yield best.rows()
+    return run
+
+
 def nearest(queries: DataFrame, refs: DataFrame, *, qid: str, rid: str, k: int = 1, q_xy=("lon", "lat"),
             r_xy=("lon", "lat"), q_t: str | None = None, r_t: str | None = None, payload: tuple[str, ...] = (),
             metric: Metric = Metric(), exclude: tuple[str, str] | None = None, max_dist: float | None = None) -> DataFrame:
     """The ``k`` nearest reference rows of every query row: ``qid, rank_no, dist, rid, payload``.
 
-    The reference points are summarised in a pyramid of grid cells (16 children each). Every query walks down,
-    keeping the cells whose nearest possible point may still be among its first ``k``; only the cells left at the
-    bottom meet their points. Equal positions are first cut to the ``k`` rows that can win, so copies cannot blow
-    up a cell. ``exclude=(query column, reference column)`` leaves out rows of the same group; no group is a group of its own. Ties go to the
-    smallest ``rid``.
+    Reference and query points each lie in a pyramid of grid cells that is split where points are dense. The leaves of the
+    queries, not the queries, walk down the reference pyramid: a cell is kept while its nearest point may still be
+    among the first ``k`` of some query of the leaf, by the bounds between boxes. The leaves left meet as arrays, the nearest first.
+    Query rows are shuffled into their leaf once, answers not at all. Equal positions are first cut to the ``k`` rows that can
+    win, so copies cannot blow up a cell. ``exclude=(query column, reference column)`` leaves out rows of the same
+    group; no group is a group of its own. Ties go to the smallest ``rid``.
     """
     timed = metric.v is not None
     axes = ["x", "y"] + (["t"] if timed else [])
@@ -77,7 +212,7 @@ def nearest(queries: DataFrame, refs: DataFrame, *, qid: str, rid: str, k: int =
                     F.col(r_xy[1]).cast("double").alias("y"),
                     *([F.col(r_t).cast("double").alias("t")] if timed else []),
                     *([_group(exclude[1]).alias("_g")] if exclude else []), *[F.col(p).alias(f"_p_{p}") for p in payload])
-    r = r.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    r = r.where(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("t").isNotNull() if timed else F.lit(True)))
     # equal positions: only the k smallest ids can win; the table is read several times below, so it is written once
     same = axes + (["_g"] if exclude else [])
     if k == 1:
@@ -86,77 +221,75 @@ def nearest(queries: DataFrame, refs: DataFrame, *, qid: str, rid: str, k: int =
     else:
         r = top_k(r, same, [F.col("_rid")], k, "_dup", salt_on="_rid").drop("_dup")
     r = materialise(r)
-    q = queries.select(F.col(qid).alias("_qid"), F.col(q_xy[0]).cast("double").alias("qx"),
-                       F.col(q_xy[1]).cast("double").alias("qy"),
-                       *([F.col(q_t).cast("double").alias("qt")] if timed else []),
-                       *([_group(exclude[0]).alias("_qg")] if exclude else []))
-    box = r.agg(*[f(a).alias(f"{f.__name__}_{a}") for a in axes for f in (F.min, F.max)]).first()
-    if box is None or box["min_x"] is None:
-        box = {f"{f}_{a}": 0.0 for a in axes for f in ("min", "max")}
-    full = 4 ** MAX_DEPTH
-    for a in axes:
-        span = max(box[f"max_{a}"] - box[f"min_{a}"], 1e-9)
-        r = r.withColumn(f"g{a}", F.least(F.floor((F.col(a) - box[f"min_{a}"]) / span * full), F.lit(full - 1)).cast("bigint"))
-
-    def up(a: str, depth: int | Column) -> Column:
-        return F.floor(F.col(f"g{a}") / F.pow(F.lit(4.0), MAX_DEPTH - depth)).cast("bigint").alias(f"c{a}")
-
-    # depth at which no cell holds more than LEAF_ROWS points: one small row per level comes to the driver
-    fine = r.groupBy(*[f"g{a}" for a in axes]).agg(F.count(F.lit(1)).alias("n"))
-    levels = (fine.withColumn("lvl", F.explode(F.sequence(F.lit(1), F.lit(MAX_DEPTH))))
-              .groupBy("lvl", *[up(a, F.col("lvl")) for a in axes]).agg(F.sum("n").alias("n"))
-              .groupBy("lvl").agg(F.max("n").alias("top")).collect())
-    depth = min([x["lvl"] for x in levels if x["top"] <= LEAF_ROWS], default=MAX_DEPTH)
-
-    r = r.select("*", *[up(a, depth) for a in axes]).drop(*[f"g{a}" for a in axes])
-    stat = [F.count(F.lit(1)).alias("n")] + [f(a).alias(f"{a}{i}") for a in axes for i, f in ((0, F.min), (1, F.max))]
+    q = queries.select(F.col(qid).alias("_qid"), F.col(q_xy[0]).cast("double").alias("x"), F.col(q_xy[1]).cast("double").alias("y"),
+                       *([F.col(q_t).cast("double").alias("t")] if timed else []), *([_group(exclude[0]).alias("_qg")] if exclude else []))
+    q = materialise(q.where(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("t").isNotNull() if timed else F.lit(True))))
+
+    def gridded(df: DataFrame) -> tuple[DataFrame, int]:
+        """Finest cells ``g*``, scaled so that evenly spread points fill the leaves well, and the depth of such leaves."""
+        box = df.agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{f.__name__}_{a}") for a in axes for f in (F.min, F.max)]).first()
+        side = max(1.0, 2 * box["n"] / LEAF_ROWS) ** (1 / len(axes))
+        usual = min(MAX_DEPTH, max(1, math.ceil(math.log(side, 4) - 1e-9)))
+        full = 4 ** MAX_DEPTH * side / 4 ** usual
+        for a in axes:
+            low = box[f"min_{a}"] or 0.0
+            span = max((box[f"max_{a}"] or 0.0) - low, 1e-9)
+            df = df.withColumn(f"g{a}", F.greatest(F.lit(0), F.least(F.floor((F.col(a) - low) / span * full), F.lit(math.ceil(full) - 1))).cast("bigint"))
+        return df, usual
+
+    (r, r_usual), (q, q_usual) = gridded(r), gridded(q)
+    corners = {f"{a}{i}": (f(a), f) for a in axes for i, f in ((0, F.min), (1, F.max))}
+    groups = lambda g: {"g0": (F.min(g), F.min), "g1": (F.max(g), F.max)} if exclude else {}
+    rt = _tree(r, axes, corners | groups("_g"), r_usual)
     if exclude:
-        leaf = (r.groupBy(*[f"c{a}" for a in axes], "_g").agg(*stat)
-                .groupBy(*[f"c{a}" for a in axes]).agg(
-                    F.sum("n").alias("n"), F.max("n").alias("gtop"), F.min("_g").alias("g0"), F.max("_g").alias("g1"),
-                    *[f(f"{a}{i}").alias(f"{a}{i}") for a in axes for i, f in ((0, F.min), (1, F.max))]))
-    else:
-        leaf = r.groupBy(*[f"c{a}" for a in axes]).agg(*stat)
-    leaf = materialise(leaf)
-
-    cand = q.select("*", *[F.lit(0).cast("bigint").alias(f"c{a}") for a in axes],
-                    F.lit(float("inf") if max_dist is None else float(max_dist)).alias("cap"))
-    for lvl in range(1, depth + 1):
-        shift = F.pow(F.lit(4.0), depth - lvl)
-        cell = [F.floor(F.col(f"c{a}") / shift).cast("bigint").alias(f"c{a}") for a in axes]
-        agg = [F.sum("n").alias("n")] + [f(f"{a}{i}").alias(f"{a}{i}") for a in axes for i, f in ((0, F.min), (1, F.max))]
-        if exclude:
-            # the sum of the children's largest groups is never below the parent's own largest group
-            agg += [F.sum("gtop").alias("gtop"), F.min("g0").alias("g0"), F.max("g1").alias("g1")]
-        child = leaf.groupBy(*cell).agg(*agg)
-        child = child.select("*", *[F.floor(F.col(f"c{a}") / 4).cast("bigint").alias(f"u{a}") for a in axes])
-        if (4 ** len(axes)) ** lvl <= BROADCAST_CELLS:     # number of cells of a level is bounded by construction
-            child = F.broadcast(child)
-        cand = cand.withColumnsRenamed({f"c{a}": f"u{a}" for a in axes}).join(child, [f"u{a}" for a in axes])
+        # the largest group of a node: a query's own group hides no more than that; summed up, it is never too small
+        most = r.groupBy(*[f"g{a}" for a in axes], "_g").agg(F.count(F.lit(1)).alias("c")).groupBy(*[f"g{a}" for a in axes]).agg(F.max("c").alias("top"))
+        up = [F.floor(F.col(f"g{a}") / F.pow(F.lit(4.0), MAX_DEPTH - F.col("lvl"))).cast("bigint").alias(f"c{a}") for a in axes]
+        most = most.withColumn("lvl", F.explode(F.sequence(F.lit(1), F.lit(MAX_DEPTH)))).groupBy("lvl", *up).agg(F.sum("top").alias("gtop"))
+        rt = materialise(rt.join(most, ["lvl", *[f"c{a}" for a in axes]]))
+    qt = _tree(q, axes, corners | groups("_qg"), q_usual)
+    ql = qt.where("leaf").select("lvl", *[f"c{a}" for a in axes], *[F.col(c).alias(f"q{c}") for c in (*corners, *groups("_qg"))])
+    cells = [f"c{a}" for a in axes]
+    keys = ["_klvl", *[f"_k{a}" for a in axes]]
+    ql = ql.withColumnsRenamed(dict(zip(["lvl", *cells], keys)))
+
+    own = [c for c in ql.columns]
+    node = ["lvl", *cells, "leaf", "n", *corners, *(["g0", "g1", "gtop"] if exclude else [])]
+    child = rt.select(*node, (F.col("lvl") - 1).alias("ulvl"), *[F.floor(F.col(c) / 4).cast("bigint").alias(f"u{c}") for c in cells])
+    above = ["ulvl", *[f"u{c}" for c in cells]]
+    cand = ql.withColumn("cap", F.lit(float("inf") if max_dist is None else float(max_dist)))
+    cand = cand.withColumns({c: F.lit(0).cast("int" if c == "ulvl" else "bigint") for c in above}).join(child, above).drop(*above)
+    lo, hi = metric.bounds()
+    by_leaf = Window.partitionBy(*keys)
+    while True:
         n_eff = F.col("n")
         if exclude:
-            cand = cand.where(~((F.col("g0") == F.col("g1")) & (F.col("g0") == F.col("_qg"))))
-            n_eff = F.when((F.col("_qg") >= F.col("g0")) & (F.col("_qg") <= F.col("g1")),
-                           F.greatest(F.col("n") - F.col("gtop"), F.lit(0))).otherwise(F.col("n"))
-        lo, hi = metric.bounds(F.col("qx"), F.col("qy"), F.col("qt") if timed else None, F.col)
-        cand = cand.withColumn("lo", lo).withColumn("hi", hi).withColumn("ne", n_eff)
-        w = Window.partitionBy("_qid").orderBy("hi", *[f"c{a}" for a in axes]).rowsBetween(Window.unboundedPreceding, 0)
-        cand = cand.withColumn("cum", F.sum("ne").over(w))
-        cut = F.min(F.when(F.col("cum") >= k, F.col("hi"))).over(Window.partitionBy("_qid"))
+            cand = cand.where(~((F.col("g0") == F.col("g1")) & (F.col("qg0") == F.col("qg1")) & (F.col("g0") == F.col("qg0"))))
+            n_eff = F.when((F.col("qg1") >= F.col("g0")) & (F.col("qg0") <= F.col("g1")), F.greatest(F.col("n") - F.col("gtop"), F.lit(0))).otherwise(F.col("n"))
+        cand = cand.withColumns({"lo": lo, "hi": hi, "ne": n_eff})
+        cand = cand.withColumn("cum", F.sum("ne").over(by_leaf.orderBy("hi", "lvl", *cells).rowsBetween(Window.unboundedPreceding, 0)))
+        cut = F.min(F.when(F.col("cum") >= k, F.col("hi"))).over(by_leaf)
         cand = cand.withColumn("cap", F.least(F.col("cap"), F.coalesce(cut, F.lit(float("inf")))))
-        cand = cand.where(F.col("lo") <= F.col("cap") * (1 + 1e-9) + 1e-9)
-        cand = cand.select(*q.columns, *[f"c{a}" for a in axes], "cap")
-    hit = cand.join(r, [f"c{a}" for a in axes])
-    if exclude:
-        hit = hit.where(F.col("_g") != F.col("_qg"))
-    hit = hit.withColumn("dist", metric.distance(F.col("qx"), F.col("qy"), F.col("qt") if timed else None,
-                                                 F.col("x"), F.col("y"), F.col("t") if timed else None))
-    hit = hit.where(F.col("dist") <= F.col("cap") * (1 + 1e-9) + 1e-9)
-    if max_dist is not None:
-        hit = hit.where(F.col("dist") <= max_dist)
-    best = Window.partitionBy("_qid").orderBy("dist", "_rid")
-    hit = hit.withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= k)
-    return hit.select(F.col("_qid").alias(qid), "rank_no", "dist", F.col("_rid").alias(rid if rid != qid else f"ref_{rid}"),
+        cand = materialise(cand.where(F.col("lo") <= F.col("cap") * (1 + 1e-9) + 1e-9).select(*own, *node, "cap", "lo"))
+        if not cand.where("not leaf").limit(1).count():
+            break
+        down = cand.where("not leaf").select(*own, "cap", F.col("lvl").alias("ulvl"), *[F.col(c).alias(f"u{c}") for c in cells])
+        down = down.join(child, above).select(*own, *node, "cap")
+        cand = cand.where("leaf").select(*own, *node, "cap").unionByName(down)
+
+    ref = F.struct("_rid", *axes, *(["_g"] if exclude else []), *[f"_p_{p}" for p in payload])
+    ask = F.struct("_qid", *axes, *(["_qg"] if exclude else []))
+    ra = _in_leaves(r, rt, axes, ref, "_refs", "_rid").drop("chunk")
+    qa = _in_leaves(q, qt, axes, ask, "_queries", "_qid").withColumnsRenamed(dict(zip(["lvl", *cells, "chunk"], [*keys, "_kchunk"])))
+    met = cand.select(*keys, "lvl", *cells, "lo").join(qa, keys).join(ra, ["lvl", *cells]).select(*keys, "_kchunk", "lo", "_queries", "_refs")
+    by = [*keys, "_kchunk"]
+    met = met.repartition(int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, "lo")
+    schema = StructType([StructField("_qid", q.schema["_qid"].dataType), StructField("rank_no", LongType()), StructField("qx", DoubleType()), StructField("qy", DoubleType()),
+                         *([StructField("qt", DoubleType())] if timed else []), *[StructField(a, DoubleType()) for a in axes], StructField("_rid", r.schema["_rid"].dataType),
+                         *[StructField(f"_p_{p}", r.schema[f"_p_{p}"].dataType) for p in payload]])
+    hit = met.mapInArrow(_merge(metric, k, float("inf") if max_dist is None else float(max_dist), timed, exclude is not None, schema.names), schema)
+    dist = metric.distance(F.col("qx"), F.col("qy"), F.col("qt") if timed else None, F.col("x"), F.col("y"), F.col("t") if timed else None)
+    return hit.select(F.col("_qid").alias(qid), F.col("rank_no").cast("int").alias("rank_no"), dist.alias("dist"), F.col("_rid").alias(rid if rid != qid else f"ref_{rid}"),
                       *[F.col(f"_p_{p}").alias(p) for p in payload])
 
 
