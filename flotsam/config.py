@@ -79,6 +79,12 @@ WIND_PRODUCTS = (("cmems_obs-wind_glo_phy_my_l4_0.125deg_PT1H", "2007-01-11"),
                  ("cmems_obs-wind_glo_phy_my_l4_0.25deg_PT1H", "1994-06-01"))
 COMPASS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 
+HEX_EXPORT_COLUMNS = (
+    "aoi", "date", "scene_id", "h3", "hex_index", "lon", "lat", "water_km2", "valid_frac", "detection_status",
+    "detection_status_ru", "n_det_px", "cover_m2_km2", "profile", "unit", "conc_items_km2", "conc_lo80",
+    "conc_hi80", "conc_status", "conc_status_ru", "model_version",
+)
+DENSITY_UNIT = "шт./км²"
 ZONE_EXPORT_COLUMNS = (
     "zone_id", "aoi", "date", "scene_id", "scene_datetime_utc", "lon", "lat", "h3", "zone_area_km2", "n_pixels",
     "cover_m2", "cover_m2_km2", "p_mean", "p_max", "detection_status", "detection_status_ru",

@@ -16,6 +16,10 @@ def key_of(code: Column, table) -> Column:
     return F.create_map(*[x for c, key, _ in table for x in (F.lit(int(c)), F.lit(key))])[code.cast("int")]
 
 
+def label_of_key(key: Column, table) -> Column:
+    return F.create_map(*[x for _, k, text in table for x in (F.lit(k), F.lit(text))])[key]
+
+
 def tile_region(tile: Column, regions) -> Column:
     out = None
     for name, prefixes in regions.items():

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flotsam.config import CONCENTRATION_STATUS, DETECTION_STATUS, ZONE_EXPORT_COLUMNS
+from flotsam.config import CONCENTRATION_STATUS, DENSITY_UNIT, DETECTION_STATUS, HEX_EXPORT_COLUMNS, ZONE_EXPORT_COLUMNS
 from flotsam.functions import geo as G
 from flotsam.functions import status as ST
 from flotsam.operators import metrics as M
@@ -15,7 +15,7 @@ from flotsam.plans import queries as Q
 from flotsam.plans import scene as SC
 from flotsam.plans.catalog_agg import CUBE_SQL, PAIR_SQL, cube, hex_sql, pair_rows, rnd
 from flotsam.plans.catalog_exp import SELECT_SQL
-from flotsam.plans.catalog_ml import SCORED_SQL, score_cube
+from flotsam.plans.catalog_ml import MODEL_SQL, SCORED_SQL, score_cube
 from flotsam.plans.catalog_src import CATALOGUE, event_boxes, scenes
 from flotsam.plans.registry import register
 from flotsam.sources import registry as reg
@@ -143,11 +143,35 @@ def _(fx):
     return Q.zone_export(z, "B", ZONE_EXPORT_COLUMNS)
 
 
-@register("dq11_hex_export", "fx_cellpx", oracle="with " + CUBE_SQL + """
-    select scene_no, cell, p as profile, ndet as n_det_px, round(cover, 5) as cover_m2_km2, round(valid_frac, 6) as valid_frac, case status when 0 then 'not_detected' when 1 then 'detected' else 'insufficient_data' end as detection_status from cube3, (select unnest(['A', 'B']) as p)""")
+# the scored cells with the estimate as it is before rounding
+RAW_SQL = (SCORED_SQL.replace(", case when d is null then 'unavailable'", f", case when d is not null then greatest({MODEL_SQL} - 1, 0) end as raw, case when d is null then 'unavailable'")
+           .replace("'A', null, 'unavailable'", "'A', null, null, 'unavailable'"))
+LO80, HI80 = "round(greatest((raw + 1) * exp(-0.9) - 1, 0) * case when raw is null then null else 1 end, 5)", "round((raw + 1) * exp(0.8) - 1, 5)"
+DETECTED_SQL = "case cube3.status when 0 then '{}' when 1 then '{}' else '{}' end"
+CONC_RU_SQL = "case s.status when 'unavailable' then 'концентрация недоступна' when 'model_estimate' then 'модельная оценка' else 'исследовательская оценка' end"
+
+
+def hex_cube(fx):
+    at = {"lon": 39.55 + F.split("cell", ":")[1].cast("double") * 0.2, "lat": 43.62 - F.split("cell", ":")[0].cast("double") * 0.05}
+    return cube(fx).withColumns({"aoi": F.lit("bay"), "date": F.date_add(F.lit("2024-01-01").cast("date"), C("day_no").cast("int")).cast("string"),
+                                 "scene_id": F.concat(F.lit("S"), C("scene_no").cast("string")), "water_km2": R(C("water_px") * 1e-4, 6), **at})
+
+
+def hex_scores(fx):
+    return score_cube(fx).select("scene_no", "cell", "profile", "value", "lo80", "hi80", C("status").alias("status_conc"), "model_version")
+
+
+@register("dq11_hex_export", "fx_cellpx", "fx_event", oracle="with " + CUBE_SQL + ", " + RAW_SQL + f"""
+    select 'bay' as aoi, cast(cast(date '2024-01-01' + cast(day_no as integer) as date) as varchar) as date, concat('S', scene_no) as scene_id, cell as h3,
+      dense_rank() over (order by cell) - 1 as hex_index, round(39.55 + cast(split_part(cell, ':', 2) as double) * 0.2, 6) as lon, round(43.62 - cast(split_part(cell, ':', 1) as double) * 0.05, 6) as lat,
+      round(water_px * 1e-4, 6) as water_km2, round(valid_frac, 6) as valid_frac, {DETECTED_SQL.format('not_detected', 'detected', 'insufficient_data')} as detection_status,
+      {DETECTED_SQL.format('не обнаружено', 'обнаружено', 'недостаточно данных')} as detection_status_ru, ndet as n_det_px, round(cover, 5) as cover_m2_km2, profile, '{DENSITY_UNIT}' as unit,
+      value as conc_items_km2, {LO80} as conc_lo80, {HI80} as conc_hi80, s.status as conc_status, {CONC_RU_SQL} as conc_status_ru, concat('conc-', profile, '-1') as model_version
+    from cube3 join scored s using (scene_no, cell)""")
 def _(fx):
-    c = cube(fx).select("scene_no", "cell", C("ndet").alias("n_det_px"), R("cover", 5).alias("cover_m2_km2"), R("valid_frac", 6).alias("valid_frac"), ST.key_of(C("status"), DETECTION_STATUS).alias("detection_status"))
-    return c.join(score_cube(fx).select("scene_no", "cell", "profile"), ["scene_no", "cell"])
+    rows = Q.hex_rows(hex_cube(fx), hex_scores(fx), ["aoi"], ["scene_no", "cell"])
+    digits = {"lon": 6, "lat": 6, "water_km2": 6, "valid_frac": 6, "cover_m2_km2": 5, "conc_items_km2": 5, "conc_lo80": 5, "conc_hi80": 5}
+    return rows.select(*[R(c, digits[c]).alias(c) if c in digits else C(c) for c in HEX_EXPORT_COLUMNS])
 
 
 @register("dq12_zoom_clusters", "fx_zone", oracle="""
@@ -157,14 +181,13 @@ def _(fx):
     return rnd(Q.zoom_clusters(fx.fx_zone, ["aoi_no"], 7), 9, cover_m2=4)
 
 
-@register("dq13_hex_cards", "fx_cellpx", "fx_event", oracle="with " + CUBE_SQL + ", " + SCORED_SQL + """
-    select scene_no, cell, profile, case cube3.status when 0 then 'не обнаружено' when 1 then 'обнаружено' else 'недостаточно данных' end as detection_ru,
-      case s.status when 'unavailable' then 'концентрация недоступна' when 'model_estimate' then 'модельная оценка' else 'исследовательская оценка' end as conc_ru, round(cover, 5) as cover from cube3 join scored s using (scene_no, cell)""")
+@register("dq13_hex_cards", "fx_cellpx", "fx_event", oracle="with " + CUBE_SQL + ", " + RAW_SQL + f"""
+    select scene_no, cell, profile, {DETECTED_SQL.format('не обнаружено', 'обнаружено', 'недостаточно данных')} as detection_ru, {CONC_RU_SQL} as conc_ru, round(cover, 5) as cover,
+      value, {LO80} as lo80, {HI80} as hi80, concat('conc-', profile, '-1') as model_version from cube3 join scored s using (scene_no, cell)""")
 def _(fx):
-    s = score_cube(fx).select("scene_no", "cell", "profile", C("status").alias("status_conc"))
-    cards = Q.hex_cards(cube(fx), s, ["scene_no", "cell"])
-    code = F.when(C("concentration_status") == "unavailable", 0).when(C("concentration_status") == "model_estimate", 1).otherwise(2)
-    return cards.select("scene_no", "cell", "profile", ST.label_of(C("status"), DETECTION_STATUS).alias("detection_ru"), ST.label_of(code, CONCENTRATION_STATUS).alias("conc_ru"), R("cover", 5).alias("cover"))
+    cards = Q.hex_cards(cube(fx), hex_scores(fx), ["scene_no", "cell"])
+    return cards.select("scene_no", "cell", "profile", ST.label_of(C("status"), DETECTION_STATUS).alias("detection_ru"), ST.label_of_key(C("concentration_status"), CONCENTRATION_STATUS).alias("conc_ru"),
+                        R("cover", 5).alias("cover"), *[R(c, 5).alias(c) for c in ("value", "lo80", "hi80")], "model_version")
 
 
 @register("dq14_separation_fallback", "fx_cellpx", oracle="""

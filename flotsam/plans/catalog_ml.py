@@ -180,13 +180,35 @@ def labelled(fx):
     return px.withColumns({"fdi": C("fdi") / 5 + C("grp") * 0.05, "ndvi": C("ndvi") - C("grp") * 0.1})
 
 
+FOREST = ["fdi", "ndvi", "score"]        # the pixel columns that the label table has
+PER_CLASS = 2000        # labelled rows of a class that the forest is fitted on, at most
+
+
+def forest_test(fx):
+    """The operator's forest (30 trees of depth 8) fitted on two thirds of the splits, applied to the third."""
+    px = labelled(fx)
+    model, va = ML.train_forest(M.balance(px.where("split_code <> 'A'"), "grp", PER_CLASS, "id", 6), FOREST, "grp", "weight")
+    return model, model.transform(va.transform(px.where("split_code = 'A'"))).withColumn("prd", C("prediction").cast("int"))
+
+
 @register("ml13_forest_report", "fx_label")
 def _(fx):
-    px = labelled(fx)
-    tr = M.balance(px.where("split_code <> 'A'"), "grp", 2000, "id", 6)
-    model, va = ML.train_forest(tr, ["fdi", "ndvi", "score"], "grp", "weight", trees=10, depth=5)
-    te = model.transform(va.transform(px.where("split_code = 'A'"))).withColumn("prd", C("prediction").cast("int"))
-    return rnd(ML.class_report(te, [], "grp", "prd"), 4)
+    return rnd(ML.class_report(forest_test(fx)[1], [], "grp", "prd"), 4)
+
+
+@register("ml13_forest_confusion", "fx_label")
+def _(fx):
+    """Test pixels by true and predicted group."""
+    return forest_test(fx)[1].groupBy("grp", "prd").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ml13_forest_debris_ap", "fx_label")
+def _(fx):
+    """Average precision of the forest's own debris probability, and the importance of every column."""
+    from pyspark.ml.functions import vector_to_array
+    model, te = forest_test(fx)
+    ap = ML.average_precision(te.withColumns({"all": F.lit(1), "p": vector_to_array("probability")[0], "y": C("grp") == 0}), ["all"], "p", "y")
+    return ap.select(R("ap", 4).alias("debris_ap"), *[F.lit(round(float(v), 4)).alias(f"importance_{n}") for n, v in zip(FOREST, model.featureImportances.toArray())])
 
 
 @register("ml13_average_precision", "fx_label", oracle="""
@@ -199,8 +221,7 @@ def _(fx):
 @register("ml14_batch_scoring", "fx_label")
 def _(fx):
     px = labelled(fx)
-    tr = M.balance(px, "grp", 500, "id", 6)
-    model, va = ML.train_forest(tr, ["fdi", "ndvi", "score"], "grp", "weight", trees=5, depth=4)
+    model, va = ML.train_forest(M.balance(px, "grp", PER_CLASS, "id", 6), FOREST, "grp", "weight")
     s = ML.score_pixels(px.select("scene_no", "id", "conf", "fdi", "ndvi", "score"), model, va, (C("conf") > 0) & (C("fdi") > 0.1), C("conf") > 0)
     return s.groupBy("scene_no", "grp").agg(F.count(F.lit(1)).alias("n"), R(F.sum("p"), 4).alias("p_sum"))
 
@@ -254,8 +275,7 @@ def _(fx):
     px = labelled(fx).withColumn("region", tile_region(F.element_at(tiles, (C("scene_no") % 6).cast("int") + 1), TILE_REGIONS))
     out = None
     for r in TILE_REGIONS:
-        tr = M.balance(px.where(C("region") != r), "grp", 500, "id", 6)
-        model, va = ML.train_forest(tr, ["fdi", "ndvi", "score"], "grp", "weight", trees=3, depth=4)
+        model, va = ML.train_forest(M.balance(px.where(C("region") != r), "grp", PER_CLASS, "id", 6), FOREST, "grp", "weight")
         te = model.transform(va.transform(px.where(C("region") == r)))
         c = M.confusion(te, ["region"], C("prediction") == 0, C("cl"))
         out = c if out is None else out.unionByName(c)

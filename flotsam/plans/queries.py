@@ -6,8 +6,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flotsam.config import CONCENTRATION_STATUS, DENSITY_UNIT, DETECTION_STATUS, HEX_EXPORT_COLUMNS
 from flotsam.functions.density import wilson
-from flotsam.operators.ranking import exact_quantiles, top_k
+from flotsam.functions.status import key_of, label_of, label_of_key
+from flotsam.operators.ranking import exact_quantiles, global_rank, top_k
 
 OUTCOME_RANK = ("accepted", "context", "rejected")
 
@@ -199,6 +201,26 @@ def hex_cards(cube: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:
     return cube.join(scored, keys, "left").withColumn("concentration_status", F.coalesce("status_conc", F.lit("unavailable")))
 
 
+def hex_rows(cube: DataFrame, scored: DataFrame, area: list[str], keys: list[str]) -> DataFrame:
+    """Rows of the hex export, one per cell, date and profile, with the export's fixed columns.
+
+    ``cube``: ``keys`` (cell among them), aoi, date, scene_id, lon, lat, water_km2, valid_frac, status (code), ndet, cover;
+    ``scored``: ``keys``, profile, value, lo80, hi80, status_conc, model_version. A cell's index is its place among
+    the area's cells; a profile that is not available has no value and no interval.
+    """
+    cells = global_rank(cube.select(*area, "cell").distinct(), [*area, "cell"], "_r")
+    first = cells.groupBy(*area).agg(F.min("_r").alias("_f"))
+    at = cells.join(first, area).select(*area, "cell", (F.col("_r") - F.col("_f")).alias("hex_index"))
+    row = hex_cards(cube, scored, keys).join(at, [*area, "cell"])
+    known = F.col("concentration_status") != "unavailable"
+    fields = {
+        "h3": F.col("cell"), "detection_status": key_of(F.col("status"), DETECTION_STATUS), "detection_status_ru": label_of(F.col("status"), DETECTION_STATUS),
+        "n_det_px": F.col("ndet"), "cover_m2_km2": F.col("cover"), "unit": F.lit(DENSITY_UNIT), "conc_items_km2": F.when(known, F.col("value")),
+        "conc_lo80": F.when(known, F.col("lo80")), "conc_hi80": F.when(known, F.col("hi80")), "conc_status": F.col("concentration_status"),
+        "conc_status_ru": label_of_key(F.col("concentration_status"), CONCENTRATION_STATUS)}
+    return row.select(*[fields[c].alias(c) if c in fields else F.col(c) for c in HEX_EXPORT_COLUMNS])
+
+
 def separation_or_summary(scenes: DataFrame, details: DataFrame, key: str) -> DataFrame:
     """Detailed rejection counts where they exist, otherwise what the scene summary still tells."""
     j = scenes.join(details.withColumn("_has", F.lit(True)), key, "left")
