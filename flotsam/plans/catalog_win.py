@@ -6,9 +6,14 @@ from pyspark.sql import functions as F
 from flotsam.config import WATER_REF
 from flotsam.operators import drift as DR
 from flotsam.operators import features as FT
+from flotsam.operators import models as ML
 from flotsam.operators import raster as RA
+from flotsam.plans import joins as J
 from flotsam.plans import scene as SC
+from flotsam.plans.catalog_exp import HAV
+from flotsam.plans.catalog_ml import MODEL_A, MODEL_B
 from flotsam.plans.registry import register
+from flotsam.session import materialise
 
 R = F.round
 C = F.col
@@ -244,16 +249,36 @@ def _(fx):
     return o.groupBy("scene_no").agg(F.count(F.lit(1)).alias("objects"), F.count_if("hit").alias("found"))
 
 
-@register("dq5_scene_zones", "fx_pixel", oracle=f"with recursive {SIZE}, {ZONE_SQL}" + """,
-    z as (select scene_no, comp, count(*) as n_pixels, round(sum(frac * 100), 1) as cover_m2, round(avg(p), 3) as p_mean, round(max(p), 3) as p_max,
-      43.62 - (avg(prow) + 0.5) * 0.0001 as lat, 39.55 + (avg(pcol) + 0.5) * 0.0002 as lon from zn group by 1, 2)
-    select scene_no, n_pixels, cover_m2, p_mean, p_max, round(lat, 7) as lat, round(lon, 7) as lon, concat('bay-', scene_no, '-', lpad(cast(row_number() over (partition by scene_no order by lat desc, lon, comp) as varchar), 3, '0')) as zone_id from z""")
+ZONE_HAV = HAV.format(a1="z.lon", b1="z.lat", a2="e.lon", b2="e.lat")
+
+
+@register("dq5_scene_zones", "fx_pixel", "fx_event", oracle=f"with recursive {SIZE}, {ZONE_SQL}" + f""",
+    zz as (select scene_no, comp, count(*) as n_pixels, sum(frac * 100) as cover, round(avg(p), 3) as p_mean, round(max(p), 3) as p_max,
+      43.62 - (avg(prow) + 0.5) * 0.0001 as lat, 39.55 + (avg(pcol) + 0.5) * 0.0002 as lon from zn group by 1, 2),
+    z as materialized (select *, cast(scene_no as double) * 2 as wind24_ms, 1 + scene_no % 3 as month_no, concat('bay-', scene_no, '-', lpad(cast(row_number() over (partition by scene_no order by lat desc, lon, comp) as varchar), 3, '0')) as zone_id from zz),
+    ne as materialized (select zone_id, event_id, e.conc, abs(cast(e.date_utc as date) - cast(date '2024-01-01' + cast(scene_no * 9 as integer) as date)) as gap, {ZONE_HAV} as d, e.profile from z, fx_event e),
+    n1 as (select * from (select *, row_number() over (partition by zone_id order by d, event_id) as rn from ne) where rn = 1), nb as (select zone_id, min(d) as db from ne where profile = 'B' group by 1),
+    m as (select zone_id, db, exp(5.1 + 0.21 * (lat - 43.2) / 1.6 + -0.13 * (wind24_ms - 4.9) / 2.9) as raw from z join nb using (zone_id))
+    select scene_no, n_pixels, round(cover, 1) as cover_m2, p_mean, p_max, round(lat, 7) as lat, round(lon, 7) as lon, zone_id, round(cover / (n_pixels * 1e-4), 3) as cover_m2_km2,
+      event_id as field_event_id, round(d, 5) as field_distance_km, gap as field_date_gap_days, round(conc, 5) as field_conc_items_km2, round(greatest(raw - 1, 0), 5) as conc_b_items_km2,
+      round(greatest((greatest(raw - 1, 0) + 1) * exp(-0.9) - 1, 0), 5) as conc_b_lo80, round((greatest(raw - 1, 0) + 1) * exp(0.8) - 1, 5) as conc_b_hi80,
+      case when db > 60 or month_no not in (1, 2, 6) or wind24_ms not between 0.3 and 8.7 then 'research_estimate' else 'model_estimate' end as conc_b_status,
+      cast(null as double) as conc_a_items_km2, 'unavailable' as conc_a_status from z join n1 using (zone_id) join m using (zone_id)""")
 def _(fx):
+    """Zones with geometry, cover, the nearest field event and the density of both profiles at the centre."""
     z = SC.zone_table(zone_pixels(fx), KEYS)
     z = z.withColumns({"lat": 43.62 - (C("row_mean") + 0.5) * 0.0001, "lon": 39.55 + (C("col_mean") + 0.5) * 0.0002})
-    z = SC.number_zones(z, KEYS, F.concat(F.lit("bay-"), C("scene_no").cast("string")))
-    return z.select("scene_no", "n_pixels", R("cover_m2", 1).alias("cover_m2"), R("p_mean", 3).alias("p_mean"), R("p_max", 3).alias("p_max"),
-                    R("lat", 7).alias("lat"), R("lon", 7).alias("lon"), "zone_id")
+    z = materialise(SC.number_zones(z, KEYS, F.concat(F.lit("bay-"), C("scene_no").cast("string"))).drop("label"))
+    day = F.unix_date(F.lit("2024-01-01").cast("date")) + C("scene_no").cast("int") * 9
+    at = z.select("zone_id", "lon", "lat", day.alias("z_day"), (C("scene_no").cast("double") * 2).alias("wind24_ms"), (1 + C("scene_no") % 3).alias("month_no"))
+    near = J.nearest_event(at, fx.fx_event.withColumn("e_day", F.unix_date("date_utc")), "zone_id", "z_day")
+    train = fx.fx_event.where("profile = 'B'")
+    scored = [(n, ML.score_points(at, m, train, "zone_id", "event_id")) for n, m in (("b", MODEL_B), ("a", MODEL_A))]
+    d = SC.describe_zones(z, scored, near)
+    digits = {"cover_m2": 1, "p_mean": 3, "p_max": 3, "lat": 7, "lon": 7, "cover_m2_km2": 3, "field_distance_km": 5, "field_conc_items_km2": 5, "conc_b_items_km2": 5,
+              "conc_b_lo80": 5, "conc_b_hi80": 5, "conc_a_items_km2": 5}
+    return d.select("scene_no", "n_pixels", "zone_id", "field_event_id", C("field_date_gap_days").cast("bigint").alias("field_date_gap_days"), "conc_b_status", "conc_a_status",
+                    *[R(c, k).alias(c) for c, k in digits.items()])
 
 
 # ---- fields --------------------------------------------------------------------------------------------------------

@@ -174,3 +174,18 @@ def number_zones(zones: DataFrame, scene: list[str], prefix: Column) -> DataFram
     """Ids ``<prefix>-NNN`` from north to south, then west to east, within each scene."""
     w = Window.partitionBy(*scene).orderBy(F.col("lat").desc(), F.col("lon"), F.col("label"))
     return zones.withColumn("zone_id", F.concat(prefix, F.lit("-"), F.format_string("%03d", F.row_number().over(w))))
+
+
+def describe_zones(zones: DataFrame, scored: list[tuple[str, DataFrame]], near: DataFrame) -> DataFrame:
+    """Zones with the nearest field event and the density of every profile at their centre.
+
+    ``near``: zone_id, event_id, dist, gap_days, conc; ``scored``: (profile, zone_id with value, lo80, hi80, lo95, hi95, status, reasons).
+    """
+    out = zones.join(near.select("zone_id", F.col("event_id").alias("field_event_id"), F.col("dist").alias("field_distance_km"), F.col("gap_days").alias("field_date_gap_days"),
+                                 F.col("conc").alias("field_conc_items_km2")), "zone_id", "left")
+    for profile, s in scored:
+        known = F.col("status") != "unavailable"
+        out = out.join(s.select("zone_id", F.when(known, F.col("value")).alias(f"conc_{profile}_items_km2"),
+                                *[F.when(known, F.col(b)).alias(f"conc_{profile}_{b}") for b in ("lo80", "hi80", "lo95", "hi95")],
+                                F.col("status").alias(f"conc_{profile}_status"), F.col("reasons").alias(f"conc_{profile}_reasons")), "zone_id", "left")
+    return out.withColumn("cover_m2_km2", F.col("cover_m2") / F.greatest(F.col("area_km2"), F.lit(1e-9)))
