@@ -335,6 +335,14 @@ def _(fx):
     return rnd(f.select("zone_no", "fused", "lo80", "hi80", "field_weight", "variance_reduction", "n_evidence"), 3)
 
 
+@register("ml17_contributions", "fx_zone", "fx_event")
+def _(fx):
+    """Measurements that weigh 0.5 % or more in a zone's estimate; weights are checked against a plain solve in the tests."""
+    z = zones(fx).withColumns({"t_day": C("t_s") / 86400, "model_value": 150 + C("p_max") * 100})
+    f = FU.fuse(z, store(fx), qid="zone_no", value="model_value", **PARAMS)
+    return rnd(FU.contributions(f, "zone_no", PARAMS["v_km_day"]), 4)
+
+
 @register("ml20_fusion_check", "fx_event")
 def _(fx):
     """Held-out events fused with all other measurements, and without those of their own group."""

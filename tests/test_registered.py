@@ -9,7 +9,7 @@ from oracle_check import compare, connect
 
 SLOW = ("join2", "join3", "join4", "join9", "join10", "join11", "join12", "join17", "agg31", "ml", "win1_", "win5", "win6", "win7", "win10", "win11", "win16_", "win18", "win19",
         "dq5", "dq16", "dq11_hex", "dq13", "split1", "split4", "agg20", "cc1", "dq3", "exp3_")
-NO_SQL = {"ml5_count_regression", "ml13_forest_report", "ml13_forest_confusion", "ml13_forest_debris_ap", "ml14_batch_scoring", "ml16_leave_region_out", "ml17_fusion", "ml20_fusion_check",
+NO_SQL = {"ml5_count_regression", "ml13_forest_report", "ml13_forest_confusion", "ml13_forest_debris_ap", "ml14_batch_scoring", "ml16_leave_region_out", "ml17_fusion", "ml17_contributions", "ml20_fusion_check",
           "dq3_scene_masks"}         # checked against numpy in the other tests
 # the training-data queries are compared in tests/llm
 NAMES = [n for n in QUERIES if os.environ.get("FLOTSAM_ALL") or not n.startswith(SLOW)]
