@@ -33,6 +33,31 @@ def _(fx):
     return rnd(ev.select("event_id", "sel_profile", "sel_role", "geometry_type", "conc_items_km2", "conc_source", "value_type"))
 
 
+@register("dq1_event_intervals", "fx_event", oracle="with " + SELECT_SQL + """
+    select event_id, sel_profile, round(conc, 5) as conc_items_km2, n_items is not null as has_interval from sel where decision = 'included'""")
+def _(fx):
+    """Prepared events with their exact interval; it holds the density and is there exactly where the items were counted."""
+    ev = FP.prepare_events(fx.fx_event)
+    inside = (C("conc_lo95") <= C("conc_items_km2") + 1e-9) & (C("conc_items_km2") <= C("conc_hi95") + 1e-9)
+    return ev.select("event_id", "sel_profile", R("conc_items_km2", 5).alias("conc_items_km2"), F.coalesce(inside, F.lit(False)).alias("has_interval"))
+
+
+@register("dq1_item_objects", "fx_event", oracle="""
+    select event_id, source_id, date_utc, lon, lat, position_role, 'object_context' as value_type from fx_event where record_type = 'item_observation'""")
+def _(fx):
+    return FP.item_objects(fx.fx_event).select("event_id", "source_id", "date_utc", "lon", "lat", "position_role", "value_type")
+
+
+@register("dq1_prepare_summary", "fx_event", oracle="with " + SELECT_SQL + """,
+    inc as (select *, case when position_role = 'mosaic_center' then 'mosaic' when position_role = 'strip' then 'strip' else 'point' end as gt from sel where decision = 'included')
+    select 'rows' as section, '' as name, count(*) as n from sel union all select 'included_rows', '', count(*) from inc union all select 'events', '', count(distinct event_id) from sel
+    union all select 'by_profile', concat(sel_profile, '/', sel_role), count(*) from inc group by 2 union all select 'excluded_by_reason', reason_code, count(*) from sel where decision = 'excluded' group by 2
+    union all select 'geometry_types', gt, count(*) from inc group by 2 union all select 'time_known', sel_profile, count(*) from inc where time_known group by 2
+    union all select 'objects', '', count(*) from sel where record_type = 'item_observation'""")
+def _(fx):
+    return FP.prepare_summary(fx.fx_event)
+
+
 PAIRS_SQL = CATALOGUE + """,
     q as (select event_id, time_known, scene_no, collection, scene_t_s, value / 10 as wind, least(1, 0.8 + cast((event_id * 7 + scene_no * 3) % 60 as double) / 100) as cov, cast((event_id * 5 + scene_no * 11) % 100 as double) / 100 as clear,
       cast((event_id * 3 + scene_no) % 50 as double) / 1000 as glint, greatest(abs((scene_t_s - t_end_s) / 3600), abs((scene_t_s - t_start_s) / 3600)) as dt from hit),

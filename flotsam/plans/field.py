@@ -91,6 +91,35 @@ def prepare_events(registry: DataFrame) -> DataFrame:
     return event_density(ev.withColumns(g)).withColumn("value_type", F.lit("measurement"))
 
 
+def item_objects(registry: DataFrame) -> DataFrame:
+    """Single observed items as a context layer; they never label a density."""
+    return registry.where(F.col("record_type") == "item_observation").withColumn("value_type", F.lit("object_context"))
+
+
+def prepare_summary(registry: DataFrame) -> DataFrame:
+    """What the preparation did: ``section, name, n``.
+
+    Every row names the counters it belongs to, so one pass counts them all, combined before the shuffle; only
+    the number of different events needs another.
+    """
+    sel = select_rows(registry)
+    g = geometry(F.coalesce(F.col("n_segments") >= 2, F.lit(False)) if "n_segments" in registry.columns else F.lit(False),
+                 F.col("position_role"), F.col("position_role") == "strip", F.col("area_km2"))
+
+    def entry(section: str, name: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), name.alias("name"))
+
+    inc = F.col("decision") == "included"
+    entries = F.array_compact(F.array(
+        entry("rows", F.lit("")), F.when(inc, entry("included_rows", F.lit(""))), F.when(inc, entry("by_profile", F.concat_ws("/", "sel_profile", "sel_role"))),
+        F.when(~inc, entry("excluded_by_reason", F.col("reason_code"))), F.when(inc, entry("geometry_types", F.col("geometry_type"))),
+        F.when(inc & F.col("time_known"), entry("time_known", F.col("sel_profile"))),
+        F.when(F.col("record_type") == "item_observation", entry("objects", F.lit("")))))
+    counted = sel.withColumns(g).select(F.explode(entries).alias("e")).groupBy("e.section", "e.name").agg(F.count(F.lit(1)).alias("n"))
+    events = registry.agg(F.count_distinct("event_id").alias("n")).select(F.lit("events").alias("section"), F.lit("").alias("name"), "n")
+    return counted.unionByName(events)
+
+
 def explain_event(df: DataFrame) -> DataFrame:
     """How the number came about, as ordered steps (label, value, formula)."""
     known = F.col("conc_source") == "n_over_a"
