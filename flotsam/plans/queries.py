@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from flotsam.config import CONCENTRATION_STATUS, DENSITY_UNIT, DETECTION_STATUS, HEX_EXPORT_COLUMNS
 from flotsam.functions.density import wilson
 from flotsam.functions.status import key_of, label_of, label_of_key
-from flotsam.operators.ranking import exact_quantiles, global_rank, top_k
+from flotsam.operators.ranking import exact_quantiles, global_rank, order_statistics, top_k
 
 OUTCOME_RANK = ("accepted", "context", "rejected")
 
@@ -134,7 +134,8 @@ def zones_query(zones: DataFrame, *, aois=None, date=None, date_from=None, date_
                 reliable_only: bool = False, sort: str = "cover", limit: int = 100, offset: int = 0) -> DataFrame:
     """One page of the zones that pass the filters, in a fixed order, with the number of all of them (``total``).
 
-    Filters come first and reach the scan; the total is its own small aggregation.
+    Filters come first and reach the scan; the total is its own small aggregation. A page far behind is sought by the
+    rank of its first row, so no task keeps the rows before it.
     """
     if sort not in SORTS:
         raise ValueError(f"sort must be one of {SORTS}")
@@ -152,10 +153,34 @@ def zones_query(zones: DataFrame, *, aois=None, date=None, date_from=None, date_
         z = z.where(F.coalesce("cover_m2", F.lit(0.0)) >= min_cover)
     if reliable_only:
         z = z.where(F.coalesce("scene_reliable", F.lit(True)))
-    first = {"cover": [], "date": [F.col("date_utc").desc()], "p": [F.coalesce("p_max", F.lit(0.0)).desc()]}[sort]
+    # ascending numbers whose order is the order of the rows
+    cover, p, day = -F.coalesce("cover_m2", F.lit(0.0)), -F.coalesce("p_max", F.lit(0.0)), -F.unix_date("date_utc").cast("double")
+    keys = [*{"cover": [], "date": [day], "p": [p]}[sort], cover, F.col("zone_no").cast("double")]
     total = z.agg(F.count(F.lit(1))).scalar()
-    page = z.orderBy(*first, F.coalesce("cover_m2", F.lit(0.0)).desc(), F.col("zone_no")).offset(offset).limit(limit)
-    return page.withColumn("total", total)
+    page, skip = (z, offset) if offset < SEEK_FROM else seek(z, keys, offset)
+    return page.orderBy(*keys).offset(skip).limit(limit).withColumn("total", total)
+
+
+SEEK_FROM = 10_000      # rows before a page from which on it is sought
+
+
+def seek(df: DataFrame, keys: list[Column], offset: int) -> tuple[DataFrame, int]:
+    """The rows from the ``offset``-th on (0-based) in the order of ``keys``, and how many equal ones of these come before it.
+
+    ``keys``: ascending numbers, not null. Key by key the value at the wanted rank is found among the rows that tie on the
+    keys before (exactly, by a sketch that brackets it and a count); what sorts before it is never ordered.
+    """
+    tied, behind = F.lit(True), F.lit(False)
+    for key in keys:
+        among = df.where(tied).select(F.lit(1).alias("_all"), key.alias("_v"))
+        n = among.count()
+        if offset >= n:
+            return df.limit(0), 0
+        v = order_statistics(among, ["_all"], "_v", {"v": ((offset + 1) / max(n, 1), F.lit(offset))}).first()["v"]
+        offset -= among.where(F.col("_v") < v).count()
+        behind = behind | (tied & (key > v))
+        tied = tied & (key == v)
+    return df.where(behind | tied), offset
 
 
 def field_query(events: DataFrame, *, profile: str | None = None, bbox=None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:

@@ -45,6 +45,20 @@ def test_query_parameters_are_checked(spark, sf):
     assert a == [r.zone_no for r in zones_query(z, limit=10).collect()]
 
 
+@pytest.mark.parametrize("sort", ["cover", "date", "p"])
+def test_far_pages_are_sought(spark, sf, monkeypatch, sort):
+    """Pages behind the threshold are those of the whole order, ties included; a page behind the end is empty."""
+    from flotsam.fixtures import Views
+    from flotsam.plans import queries as Q
+    from pyspark.sql import functions as F
+    z = Views(spark, sf).fx_zone.withColumns({"cover_m2": F.floor(F.col("cover_m2") / 20).cast("double"), "p_max": F.when(F.col("zone_no") % 5 != 0, F.round("p_max", 1))})
+    whole = [r.zone_no for r in Q.zones_query(z, sort=sort, limit=10000).collect()]
+    monkeypatch.setattr(Q, "SEEK_FROM", 1)
+    for offset in (1, 40, 333, len(whole) - 3):
+        assert [r.zone_no for r in Q.zones_query(z, sort=sort, limit=25, offset=offset).collect()] == whole[offset:offset + 25]
+    assert Q.zones_query(z, sort=sort, limit=5, offset=len(whole)).count() == 0
+
+
 def test_sinks(spark, tmp_path, sf):
     from flotsam.fixtures import Views
     from flotsam.sources import sinks
