@@ -26,10 +26,11 @@ def canonical(df: DataFrame, columns: list[str]) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def fingerprint(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+def fingerprint(df: DataFrame, columns: list[str], order: list[str], levels: int | None = None) -> DataFrame:
     """sha256 over all rows in order, as a tree: hashes of 1000 rows are hashed again until one is left.
 
-    No task ever holds more than 1000 hashes of a level, whatever the size of the result.
+    No task ever holds more than 1000 hashes of a level, whatever the size of the result. ``levels`` fixes the number of
+    levels above the rows; the root then takes all hashes of the level below it, with two levels one per 1000 rows.
     """
     n_cols = df.select(*dict.fromkeys([*order, *columns]))
     level = materialise(global_rank(n_cols, order, "_r").select((F.col("_r") - 1).alias("i"), F.sha2(canonical(df, columns), 256).alias("h")))
@@ -38,8 +39,9 @@ def fingerprint(df: DataFrame, columns: list[str], order: list[str]) -> DataFram
         return df.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("sha256"), F.lit(0).cast("bigint").alias("n_rows"))
     depth = 0
     # always a level of blocks below the root, so that small and large results are hashed alike
-    while n > 1 or depth < 2:
-        level = level.groupBy(F.floor(F.col("i") / FAN).alias("i")).agg(F.sha2(F.concat_ws("", F.transform(
+    while depth < levels if levels else n > 1 or depth < 2:
+        block = F.lit(0).cast("bigint") if depth + 1 == levels else F.floor(F.col("i") / FAN)
+        level = level.groupBy(block.alias("i")).agg(F.sha2(F.concat_ws("", F.transform(
             F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"])), 256).alias("h"))
         n, depth = -(-n // FAN), depth + 1
     return level.select(F.col("h").alias("sha256"), F.lit(rows).cast("bigint").alias("n_rows"))
