@@ -120,7 +120,7 @@ def _(fx):
                             F.year("date_utc").cast("bigint").alias("date"), "platform", F.col("orbit_no").alias("orbit"), "tile",
                             F.col("cloud_pct").alias("cloud"), F.lit(100).alias("aoi_cells"))
     c0, n = (F.col("item_id") * 7) % 60, 20 + (F.col("item_id") * 13) % 81
-    cov = it.select("item_id", F.explode(F.sequence(c0, F.least(c0 + n, F.lit(100)) - 1)).alias("cell"))
+    cov = it.select("item_id", F.sequence(c0, F.least(c0 + n, F.lit(100)) - 1).alias("cells"))
     return reg.select_scenes(it, cov, min_cover=0.9).withColumns({"cover": R("cover", 6), "cloud": R("cloud", 6)})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from flotsam.config import LABEL_TO_GROUP, NUMERIC_COLUMNS
 from flotsam.operators.ranking import top_k
+from flotsam.session import materialise
 
 
 def read_registry(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
@@ -87,20 +88,29 @@ def select_scenes(items: DataFrame, covered: DataFrame, *, min_cover: float = 0.
     """One scene per area and date out of catalogue items: a lone tile when it covers enough, otherwise a mosaic.
 
     ``items``: item_id, aoi, date, platform, orbit, tile, cloud, aoi_cells; ``covered``: item_id, cell (grid cells of
-    the area the item covers, which stand for its overlap area).
+    the area the item covers, which stand for its overlap area), or one row per item with the array ``cells``.
     """
     if max_cloud < 100:
         items = items.where(F.col("cloud") < max_cloud)
-    area = covered.groupBy("item_id").agg(F.count_distinct("cell").alias("area"))
+    if "cells" in covered.columns:
+        # a row holds an item's cells: nothing is shuffled but their number, and only the cells of chosen items grow to rows
+        area = covered.select("item_id", F.size(F.array_distinct("cells")).cast("bigint").alias("area")).where("area > 0")
+    else:
+        area = covered.groupBy("item_id").agg(F.count_distinct("cell").alias("area"))
     key = ["aoi", "date", "platform", "orbit"]
-    it = items.join(area, "item_id")
+    # no side derived from ``covered`` may be broadcast: its size is estimated without the rows that a generator adds
+    it = items.join(area.hint("merge"), "item_id")
     # a tile may come in two processings: keep the one that covers more
     per_tile = it.groupBy(*key, "tile").agg(F.min_by(F.struct("item_id", "area", "cloud", "aoi_cells"),
                                                      F.struct(-F.col("area"), "item_id")).alias("i")).select(*key, "tile", "i.*")
     top = per_tile.groupBy(*key).agg(F.min_by(F.struct("item_id", "area"), F.struct(-F.col("area"), "item_id")).alias("top"))
-    parts = per_tile.join(top, key).where(
-        (F.col("top.area") / F.col("aoi_cells") < alone) | (F.col("item_id") == F.col("top.item_id")))
-    union = (parts.select(*key, "item_id").join(covered, "item_id")
+    # written once, so its true size is known: at most one item per tile, area and date meets the cells
+    parts = materialise(per_tile.join(top, key).where(
+        (F.col("top.area") / F.col("aoi_cells") < alone) | (F.col("item_id") == F.col("top.item_id"))))
+    chosen = covered.join(parts.select(*key, "item_id"), "item_id")
+    if "cells" in covered.columns:
+        chosen = chosen.withColumn("cell", F.explode("cells"))
+    union = (chosen
              .groupBy(*key).agg(F.count_distinct("cell").alias("cells")))
     scene = (parts.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_tiles"), F.max("aoi_cells").alias("aoi_cells"),
