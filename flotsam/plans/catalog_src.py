@@ -77,11 +77,12 @@ def scenes(fx):
             "s_day", F.col("_d") + 9496).drop("_d")
 
 
-def event_boxes(fx):
-    return fx.fx_event.withColumns({
-        "e_day": F.unix_date("date_utc"),
-        "ex0": F.col("lon") - F.col("length_km") / 200, "ex1": F.col("lon") + F.col("length_km") / 200,
-        "ey0": F.col("lat") - F.col("length_km") / 200, "ey1": F.col("lat") + F.col("length_km") / 200})
+def event_boxes(fx, *columns):
+    """Boxes of the events with the further columns a query needs."""
+    return fx.fx_event.select(
+        "event_id", *columns, F.unix_date("date_utc").alias("e_day"),
+        (F.col("lon") - F.col("length_km") / 200).alias("ex0"), (F.col("lon") + F.col("length_km") / 200).alias("ex1"),
+        (F.col("lat") - F.col("length_km") / 200).alias("ey0"), (F.col("lat") + F.col("length_km") / 200).alias("ey1"))
 
 
 CATALOGUE = SCENES + """, hit as (select e.*, s.scene_no, s.t_s as scene_t_s, s.cloud_pct, s.tile, s.collection
@@ -93,10 +94,7 @@ CATALOGUE = SCENES + """, hit as (select e.*, s.scene_no, s.t_s as scene_t_s, s.
 @register("src6_catalogue_search", "fx_event", "fx_scene", oracle="with " + CATALOGUE + """
     select event_id, scene_no, cast(row_number() over (partition by event_id order by scene_t_s, scene_no) as bigint) as seq from hit""")
 def _(fx):
-    from pyspark.sql import Window
-    hit = reg.catalogue_search(event_boxes(fx), scenes(fx), 1)
-    w = Window.partitionBy("event_id").orderBy("scene_t_s", "scene_no")
-    return hit.select("event_id", "scene_no", F.row_number().over(w).cast("bigint").alias("seq"))
+    return reg.catalogue_search(event_boxes(fx), scenes(fx), 1, keep=("event_id", "scene_no"))
 
 
 @register("src7_scene_selection", "fx_scene", oracle="""

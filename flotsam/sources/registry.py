@@ -1,6 +1,10 @@
 """Field registry scans and contracts, transect segments, catalogue searches and scene choice."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,24 +67,76 @@ def load_events(events: DataFrame, profile: str | None = None, role: str | None
 
 # ---- catalogue -----------------------------------------------------------------------------------------------------
 
-def _cells(df: DataFrame, p: str, deg: float) -> DataFrame:
-    def span(a: str, b: str) -> Column:
-        return F.sequence(F.floor(F.col(a) / deg).cast("bigint"), F.floor(F.col(b) / deg).cast("bigint"))
-    return (df.withColumn("gx", F.explode(span(f"{p}x0", f"{p}x1"))).withColumn("gy", F.explode(span(f"{p}y0", f"{p}y1"))))
-
-
-def catalogue_search(events: DataFrame, scenes: DataFrame, days: int, deg: float = 1.0) -> DataFrame:
-    """Scenes within ``days`` of the event date whose box meets the event box.
-
-    ``events``: ex0..ey1, e_day; ``scenes``: sx0..sy1, s_day (days since epoch). Both sides meet on (cell, day); a
-    pair that shares several cells is reported only in the cell of the lower-left corner of the overlap.
+EVENT_BLOCK, MET_AT_ONCE = 2048, 1 << 18      # events of a block; pairs of an event and a scene that are asked at once
+
+
+def _hits(events: list[str], scenes: list[str], names: list[str]):
+    """Pairs of boxes that meet in a block of events and its scenes, event by event, numbered in the order of the scenes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                e, s = batch.column("e_block")[r].values, batch.column("s_block")[r].values
+                ex0, ex1, ey0, ey1 = (e.field(c).to_numpy(zero_copy_only=False)[:, None] for c in ("ex0", "ex1", "ey0", "ey1"))
+                sx0, sx1, sy0, sy1 = (s.field(c).to_numpy(zero_copy_only=False) for c in ("sx0", "sx1", "sy0", "sy1"))
+                step = max(1, MET_AT_ONCE // len(s))
+                for k in range(0, len(e), step):
+                    c = slice(k, k + step)
+                    i, j = np.nonzero((ex0[c] <= sx1) & (sx0 <= ex1[c]) & (ey0[c] <= sy1) & (sy0 <= ey1[c]))
+                    if not len(i):
+                        continue
+                    start = np.flatnonzero(np.diff(i, prepend=-1))
+                    seq = np.arange(1, len(i) + 1) - np.repeat(start, np.diff(np.append(start, len(i))))
+                    i, j = pa.array(i + k), pa.array(j)
+                    cols = [e.field(x).take(i) for x in events] + [s.field(x).take(j) for x in scenes] + [pa.array(seq)]
+                    yield pa.RecordBatch.from_arrays(cols, names)
+    return run
+
+
+def catalogue_search(events: DataFrame, scenes: DataFrame, days: int, deg: float = 1.0, order: tuple[str, ...] = ("scene_t_s", "scene_no"),
+                     keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Scenes within ``days`` of the event date whose box meets the event box, numbered per event by ``order`` as ``seq``.
+
+    ``events``: ex0..ey1, e_day; ``scenes``: sx0..sy1, s_day (days since epoch). An event lies in one cell only, that of the
+    lower-left corner of its box, on a grid wider than the box; scenes go to every cell and day from which an event may
+    reach them. There they meet as arrays, so only events and scenes are shuffled, never their pairs, and the hits of an
+    event come out in one run of rows of one partition. ``keep``: the columns to return besides ``seq`` (all).
     """
-    left = _cells(events, "e", deg).withColumn("s_day", F.explode(F.sequence(F.col("e_day") - days, F.col("e_day") + days)))
-    j = left.join(_cells(scenes, "s", deg), ["gx", "gy", "s_day"])
-    hit = ((F.col("ex0") <= F.col("sx1")) & (F.col("sx0") <= F.col("ex1"))
-           & (F.col("ey0") <= F.col("sy1")) & (F.col("sy0") <= F.col("ey1")))
-    own = ((F.floor(F.greatest("ex0", "sx0") / deg) == F.col("gx")) & (F.floor(F.greatest("ey0", "sy0") / deg) == F.col("gy")))
-    return j.where(hit & own).drop("gx", "gy")
+    session = events.sparkSession
+    ev = events.dropna(subset=["ex0", "ex1", "ey0", "ey1", "e_day"])
+    wide = F.greatest(F.col("ex1") - F.col("ex0"), F.col("ey1") - F.col("ey0"), F.lit(deg)) / deg
+    ev = ev.withColumn("_k", F.ceil(F.log2(wide)).cast("int"))
+    # scenes of other days meet nothing: the days of a calendar are few
+    day = ev.select("e_day").distinct().select(F.explode(F.sequence(F.col("e_day") - days, F.col("e_day") + days)).alias("s_day")).distinct()
+    sc = scenes.join(F.broadcast(day), "s_day", "left_semi")
+
+    def cell(c: str, size: float, less: int = 0) -> Column:
+        return (F.floor(F.col(c) / size) - less).cast("bigint")
+
+    left, right = None, None
+    for k in sorted(r["_k"] for r in ev.select("_k").distinct().collect()):      # at most one row per doubling of the width
+        size = deg * 2.0 ** k
+        x = ev.where(F.col("_k") == k).withColumns({"_gx": cell("ex0", size), "_gy": cell("ey0", size)})
+        y = (sc.withColumn("_k", F.lit(k)).withColumn("_gx", F.explode(F.sequence(cell("sx0", size, 1), cell("sx1", size))))
+             .withColumn("_gy", F.explode(F.sequence(cell("sy0", size, 1), cell("sy1", size)))))
+        left, right = (x, y) if left is None else (left.unionByName(x), right.unionByName(y))
+    e_cols, s_cols = events.columns, [*order, *[c for c in scenes.columns if c not in order]]
+    e_out, s_out = ([c for c in cols if keep is None or c in keep] for cols in (e_cols, s_cols))
+    names = [*e_out, *s_out, "seq"]
+    schema = T.StructType([*[events.schema[c] for c in e_out], *[scenes.schema[c] for c in s_out], T.StructField("seq", T.LongType())])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    if left is None:
+        return session.createDataFrame([], schema)
+    left = left.withColumn("_day", F.col("e_day"))
+    right = right.withColumn("_day", F.explode(F.sequence(F.col("s_day") - days, F.col("s_day") + days)))
+    keys = ["_k", "_gx", "_gy", "_day"]
+    many = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / EVENT_BLOCK).alias("_n"))
+    e_block = (left.join(many, keys).groupBy(*keys, F.pmod(F.xxhash64(*e_cols), F.col("_n")).alias("_b"))
+               .agg(F.collect_list(F.struct(*e_cols)).alias("e_block")))
+    # the columns of the order come first in the struct
+    s_block = right.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*s_cols))).alias("s_block"))
+    # costly for their size: blocks are dealt over all partitions
+    met = e_block.join(s_block.hint("merge"), keys).select("e_block", "s_block").repartition(int(session.conf.get("spark.sql.shuffle.partitions")))
+    return met.mapInArrow(_hits(e_out, s_out, names), schema)
 
 
 def select_scenes(items: DataFrame, covered: DataFrame, *, min_cover: float = 0.97, alone: float = 0.97,
