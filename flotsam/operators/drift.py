@@ -141,13 +141,21 @@ def fill_from_sea(cells: DataFrame, value: str, cid: str) -> DataFrame:
 
 
 def regrid(cells: DataFrame, targets: DataFrame, value: str, out: str, max_x: Column, max_y: Column) -> DataFrame:
-    """Bilinear value at fractional grid positions (tx, ty); positions outside extrapolate from the border cells."""
-    x0 = F.greatest(F.lit(0), F.least(F.floor("tx"), max_x - 1))
-    y0 = F.greatest(F.lit(0), F.least(F.floor("ty"), max_y - 1))
+    """Bilinear value at fractional grid positions (tx, ty); positions outside extrapolate from the border cells.
+
+    Every square of four cells that holds a target is put together once and a target meets its square: no row per corner.
+    Corners that are missing or null add nothing; a square without any cell gives no row.
+    """
+    x0 = F.greatest(F.lit(0), F.least(F.floor("tx"), max_x - 1)).cast("bigint")
+    y0 = F.greatest(F.lit(0), F.least(F.floor("ty"), max_y - 1)).cast("bigint")
     t = targets.withColumns({"_x0": x0, "_y0": y0})
-    corner = F.explode(F.array(*[F.struct(
-        (F.col("_x0") + dx).cast("bigint").alias("gx"), (F.col("_y0") + dy).cast("bigint").alias("gy"),
-        ((F.col("tx") - F.col("_x0") if dx else 1 - (F.col("tx") - F.col("_x0")))
-         * (F.col("ty") - F.col("_y0") if dy else 1 - (F.col("ty") - F.col("_y0")))).alias("w")) for dx in (0, 1) for dy in (0, 1)]))
-    t = t.select(*targets.columns, corner.alias("c")).select(*targets.columns, "c.*")
-    return t.join(cells.select("gx", "gy", value), ["gx", "gy"]).groupBy(*targets.columns).agg(F.sum(F.col("w") * F.col(value)).alias(out))
+    ends = [(dx, dy) for dx in (0, 1) for dy in (0, 1)]
+    # both are written before they are joined, so that few squares are known to be few and the targets stay where they are
+    want = materialise(t.select("_x0", "_y0").distinct())
+    corner = F.explode(F.array(*[F.struct((F.col("gx") - dx).cast("bigint").alias("_x0"), (F.col("gy") - dy).cast("bigint").alias("_y0"), F.lit(i).alias("_i")) for i, (dx, dy) in enumerate(ends)]))
+    squares = materialise(cells.select(F.col(value).alias("_v"), corner.alias("_c")).select("_v", "_c.*").join(want, ["_x0", "_y0"], "left_semi").groupBy("_x0", "_y0").agg(
+        *[F.sum(F.when(F.col("_i") == i, F.col("_v"))).alias(f"_v{i}") for i in range(4)]))
+    px, py = F.col("tx") - F.col("_x0"), F.col("ty") - F.col("_y0")
+    some = F.coalesce(*[F.col(f"_v{i}") for i in range(4)]).isNotNull()
+    total = sum((px if dx else 1 - px) * (py if dy else 1 - py) * F.coalesce(f"_v{i}", F.lit(0.0)) for i, (dx, dy) in enumerate(ends))
+    return t.join(squares, ["_x0", "_y0"]).select(*targets.columns, F.when(some, total).alias(out))
