@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 
 from flotsam.config import FDI_HI, FDI_LO, NDVI_MAX
 from flotsam.operators.ranking import exact_quantiles, order_statistics, running_totals, top_k
+from flotsam.session import materialise
 
 EPS = 1.0
 
@@ -251,10 +252,25 @@ def poisson_floor(df: DataFrame, keys: list[str], n: str, area: str) -> DataFram
     return d.groupBy(*keys).agg(F.when(F.count_if(F.col(n).isNull()) == 0, F.avg(F.col("_d") / F.col(area))).alias("floor_mae"))
 
 
+def lowest(df: DataFrame, keys: list[str], cap: int, id_col: str) -> DataFrame:
+    """At most ``cap`` rows per group, chosen by a portable hash of the id; groups with a null key are left out.
+
+    Hashes are spread evenly, so the rows wanted lie below a limit that follows from the size of the group: the
+    rows are read twice, but only those below the limit are put in order. Where a group has too few of them all rows are.
+    """
+    h = (F.col(id_col).cast("bigint") * 48271 + 11) % PRIME
+    df = df.withColumn("_h", (h * 69621 + 7) % PRIME)
+    size = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    # one row per group
+    low = materialise(df.join(F.broadcast(size), keys).where(F.col("_h") < F.greatest(F.lit(0.0), F.lit(2.0 * cap + 100) / F.col("_n")) * PRIME).drop("_n"))
+    have = low.groupBy(*keys).agg(F.count(F.lit(1)).alias("_low"))
+    short = size.join(have, keys, "left").where(F.coalesce("_low", F.lit(0)) < F.least(F.lit(cap), F.col("_n")))
+    return materialise(top_k(low if short.isEmpty() else df.dropna(subset=keys), keys, [F.col("_h"), F.col(id_col)], cap, "_r", salt_on=id_col).drop("_r", "_h"))
+
+
 def balance(df: DataFrame, cls: str, cap: int, id_col: str, n_classes: int) -> DataFrame:
     """At most ``cap`` rows per class, chosen by a portable hash of the id, with inverse-frequency weights."""
-    h = (F.col(id_col).cast("bigint") * 48271 + 11) % PRIME
-    kept = top_k(df.withColumn("_h", (h * 69621 + 7) % PRIME), [cls], [F.col("_h"), F.col(id_col)], cap, "_r", salt_on=id_col).drop("_r", "_h")
+    kept = lowest(df, [cls], cap, id_col)
     n = kept.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
     total = n.agg(F.sum("_n")).scalar()
     return kept.join(n.select(cls, (total / (n_classes * F.greatest("_n", F.lit(1)))).alias("weight")), cls)

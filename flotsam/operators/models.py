@@ -285,6 +285,20 @@ def train_forest(px: DataFrame, features: list[str], label: str, weight: str, *,
         rows.unpersist()
 
 
+def predict_by_model(df: DataFrame, fitted: dict[str, tuple], key: str, out: str = "prediction") -> DataFrame:
+    """The class by the model of the row's ``key``; ``fitted``: key → (model, assembler), all on the same features.
+
+    The rows are read once and only the model of its key works on a row; rows of other keys are left out.
+    """
+    d = next(iter(fitted.values()))[1].transform(df.where(F.col(key).isin(*fitted)))
+    at = None
+    for i, (k, (model, _)) in enumerate(fitted.items()):
+        # neither votes nor probabilities are wanted
+        d = model.copy().setRawPredictionCol("").setProbabilityCol("").setPredictionCol(f"_p{i}").transform(d)
+        at = F.when(F.col(key) == k, F.col(f"_p{i}")) if at is None else at.when(F.col(key) == k, F.col(f"_p{i}"))
+    return d.select(*df.columns, at.alias(out))
+
+
 def score_pixels(px: DataFrame, model, assembler, gate: Column, valid: Column, water_group: int = 4) -> DataFrame:
     """Debris probability and winning group; only gated pixels run through the model, others are water, invalid 255."""
     from pyspark.ml.functions import vector_to_array
