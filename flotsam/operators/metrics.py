@@ -41,12 +41,15 @@ def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
             "iou": tp / F.greatest(tp + fp + fn, F.lit(1))}
 
 
-def confusion(df: DataFrame, keys: list[str], pred: Column, cl: Column) -> DataFrame:
-    """Counts against the debris class 1; class 0 is unlabelled and only counted as such."""
+def confusion(df: DataFrame, keys: list[str], pred: Column, cl: Column, n: str | None = None) -> DataFrame:
+    """Counts against the debris class 1; class 0 is unlabelled and only counted as such. ``n``: rows that a row stands for."""
+    def count(is_: Column) -> Column:
+        return F.count_if(is_) if n is None else F.sum(F.when(is_, F.col(n)).otherwise(0))
+
     return df.groupBy(*keys).agg(
-        F.count_if(pred & (cl == 1)).alias("tp"), F.count_if(pred & (cl > 1)).alias("fp"),
-        F.count_if(~pred & (cl == 1)).alias("fn"), F.count_if(pred & (cl == 0)).alias("unlabelled_pos"),
-        F.count_if(cl == 1).alias("n_debris"))
+        count(pred & (cl == 1)).alias("tp"), count(pred & (cl > 1)).alias("fp"),
+        count(~pred & (cl == 1)).alias("fn"), count(pred & (cl == 0)).alias("unlabelled_pos"),
+        count(cl == 1).alias("n_debris"))
 
 
 def class_rates(df: DataFrame, keys: list[str], cl: str, preds: dict[str, Column]) -> DataFrame:

@@ -5,6 +5,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from flotsam.functions.geo import in_basins
 from flotsam.operators.metrics import EPS, apply_interval
 from flotsam.operators.neighbours import nearest
 from flotsam.operators.ranking import exact_quantiles, running_totals
+from flotsam.session import materialise
 
 
 def other_folds(df: DataFrame, fold: str, k: int, out: str = "held") -> DataFrame:
@@ -299,6 +301,187 @@ def predict_by_model(df: DataFrame, fitted: dict[str, tuple], key: str, out: str
     return d.select(*df.columns, at.alias(out))
 
 
+BINS = 32           # intervals of a feature between which a split may lie, as in Spark's forests
+CHUNK_ROWS = 1 << 18        # rows of a task that are counted at a time
+
+
+def held_out_cuts(df: DataFrame, features: list[str], group: str, groups: list[str]) -> dict[str, list[np.ndarray]]:
+    """Where splits may lie for the rows outside each of ``groups``: per feature the last values of at most ``BINS`` intervals.
+
+    Intervals hold equal numbers of rows, or one value each where there are no more values than that. Ranks are counted over
+    all rows: different values are put in order by range partitions, with the rows of every group beside them.
+    """
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias("v")) for i, c in enumerate(features)]))
+    every = df.select(group, at.alias("_x")).select(group, "_x.*").groupBy("f", "v").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(group) == g).alias(f"n{i}") for i, g in enumerate(groups)])
+    counts = ["n", *[f"n{i}" for i in range(len(groups))]]
+    run = materialise(running_totals(every, ["f", "v"], {f"r_{c}": c for c in counts}))
+    base = run.groupBy("f").agg(*[F.min(F.col(f"r_{c}") - F.col(c)).alias(f"b_{c}") for c in counts])
+    per = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), (F.col("n") - F.col(f"n{i}")).alias("c"),
+                                       (F.col("r_n") - F.col("b_n") - F.col(f"r_n{i}") + F.col(f"b_n{i}")).alias("hi")) for i in range(len(groups))]))
+    ranked = run.join(F.broadcast(base), "f").select("f", "v", per.alias("_p")).select("f", "v", "_p.*").where("c > 0")
+    size = ranked.groupBy("f", "g").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("values"))
+    share = [F.floor(x * BINS / F.col("n")) for x in (F.col("hi") - F.col("c"), F.col("hi"))]
+    cut = ranked.join(F.broadcast(size), ["f", "g"]).where((F.col("hi") < F.col("n")) & ((F.col("values") <= BINS) | (share[0] < share[1])))
+    out = {g: [[] for _ in features] for g in groups}
+    for r in cut.select("g", "f", "v").collect():       # less than BINS per group and feature
+        out[groups[r["g"]]][r["f"]].append(r["v"])
+    return {g: [np.sort(np.array(v, np.float64)) for v in per] for g, per in out.items()}
+
+
+def held_out_cells(df: DataFrame, features: list[str], cuts: dict[str, list[np.ndarray]], group: str, label: str, cls: str) -> DataFrame:
+    """All rows counted by the intervals of their features, once for every group: ``held, own, label, cls, cell, n``.
+
+    Rows of the group itself (``own``) keep their ``cls``, the others their ``label``. A forest looks at intervals only, so
+    this is all it needs of the rows; there are at most ``BINS`` to the number of features cells of a class.
+    """
+    groups = list(cuts)
+    joint = [np.unique(np.concatenate([cuts[g][f] for g in groups])) for f in range(len(features))]
+    # the interval of a value among all cuts decides that among the cuts of one group
+    of = [[np.searchsorted(cuts[g][f], np.append(joint[f], np.inf)) for f in range(len(features))] for g in groups]
+    names = ["held", "own", "label", "cls", "cell", "n"]
+    if BINS ** len(features) * 2 ** 16 > 2 ** 62:
+        raise ValueError("too many features for one number per cell")
+
+    def run(batches):
+        def count(t: pa.Table):
+            place = [np.searchsorted(j, t[f"_f{f}"].to_numpy()) for f, j in enumerate(joint)]
+            own, y, c = (t[x].to_numpy() for x in ("_g", "_y", "_c"))
+            for g in range(len(groups)):
+                mine = own == g
+                code = np.zeros(len(mine), np.int64)
+                for f, p in enumerate(place):
+                    code = code * BINS + of[g][f][p]
+                code = (code << 16) | np.where(mine, c.astype(np.int64) << 1 | 1, y.astype(np.int64) << 1)
+                code, n = np.unique(code[mine | (y >= 0)], return_counts=True)
+                is_own, value = (code & 1).astype(bool), code >> 1 & 0x7fff
+                yield pa.RecordBatch.from_arrays([pa.array([groups[g]] * len(n), pa.string()), pa.array(is_own), pa.array(np.where(is_own, 0, value).astype(np.int32)),
+                                                  pa.array(np.where(is_own, value, 0).astype(np.int32)), pa.array(code >> 16), pa.array(n.astype(np.int64))], names)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK_ROWS:
+                yield from count(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from count(pa.Table.from_batches(held))
+
+    at = F.lit(-1)
+    for i, g in enumerate(groups):
+        at = F.when(F.col(group) == g, i).otherwise(at)
+    rows = df.where(F.col(group).isNotNull() & F.col(cls).isNotNull()).select(
+        *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"_f{i}") for i, c in enumerate(features)], at.alias("_g"),
+        F.coalesce(F.col(label), F.lit(-1)).cast("int").alias("_y"), F.col(cls).cast("int").alias("_c"))
+    return rows.mapInArrow(run, "held string, own boolean, label int, cls int, cell bigint, n bigint").groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+
+
+def grow_tree(bins: np.ndarray, label: np.ndarray, n: np.ndarray, classes: int, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One tree of a forest on counted cells: feature (-1: leaf) and last interval to the left of every node, shares of the classes.
+
+    Every row would be drawn a Poisson number of times; the draws of the ``n`` rows of a cell sum up to one draw of mean
+    ``n``, so the tree has the law of one on the rows. Classes weigh the same, a node looks at √features of them, Gini decides.
+    Node i has the children 2i + 1 and 2i + 2.
+    """
+    total = np.bincount(label, n, classes)
+    drawn = rng.poisson(n).astype(np.float64)
+    w = drawn * (total.sum() / (classes * np.maximum(total, 1)))[label]
+    f, some = bins.shape[1], int(np.ceil(np.sqrt(bins.shape[1])))
+    size = 2 ** (depth + 1) - 1
+    feature, cut, share = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros((size, classes))
+    node = np.zeros(len(n), np.int64)
+    live = drawn > 0
+    bins, label, w, node, drawn = bins[live], label[live], w[live], node[live], drawn[live]
+
+    def gini(x: np.ndarray) -> np.ndarray:
+        """Impurity times weight."""
+        s = x.sum(-1)
+        return s - (x * x).sum(-1) / np.maximum(s, 1e-300)
+
+    for level in range(depth + 1):
+        first, width = 2 ** level - 1, 2 ** level
+        at = node - first
+        here = np.bincount(at * classes + label, w, width * classes).reshape(width, classes)
+        share[first:first + width] = here
+        if level == depth or not len(at):
+            break
+        allowed = rng.random((width, f)).argsort(1)[:, :some]
+        best, choice, where = np.full(width, -np.inf), np.full(width, -1), np.zeros(width, np.int64)
+        for k in range(f):
+            hist = np.bincount((at * BINS + bins[:, k]) * classes + label, w, width * BINS * classes).reshape(width, BINS, classes)
+            count = np.bincount(at * BINS + bins[:, k], drawn, width * BINS).reshape(width, BINS)
+            left, n_left = hist.cumsum(1), count.cumsum(1)
+            gain = gini(here)[:, None] - gini(left) - gini(here[:, None] - left)
+            gain[(n_left < 1) | (n_left > n_left[:, -1:] - 1)] = -np.inf
+            place = gain.argmax(1)
+            top = gain[np.arange(width), place]
+            better = (allowed == k).any(1) & (top > best)
+            best[better], choice[better], where[better] = top[better], k, place[better]
+        choice[best <= 1e-12 * np.maximum(here.sum(1), 1e-300)] = -1
+        feature[first:first + width], cut[first:first + width] = choice, where
+        goes = choice[at] >= 0
+        bins, label, w, node, drawn, at = bins[goes], label[goes], w[goes], node[goes], drawn[goes], at[goes]
+        node = 2 * node + 1 + (bins[np.arange(len(at)), choice[at]] > where[at])
+    return feature, cut, share / np.maximum(share.sum(1), 1e-300)[:, None]
+
+
+def forest_votes(bins: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Shares of the classes at the leaf of every cell, summed over the trees."""
+    out = np.zeros((len(bins), trees[0][2].shape[1]))
+    row = np.arange(len(bins))
+    for feature, cut, share in trees:
+        node = np.zeros(len(bins), np.int64)
+        while True:
+            goes = feature[node] >= 0
+            if not goes.any():
+                break
+            node = np.where(goes, 2 * node + 1 + (bins[row, feature[node]] > cut[node]), node)
+        out += share[node]
+    return out
+
+
+def leave_group_out(df: DataFrame, features: list[str], label: str, cls: str, group: str, groups: list[str], n_classes: int, *,
+                    trees: int = 30, depth: int = 8, seed: int = 0) -> DataFrame:
+    """Every row of every group by the forest that is fitted on all rows of the other groups: ``group, cls, prediction, n``.
+
+    No row is left out: cuts are ranks among all rows, cells count all rows, draws are those of all rows. Beyond the
+    cells, nothing grows with the rows. Trees are grown in tasks of their own; draws depend on cell, tree and group alone.
+    """
+    cells = materialise(held_out_cells(df, features, held_out_cuts(df, features, group, groups), group, label, cls))
+    one = F.sort_array(F.collect_list(F.struct("cell", F.when(F.col("own"), F.col("cls")).otherwise(F.col("label")).alias("y"), "n")))
+    train, test = (cells.where(w).groupBy("held").agg(one.alias("cells")) for w in ("not own", "own"))
+
+    def unpack(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cell, y, n = (x.values.field(c).to_numpy(zero_copy_only=False) for c in ("cell", "y", "n"))
+        return np.stack([cell // BINS ** (len(features) - 1 - f) % BINS for f in range(len(features))], 1), y, n
+
+    def grow(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                bins, y, n = unpack(b.column("cells")[r])
+                held, tree = b.column("held")[r].as_py(), b.column("tree")[r].as_py()
+                feature, cut, share = grow_tree(bins, y, n, n_classes, depth, np.random.default_rng([seed, groups.index(held), tree]))
+                yield pa.RecordBatch.from_pydict({"held": [held], "tree": pa.array([tree], pa.int32()), "feature": pa.array([feature], pa.list_(pa.int32())),
+                                                  "cut": pa.array([cut], pa.list_(pa.int32())), "share": pa.array([share.ravel()], pa.list_(pa.float64()))})
+
+    def vote(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                bins, y, n = unpack(b.column("cells")[r])
+                grown = [(*(np.array(t[c]) for c in ("feature", "cut")), np.array(t["share"]).reshape(-1, n_classes)) for t in b.column("forest")[r].as_py()]
+                code, at = np.unique(y.astype(np.int64) * n_classes + forest_votes(bins, grown).argmax(1), return_inverse=True)
+                yield pa.RecordBatch.from_pydict({"held": [b.column("held")[r].as_py()] * len(code), "cls": pa.array((code // n_classes).astype(np.int32)),
+                                                  "prediction": pa.array((code % n_classes).astype(np.int32)), "n": pa.array(np.bincount(at, n, len(code)).astype(np.int64))})
+
+    # few rows, costly for their size: a tree is a task's work
+    wanted = train.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "held", "tree")
+    grown = wanted.mapInArrow(grow, "held string, tree int, feature array<int>, cut array<int>, share array<double>")
+    forest = grown.groupBy("held").agg(F.sort_array(F.collect_list(F.struct("tree", "feature", "cut", "share"))).alias("forest"))
+    votes = forest.join(test.hint("merge"), "held").mapInArrow(vote, "held string, cls int, prediction int, n bigint")
+    return votes.select(F.col("held").alias(group), F.col("cls").alias(cls), "prediction", "n")
+
+
 def score_pixels(px: DataFrame, model, assembler, gate: Column, valid: Column, water_group: int = 4) -> DataFrame:
     """Debris probability and winning group; only gated pixels run through the model, others are water, invalid 255."""
     from pyspark.ml.functions import vector_to_array

@@ -273,11 +273,8 @@ def _(fx):
     from flotsam.functions.status import tile_region
     tiles = F.array(*[F.lit(t) for t in ("16PCC", "18QYF", "30VWH", "36JUN", "48MYU", "51RVQ")])
     px = labelled(fx).withColumn("region", tile_region(F.element_at(tiles, (C("scene_no") % 6).cast("int") + 1), TILE_REGIONS))
-    # whatever region is left out, its forest is fitted on some of these rows
-    near = M.lowest(px.select(*FOREST, "grp", "id", "region"), ["grp", "region"], PER_CLASS, "id")
-    fitted = {r: ML.train_forest(M.balance(near.where(C("region") != r), "grp", PER_CLASS, "id", 6), FOREST, "grp", "weight") for r in TILE_REGIONS}
-    te = ML.predict_by_model(px.select(*FOREST, "cl", "region"), fitted, "region")
-    out = M.confusion(te, ["region"], C("prediction") == 0, C("cl"))
+    te = ML.leave_group_out(px, FOREST, "grp", "cl", "region", list(TILE_REGIONS), 6)
+    out = M.confusion(te, ["region"], C("prediction") == 0, C("cl"), "n")
     return rnd(out.withColumns(M.prf(C("tp"), C("fp"), C("fn"))), 4)
 
 
